@@ -13,7 +13,9 @@ from .bpe import encode_texts
 from .consensus import Consensus, annotator_consensus
 from .copies import collapse_copies, copy_pairs, label_multiset_key
 from .labels import decode_labels, letters_digits
+from .linking import link_mentions
 from .mixing import mix, mixture_shares
+from .stuffing import page_shapes
 from .together import baskets_of, pairs_together
 
 ANNOTATORS = ["annotator1", "annotator2", "annotator3"]
@@ -81,6 +83,12 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _works(spark, sf_dir).where("pmid IS NOT NULL").select("pmid", F.explode(decode_labels(F.col("llm_concepts"))).alias("label"))
+    linked = link_mentions(named, table(spark, sf_dir, "lookup_m"), record="pmid", value="label", entry="concept", entry_id="id")
+    return linked.select("pmid", "label", F.col("ref_id").alias("lookup_id"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -95,8 +103,20 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.withColumn("rate", F.round("rate", 6)).withColumn("actual_share", F.round("actual_share", 6))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_shapes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).where("flagged").select("doc_id")
+
+
+def p8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).withColumn("outside_share", F.round("outside_share", 6))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_consensus, p2_reliability, p2_agreement, p3_found, p3_pairs, p6_ids, p7_mix, p7_shares)
+    f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_consensus, p2_reliability, p2_agreement, p3_found, p3_pairs, p4_found, p6_ids, p7_mix, p7_shares, p8_found, p8_pages)
 }
 
 
