@@ -13,6 +13,7 @@ from .bpe import encode_texts
 from .consensus import Consensus, annotator_consensus
 from .copies import collapse_copies, copy_pairs, label_multiset_key
 from .labels import decode_labels, letters_digits
+from .language import fit_labeller, label_languages, labelled_sample, named_language, sentence_languages
 from .linking import link_mentions
 from .mixing import mix, mixture_shares
 from .stuffing import page_shapes
@@ -89,6 +90,29 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("pmid", "label", F.col("ref_id").alias("lookup_id"))
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The abstracts of the materials works with the languages that the network finds in them."""
+    works = table(spark, sf_dir, "materials_science_works")
+    model = fit_labeller(labelled_sample(works, "abstract", named_language(F.col("lang_label"))))
+    return label_languages(works.where("id IS NOT NULL"), "id", "abstract", model)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    works = table(spark, sf_dir, "materials_science_works").where("id IS NOT NULL")
+    named = works.select("id", named_language(F.col("lang_label")).alias("named")).distinct()
+    found = _languages(spark, sf_dir).where("lang IS NOT NULL").withColumn("langs", sentence_languages(F.col("segments"), F.col("lang")))
+    cases = found.select("id", "lang", "langs").join(named, "id").where("named IS NULL OR named != lang OR size(langs) > 1")
+    return cases.select("id", F.explode("langs").alias("lang")).distinct()
+
+
+def p5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).select("id", "lang", F.round("confidence", 4).alias("confidence"))
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).select("id", F.inline("segments")).withColumn("confidence", F.round("confidence", 4))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -116,7 +140,7 @@ def p8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_consensus, p2_reliability, p2_agreement, p3_found, p3_pairs, p4_found, p6_ids, p7_mix, p7_shares, p8_found, p8_pages)
+    f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_consensus, p2_reliability, p2_agreement, p3_found, p3_pairs, p4_found, p5_found, p5_documents, p5_segments, p6_ids, p7_mix, p7_shares, p8_found, p8_pages)
 }
 
 
