@@ -69,7 +69,7 @@ def emit_copies(df: DataFrame, rates: DataFrame, key: str, source: str, *, seed:
 
 def mix(df: DataFrame, targets: DataFrame, *, key: str, source: str, text: str, total_tokens: int | None = None, seed: int = 17, directory: str = DEFAULT_DIR, name: str = "byte_bpe_50k.json") -> DataFrame:
     """The mixed corpus: ``df`` with each document as often as its source's rate asks for; see the functions above."""
-    sizes = source_sizes(df, source, text, directory=directory, name=name)
+    sizes = cut(source_sizes(df, source, text, directory=directory, name=name))
     return emit_copies(df, cut(repetition_rates(sizes, targets, total_tokens=total_tokens)), key, source, seed=seed)
 
 
@@ -79,7 +79,7 @@ def mixture_shares(df: DataFrame, targets: DataFrame, *, key: str, source: str,
     One row for every target or source; the actual share is of all emitted tokens, null if there are none.
     """
     counted = cut(count_tokens(df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text")), "text", directory=directory, name=name))
-    sizes = counted.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
+    sizes = cut(counted.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens")))
     rates = cut(repetition_rates(sizes, targets, total_tokens=total_tokens))
     emitted = emit_copies(counted, rates, "key", "source", seed=seed).groupBy("source").agg(F.count(F.lit(1)).alias("emitted_docs"), F.sum("n_tokens").alias("emitted_tokens"))
     full = rates.join(emitted, rates["source"].eqNullSafe(emitted["source"]), "left").drop(emitted["source"])
