@@ -154,3 +154,39 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _shipped(query) for name, query in _QUERIES.items()}
+
+
+_SPACE = r"[\s\x{A0}\x{2000}-\x{200A}\x{3000}]"
+_STRIP = rf"^{_SPACE}+|{_SPACE}+$"
+_QUOTED = r"''(?:[^''\\]|\\.)*''|\"(?:[^\"\\]|\\.)*\""
+#: Decoded labels of each work, in SQL.
+_LABELS = rf"""raw AS (SELECT pmid, regexp_replace(coalesce(llm_concepts, ''), '{_STRIP}', '', 'g') AS v FROM surgery_pubmed_works WHERE pmid IS NOT NULL),
+listed AS (SELECT pmid, CASE WHEN v[1] = '[' AND json_valid(v) THEN from_json(v, '["VARCHAR"]') WHEN v[1] = '{{' AND json_valid(v) THEN from_json(v->'$.concepts', '["VARCHAR"]')
+  WHEN v[1] = '[' THEN list_transform(regexp_extract_all(v, '{_QUOTED}'), lambda x: x[2:-2]) WHEN contains(v, ';') THEN string_split(v, ';') WHEN contains(v, '|') THEN string_split(v, '|') ELSE string_split(v, ',') END AS items FROM raw),
+works AS (SELECT pmid, list_filter(list_transform(items, lambda x: regexp_replace(x, '{_STRIP}', '', 'g')), lambda x: x <> '') AS labels FROM listed)"""
+_KEY = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+_KEYED = rf"keyed AS (SELECT DISTINCT pmid, list_sort(list_filter(list_transform(labels, lambda x: {_KEY.format('x')}), lambda k: k <> '')) AS k FROM works), held AS (SELECT * FROM keyed WHERE len(k) > 0)"
+_BASKETS = rf"named AS (SELECT pmid, unnest(labels) AS label FROM works), ids AS (SELECT DISTINCT pmid, id FROM named JOIN lookup_m ON {_KEY.format('label')} = {_KEY.format('concept')}), n AS (SELECT count(DISTINCT pmid) AS n_total FROM named), s AS (SELECT id, count(*) AS c FROM ids GROUP BY id), ab AS (SELECT a.id AS a, b.id AS b, count(*) AS n_ab FROM ids a JOIN ids b ON a.pmid = b.pmid AND a.id < b.id GROUP BY 1, 2), cases AS (SELECT a, b, n_ab, x.c AS n_a, y.c AS n_b, n_total FROM ab JOIN s x ON x.id = a JOIN s y ON y.id = b, n WHERE n_ab >= 8 AND 5000 * n_ab >= n_total AND n_total * n_ab >= 8 * x.c * y.c)"
+_CELLS = ", ".join(
+    rf"list_distinct_kept(list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(coalesce({a}, ''), '[,;]'), lambda p: trim(p)), lambda p: lower(p) <> 'n/a'), lambda p: {_KEY.format('p')}), lambda k: k <> '')) AS c{i}".replace("list_distinct_kept", "")
+    for i, a in enumerate(ANNOTATORS)
+)
+_OTHERS = {0: "c1 || c2", 1: "c0 || c2", 2: "c0 || c1"}
+_ITEMS = f"""cells AS (SELECT DISTINCT item_id, {_CELLS} FROM annotations WHERE item_id IS NOT NULL), items AS (SELECT *, CAST(len(c0) > 0 AS INTEGER) + CAST(len(c1) > 0 AS INTEGER) + CAST(len(c2) > 0 AS INTEGER) AS marked FROM cells),
+people AS ({' UNION ALL '.join(f"SELECT {i} AS person, count(*) FILTER (len(c{i}) > 0) AS marked, count(*) FILTER (list_has_any(c{i}, {_OTHERS[i]})) AS agreed FROM items WHERE marked > 1" for i in range(3))}),
+best AS (SELECT *, row_number() OVER (ORDER BY agreed / marked DESC, person) AS place FROM people),
+votes AS (SELECT item_id, label, count(*) AS n, min(place) AS place FROM (SELECT item_id, place, i, unnest(list_distinct(CASE person WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END)) AS label FROM items, best, (SELECT 0 AS i) WHERE items.marked > 1) GROUP BY ALL)"""
+
+_SQL = {
+    "p1_found": f"WITH {_LABELS}, {_KEYED} SELECT a.pmid AS pmid_a, b.pmid AS pmid_b FROM held a JOIN held b ON a.k = b.k AND a.pmid < b.pmid",
+    "p1_collapsed": f"WITH {_LABELS}, {_KEYED} SELECT min(pmid) AS pmid, count(*) AS n_works FROM held GROUP BY k",
+    "p2_found": f"WITH {_ITEMS} SELECT item_id, label AS label_key FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CAST(n >= 2 AS INTEGER) DESC, place, label) AS r FROM votes) WHERE r = 1",
+    "p2_reliability": f"WITH {_ITEMS} SELECT 'annotator' || CAST(person + 1 AS VARCHAR) AS annotator, marked, agreed, round(agreed / marked, 6) AS reliability FROM people",
+    "p3_found": f"WITH {_LABELS}, {_BASKETS} SELECT a AS lookup_id_a, b AS lookup_id_b FROM cases",
+    "p3_pairs": f"WITH {_LABELS}, {_BASKETS} SELECT a AS lookup_id_a, b AS lookup_id_b, n_ab, n_a, n_b, n_total, round(n_total::DOUBLE * n_ab / (n_a::DOUBLE * n_b), 4) AS lift, round(log2(n_total::DOUBLE * n_ab / (n_a::DOUBLE * n_b)), 4) AS pmi FROM cases",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for the problems that SQL states; the others are tested by round trips, brute force and held-out rows."""
+    return dict(_SQL)
