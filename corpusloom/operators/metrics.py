@@ -50,7 +50,6 @@ def average_precision(df: DataFrame) -> DataFrame:
 
 def confusion(df: DataFrame, thresholds: list[float], strict: bool = True) -> DataFrame:
     """(threshold, tn, fp, fn, tp, precision, recall, f1) for each threshold, in one pass over the rows; undefined ratios are 0."""
-    spark = df.sparkSession
     aggregates = []
     for i, t in enumerate(thresholds):
         hit = F.col("score") > t if strict else F.col("score") >= t
@@ -59,7 +58,6 @@ def confusion(df: DataFrame, thresholds: list[float], strict: bool = True) -> Da
     wide = df.agg(*aggregates)  # one row
     rows = F.array(*(F.struct(F.lit(t).alias("threshold"), *(F.col(f"{n}_{i}").alias(n) for n in ("tn", "fp", "fn", "tp"))) for i, t in enumerate(thresholds)))
     long = wide.select(F.inline(rows))
-    del spark
     precision = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
     recall = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
     return long.withColumns({"precision": precision, "recall": recall}).withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
@@ -107,11 +105,11 @@ def brier(df: DataFrame) -> DataFrame:
 
 
 def blend_search(df: DataFrame, first: str, second: str, steps: int = 10) -> DataFrame:
-    """(weight, auc) for weights 0 to 1 of ``first``."""
+    """(weight, auc) for weights 0 to 1 of ``first``; blended scores are rounded to nine digits, so that equal ones stay ties."""
     out = None
     for i in range(steps + 1):
         w = i / steps
-        one = roc_auc(df.select("label", (w * F.col(first) + (1 - w) * F.col(second)).alias("score"))).select(F.lit(w).alias("weight"), "auc")
+        one = roc_auc(df.select("label", F.round(w * F.col(first) + (1 - w) * F.col(second), 9).alias("score"))).select(F.lit(w).alias("weight"), "auc")
         out = one if out is None else out.unionByName(one)
     return out
 

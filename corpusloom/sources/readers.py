@@ -42,7 +42,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, **options
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV folder; each file appears only when its task has committed."""
-    df.write.mode(mode).options(header=True, escape='"', emptyValue='""').csv(path)
+    df.write.mode(mode).options(header=True, escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:

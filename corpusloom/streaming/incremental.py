@@ -11,11 +11,12 @@ from pyspark.sql.types import StructType
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, schema: StructType, files_per_batch: int = 8) -> DataFrame:
-    """A parquet table, one file or a folder of files, as a stream."""
+    """A parquet table, one file or a folder of files, as a stream; time stamps without a zone are taken as UTC in a session so set."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
     folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{sf_dir}/{name}.parquet") if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    stream = reader.parquet(f"{sf_dir}/{name}.parquet") if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return stream.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
 def run_once(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
