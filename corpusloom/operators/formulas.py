@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.predicates import FALSE_FORMULAS
+from corpusloom.session import spread
 
 #: Symbols of the elements and their names, by atomic number.
 ELEMENT_NAMES = dict(
@@ -93,7 +94,7 @@ def extract_formulas(df: DataFrame, text: str, out_text: str = "abstract", out:
             frame[out] = [None if p is None else sorted({t for k, t in p if k == "E"} - set(FALSE_FORMULAS)) for p in parts]
             yield frame
 
-    return df.mapInPandas(run, schema)
+    return spread(df).mapInPandas(run, schema)
 
 
 def name_elements(labels: Column, formulas: Column) -> Column:

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from corpusloom.session import spread
+
 #: Words between which phrases are cut.
 STOP_WORDS = frozenset(
     "a about above after again against all also an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have "
@@ -47,4 +49,4 @@ def extract_phrases(df: DataFrame, key: str, text: str, least: int = 2, most: in
             rows = [(k, i, p, s) for k, t in zip(batch[key], batch[text]) if t for i, (p, s) in enumerate(ranked_phrases(t, least, most), 1)]
             yield pd.DataFrame(rows, columns=[key, "rank", "phrase", "score"]).astype({"rank": "int32"})
 
-    return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, rank int, phrase string, score double")
+    return spread(df.select(key, text)).mapInPandas(run, f"`{key}` {kind}, rank int, phrase string, score double")

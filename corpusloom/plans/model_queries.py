@@ -231,7 +231,7 @@ def _property_sql() -> str:
         joins.append(f"LEFT JOIN c{y} ON c{y}.u = p.u AND c{y}.v = p.v")
         columns += [f"coalesce(c{y}.c, 0) AS common_{y}", f"CASE WHEN {union} > 0 THEN coalesce(c{y}.c, 0) / {union} ELSE 0.0 END AS jaccard_{y}"]
         names += [f"common_{y}", f"jaccard_{y}"]
-    scaled = ", ".join(f"round(CASE WHEN max({n}) OVER () > 0 THEN {n} / max({n}) OVER () ELSE 0.0 END, 6) AS {n}" for n in names)
+    scaled = ", ".join(f"round(CASE WHEN max({n}) OVER () > 0 THEN {n} / max({n}) OVER () ELSE 0.0 END + 1e-9, 6) AS {n}" for n in names)
     pairs = f"{snapshot_sql('fut', FUTURE_DAY)}, pairs AS (SELECT DISTINCT u, v FROM edges WHERE day >= {FUTURE_DAY})"
     return f"WITH {EDGES}, {pairs}, {', '.join(parts)}, raw AS (SELECT p.u, p.v, {', '.join(columns)} FROM pairs p {' '.join(joins)}) SELECT u, v, {scaled} FROM raw"
 
@@ -240,7 +240,7 @@ def _property_sql() -> str:
 def _(t, s, d):
     every = cut(edges(t))
     out = G.pair_properties(every, every.where(F.col("day") >= FUTURE_DAY), FEATURE_DAYS)
-    return out.select("u", "v", *(F.round(c, 6).alias(c) for c in out.columns if c not in ("u", "v")))
+    return out.select("u", "v", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in out.columns if c not in ("u", "v")))  # exact halves go up in any engine
 
 
 _NEAR = f"WITH {PAST_GRAPH}, src AS (SELECT id FROM ways GROUP BY id ORDER BY count(*) DESC, id LIMIT 5), d1 AS (SELECT s.id AS source, w.other AS id FROM src s JOIN ways w ON w.id = s.id), d2 AS (SELECT DISTINCT d1.source, w.other AS id FROM d1 JOIN ways w ON w.id = d1.id), u AS (SELECT id AS source, id, 0 AS distance FROM src UNION ALL SELECT source, id, 1 FROM d1 UNION ALL SELECT source, id, 2 FROM d2)"

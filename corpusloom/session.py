@@ -50,9 +50,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def plan_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df``; None where it knows none, as for local rows, or multiplied sides of joins beyond sense."""
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return estimate if estimate < 1 << 55 else None
 
 
 def spread(df: DataFrame, *keys: str | Column, task_mb: int = 24) -> DataFrame:
@@ -60,10 +61,11 @@ def spread(df: DataFrame, *keys: str | Column, task_mb: int = 24) -> DataFrame:
 
     At least three tasks a core, and one for every ``task_mb`` of estimated input, so that the number
     follows the data; given explicitly, as adaptive coalescing looks at bytes and not at CPU time.
+    Without an estimate it is the session's number of shuffle partitions.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = max(3 * cores, -(-plan_bytes(df) // (task_mb << 20)))
-    return df.repartition(min(tasks, 200_000), *keys)
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, plan_bytes(df)
+    wanted = -(-size // (task_mb << 20)) if size is not None else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(max(3 * cores, wanted), 100_000), *keys)
 
 
 def small(df: DataFrame, most: int) -> bool:

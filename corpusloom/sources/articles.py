@@ -104,7 +104,7 @@ def parse_articles(df: DataFrame, xml: str) -> DataFrame:
                     rows += [article_record(a) for a in ElementTree.fromstring(text).iter("PubmedArticle")] if text else []
                 except ElementTree.ParseError:
                     rows.append({"reason": "unparseable_xml"})
-            frame = pd.DataFrame(rows, columns=names)
+            frame = pd.DataFrame(rows, columns=names, dtype=object)
             frame["publication_year"] = frame["publication_year"].astype("Int32")
             yield frame
 
