@@ -9,6 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators.graph import degrees, distances_from, snapshot
 from corpusloom.operators.ordering import numbered_parts
 from corpusloom.operators.sampling import allowed_nodes
+from corpusloom.sources import articles as A
 from corpusloom.sources import readers as R
 from corpusloom.sources.rest import CursorClient, read_pages, unfinished_parts
 
@@ -91,6 +92,50 @@ def _(t, s, d):
     return unfinished_parts(t("journal_sources").select("id", "works_count"), done, "id", "works_count")
 
 
+def _article_documents(t):
+    """One XML document for each work, with its title, abstract and year."""
+    safe = lambda c: F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    year = F.coalesce(F.col("publication_year").cast("string"), F.lit(""))
+    body = F.concat(
+        F.lit("<Set><PubmedArticle><MedlineCitation><PMID>"), F.col("pmid").cast("string"), F.lit("</PMID><Article><ArticleTitle>"), safe("display_name"), F.lit("</ArticleTitle><Abstract><AbstractText Label='A'>"), safe("abstract"),
+        F.lit("</AbstractText></Abstract><Language>eng</Language><ArticleDate><Year>"), year, F.lit("</Year></ArticleDate></Article></MedlineCitation></PubmedArticle></Set>"),
+    )
+    return t("surgery_pubmed_works").select(body.alias("xml"))
+
+
+_SQUEEZED = "trim(regexp_replace(coalesce({}, ''), '\\s+', ' ', 'g'))"
+_ABSTRACT = f"CASE WHEN {_SQUEEZED.format('abstract')} = '' THEN '' ELSE 'A: ' || {_SQUEEZED.format('abstract')} END"
+
+
+@q("txt20_article_records", f"""WITH a AS (SELECT CAST(pmid AS VARCHAR) AS pmid, {_SQUEEZED.format('display_name')} AS title, {_ABSTRACT} AS body, publication_year AS y FROM surgery_pubmed_works)
+SELECT pmid, title AS display_name, y AS publication_year, CASE WHEN title = '' THEN 'missing_title' WHEN body = '' THEN 'missing_abstract' WHEN y IS NULL THEN 'missing_publication_date' WHEN length(title) < 10 THEN 'title_too_short'
+ WHEN length(body) <= 300 THEN 'abstract_too_short' WHEN length(body) >= 4000 THEN 'abstract_too_long' END AS reason FROM a""")
+def _(t, s, d):
+    return A.parse_articles(_article_documents(t), "xml").select("pmid", "display_name", "publication_year", "reason")
+
+
+@q("src14_articles_by_reason", f"""WITH a AS (SELECT {_ABSTRACT} AS body, {_SQUEEZED.format('display_name')} AS title, publication_year AS y FROM surgery_pubmed_works)
+SELECT CASE WHEN title = '' THEN 'missing_title' WHEN body = '' THEN 'missing_abstract' WHEN y IS NULL THEN 'missing_publication_date' WHEN length(title) < 10 THEN 'title_too_short'
+ WHEN length(body) <= 300 THEN 'abstract_too_short' WHEN length(body) >= 4000 THEN 'abstract_too_long' END AS reason, count(*) AS articles FROM a GROUP BY ALL""")
+def _(t, s, d):
+    return A.parse_articles(_article_documents(t), "xml").groupBy("reason").agg(F.count(F.lit(1)).alias("articles"))
+
+
+@q("src10_search_strings", """SELECT r_regionkey, '(' || r_name || ') ' || 'AND hasabstract[text] AND english[lang] AND humans[Mesh] NOT (review[Publication Type] OR systematic review[Publication Type] OR meta-analysis[Publication Type] OR editorial[Publication Type] OR letter[Publication Type] OR comment[Publication Type] OR case reports[Publication Type]) AND ("2000"[Date - Publication] : "2025"[Date - Publication])' AS query FROM region""")
+def _(t, s, d):
+    name = "@@"
+    before, after = A.yearly_query(name, 2000, 2025).split(name)
+    return t("region").select("r_regionkey", F.concat(F.lit(before), "r_name", F.lit(after)).alias("query"))
+
+
+@q("src15_text_blocks", "SELECT 'https://example.org/' || CAST(n_nationkey AS VARCHAR) AS link, n_name AS title, 'Author ' || CAST(n_regionkey AS VARCHAR) AS author, 'About ' || n_name AS abstract FROM nation")
+def _(t, s, d):
+    path = R.scratch(s, "blocks")
+    block = F.concat_ws("\n", F.lit(""), F.concat(F.lit("https://example.org/"), F.col("n_nationkey").cast("string")), "n_name", F.concat(F.lit("Author "), F.col("n_regionkey").cast("string")), F.concat(F.lit("About "), "n_name"))
+    t("nation").select(block.alias("value")).write.text(path)
+    return R.read_blocks(s, path).select("link", "title", "author", "abstract")
+
+
 @q("src16_json_lines", "SELECT event_id, user_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
 def _(t, s, d):
     path = R.scratch(s, "json")
