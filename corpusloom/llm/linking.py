@@ -90,7 +90,7 @@ def typing_errors(a: str, b: str, most: int) -> int:
         end += 1
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a or not b:
-        return max(len(a), len(b))
+        return min(max(len(a), len(b)), most + 1)
     older: list[int] = []
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -103,7 +103,7 @@ def typing_errors(a: str, b: str, most: int) -> int:
         if min(fresh) > most:
             return most + 1
         older, row = row, fresh
-    return row[-1]
+    return min(row[-1], most + 1)
 
 
 #: Classes of letters: a to z, 0 to 9, anything else.
@@ -126,17 +126,18 @@ def _letters_and_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nda
 class ReferenceIndex:
     """Inverted trigram index over a bounded list of entries."""
 
-    def __init__(self, ids: list[int], entries: list[str], *, threshold: float, most_errors: int, margin: int):
+    def __init__(self, ids: list[int], entries: list[str], *, threshold: float, most_errors: int, margin: int, known: set[str] | None = None):
         order = np.argsort(np.asarray(ids, np.int64), kind="stable")
         self.ids = np.asarray(ids, np.int64)[order]
         self.words = [normal_form(entries[i]) for i in order]
         self.joined = ["".join(w) for w in self.words]
-        self.known = {w for ws in self.words for w in ws}
+        self.known = known or {w for ws in self.words for w in ws}
         self.by_length: dict[int, list[str]] = {}
         for w in sorted(self.known):
             self.by_length.setdefault(len(w), []).append(w)
         self.threshold, self.most_errors, self.margin = threshold, most_errors, margin
         self.digits = ["".join(c for c in t if c.isdigit()) for t in self.joined]
+        self.numbers = set(self.digits)
         self.nearest: dict[str, tuple[str, ...]] = {}
         self.letters, entry, gram = _letters_and_grams(self.joined) if self.joined else (np.zeros((0, _CLASSES), np.int16), np.zeros(0, int), np.zeros(0, int))
         order = np.argsort(gram, kind="stable")
@@ -199,10 +200,17 @@ class ReferenceIndex:
 
     def resolve(self, words: list[tuple[str, ...]]) -> list[int | None]:
         """The id of the entry that each value means, or None."""
-        texts = ["".join(w) for w in words]
-        out: list[int | None] = [None] * len(texts)
-        if not texts or not self.joined:
+        return [None if x is None else x[0] for x in self.scored(words)]
+
+    def scored(self, words: list[tuple[str, ...]]) -> list[tuple[int, int] | None]:
+        """(id, typing errors) of the entry that each value means, or None."""
+        every = ["".join(w) for w in words]
+        out: list[tuple[int, int] | None] = [None] * len(every)
+        # a value with a number that no entry has means none of them
+        kept = [i for i, t in enumerate(every) if ("".join(c for c in t if c.isdigit()) if not t.isalpha() else "") in self.numbers]
+        if not kept:
             return out
+        texts = [every[i] for i in kept]
         letters, text_of, gram = _letters_and_grams(texts)
         query, entry, cosine = self.candidates(text_of, gram, len(texts))
         difference = np.abs(letters[query] - self.letters[entry])
@@ -221,10 +229,10 @@ class ReferenceIndex:
             d, _, e = found[0]
             if len(found) > 1 and found[1][0] - d < self.margin and d > 0:
                 continue
-            if d and self._other_word(words[q], e):
+            if d and self._other_word(words[kept[q]], e):
                 continue
-            out[q] = e
-        return [None if e is None else int(self.ids[e]) for e in out]
+            out[kept[q]] = (int(self.ids[e]), d)
+        return out
 
 
 _BUILT: dict[int, ReferenceIndex] = {}
@@ -236,7 +244,8 @@ def link_values(values: DataFrame, reference: DataFrame, *, value: str, entry: s
     ``reference`` has (entry_id, entry); null ids and entries are left out, and of entries that are
     equal in normal form the smallest id stands for all. It is sent to the tasks in blocks of at most
     ``block_entries``; a reference of more entries is dealt to several blocks by hash, each block
-    answers for all values, and the answers are merged: a value whose answers differ is unmatched.
+    answers for all values, and of the answers the one with fewest typing errors holds, if it lies
+    ``margin`` before the next. The distinct words of all entries go with every block.
     Values without letters or digits, an empty reference and values of several thousand characters
     come out unmatched. An empty table gives no rows. Other columns are not looked at.
     """
@@ -244,20 +253,23 @@ def link_values(values: DataFrame, reference: DataFrame, *, value: str, entry: s
     distinct = spread(values.select(values[value].alias("value")).where("value IS NOT NULL").distinct(), "value")
     entries = reference.select(reference[entry_id].cast("bigint").alias("id"), reference[entry].alias("entry")).where("id IS NOT NULL AND entry IS NOT NULL")
     blocks = max(1, -(-entries.count() // block_entries))
-    answers = []
+    answers, known = [], set()
+    if blocks > 1:
+        for row in entries.select("entry").toLocalIterator():
+            known.update(normal_form(row["entry"]))
     for block in range(blocks):
         part = entries if blocks == 1 else entries.where(F.pmod(F.xxhash64("entry"), F.lit(blocks)) == block)
         kept: dict[tuple[str, ...], tuple[int, str]] = {}
         for row in part.orderBy("id", "entry").toLocalIterator():  # at most a block, by the count above
             kept.setdefault(normal_form(row["entry"]), (row["id"], row["entry"]))
-        shared = spark.sparkContext.broadcast((list(kept.values()), threshold, most_errors, margin))
+        shared = spark.sparkContext.broadcast((list(kept.values()), threshold, most_errors, margin, known))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             key = shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)
             if key not in _BUILT:
                 _BUILT.clear()
-                held, threshold, most_errors, margin = shared.value
-                _BUILT[key] = ReferenceIndex([i for i, _ in held], [e for _, e in held], threshold=threshold, most_errors=most_errors, margin=margin)
+                held, threshold, most_errors, margin, known = shared.value
+                _BUILT[key] = ReferenceIndex([i for i, _ in held], [e for _, e in held], threshold=threshold, most_errors=most_errors, margin=margin, known=known)
             index = _BUILT[key]
             longest = max(map(len, index.joined), default=0) + most_errors
             for batch in batches:
@@ -266,15 +278,19 @@ def link_values(values: DataFrame, reference: DataFrame, *, value: str, entry: s
                     raw = part.column(0).to_pylist()
                     forms = [normal_form(t) if len(t) <= 4 * longest + 200 else () for t in raw]
                     fit = sorted({w for w in forms if w and sum(map(len, w)) <= longest})
-                    answer = dict(zip(fit, index.resolve(fit))) if fit else {}
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([answer.get(w) for w in forms], pa.int64())], ["value", "ref_id"])
+                    answer = dict(zip(fit, index.scored(fit))) if fit else {}
+                    found = [answer.get(w) or (None, None) for w in forms]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32())], ["value", "ref_id", "errors"])
 
-        answers.append(distinct.mapInArrow(run, "value string, ref_id bigint"))
+        answers.append(distinct.mapInArrow(run, "value string, ref_id bigint, errors int"))
     merged = answers[0]
     if blocks > 1:
         for more in answers[1:]:
             merged = merged.unionByName(more)
-        merged = merged.groupBy("value").agg(F.when(F.min("ref_id") == F.max("ref_id"), F.min("ref_id")).alias("ref_id"))
+        ordered = merged.groupBy("value").agg(F.array_sort(F.collect_list(F.when(F.col("ref_id").isNotNull(), F.struct("errors", "ref_id")))).alias("held"))  # one answer a block
+        best, next_best = F.get("held", 0), F.get("held", 1)
+        sure = next_best.isNull() | (best["errors"] == 0) | (next_best["errors"] - best["errors"] >= margin)
+        merged = ordered.select("value", F.when(sure, best["ref_id"]).alias("ref_id"))
     return merged.select(F.col("value").alias(value), "ref_id")
 
 

@@ -34,13 +34,13 @@ BINDING_WORDS = {
 }
 _BINDING = frozenset(w for words in BINDING_WORDS.values() for w in words.split())
 
-_HTML_LINK = re.compile(r"<a\b[^>]*>.*?</a\s*>", re.I | re.S)
+_HTML_LINK = re.compile(r"<a\b[^>]{0,1000}>.{0,1000}?</a\s*>", re.I | re.S)
 _BREAK = re.compile(r"<\s*/?\s*(?:br|p|li|ul|ol|div|tr|td|h\d)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!][^>\n]{0,300}>")
 _LINK = re.compile(
     r"\[[^\]\n]{0,200}\]\([^)\n]{0,500}\)"  # [text](address)
     r"|(?:https?|ftp)://[^\s<>\"]+|www\.[^\s<>\"]+"
-    r"|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,12}/[^\s<>\")]*"
+    r"|\b[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}\.[a-z]{2,12}/[^\s<>\")]*"
     r"|(?<!\w)#[^\W\d_]\w*"
 )
 _END = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+(?=[^\W\d_a-zà-öø-ÿа-я]|[\"'“«(\[¿¡])|(?<=[。！？])")
