@@ -83,20 +83,30 @@ def split_pairs(pairs: DataFrame, share: float = 0.8, seed: int = 42) -> DataFra
     return pairs.withColumn("split", F.when(pair_hash(F.col("u"), F.col("v"), seed + 1) % 100 < round(share * 100), "train").otherwise("val"))
 
 
-def candidates_between(sources: DataFrame, targets: DataFrame, snap: DataFrame, most_degree: int | None = None) -> DataFrame:
+def candidates_between(sources: DataFrame, targets: DataFrame, snap: DataFrame, most_degree: int | None = None, block: int = 5000) -> DataFrame:
     """Distinct canonical pairs of a source and a target that are not linked.
 
-    Sources are a stated set and are sent to the tasks that hold the targets; a target in more pairs
-    than ``most_degree`` is left out.
+    Sources are a stated set; they go to the tasks that hold the targets in blocks of at most ``block``
+    ids, so what is sent does not grow with them. A target in more pairs than ``most_degree`` is left
+    out. The result has as many rows as there are such pairs.
     """
     from .graph import degrees
+    from .ordering import numbered_parts
 
     kept = targets.select(F.col("id").alias("v")).distinct()
     if most_degree is not None:
         low = degrees(snap).where(F.col("degree") <= most_degree).select(F.col("id").alias("v"))
         kept = kept.join(low, "v", "left_semi")
-    pairs = canonical(kept.join(sources.select(F.col("id").alias("u")).distinct(), F.col("u") != F.col("v")))
-    return pairs.distinct().join(snap.select("u", "v"), ["u", "v"], "left_anti")
+    asked = cut(sources.select(F.col("id").alias("u")).distinct())
+    blocks = max(1, -(-asked.count() // block))
+    if blocks > 1:
+        asked, kept = cut(numbered_parts(asked, F.col("u"), rows=block, name="part")), cut(kept)
+    out = None
+    for part in range(blocks):
+        some = asked if blocks == 1 else asked.where(F.col("part") == part)
+        one = kept.crossJoin(F.broadcast(some.select("u")))  # a block of stated sources
+        out = one if out is None else out.unionByName(one)
+    return canonical(out).distinct().join(snap.select("u", "v"), ["u", "v"], "left_anti")
 
 
 def allowed_nodes(ids: DataFrame, snap: DataFrame, least_degree: int = 1) -> DataFrame:

@@ -100,6 +100,14 @@ def test_sampling(spark):
         S.stratified_pairs(pairs, 100, 0.5)
 
 
+def test_candidates_in_blocks(spark):
+    snap = graph(spark, [(1, 2), (2, 3), (3, 4), (4, 5)])
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 5)], "id long")
+    found = {b: sorted(map(tuple, S.candidates_between(ids, G.nodes_of(snap), snap, block=b).collect())) for b in (1, 2, 100)}
+    assert found[1] == found[2] == found[100] == [(1, 3), (1, 4), (1, 5), (2, 4), (2, 5), (3, 5)]
+    assert S.candidates_between(ids.limit(0), G.nodes_of(snap), snap).count() == 0
+
+
 def test_metrics_with_ties_and_one_class(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.9), (0, 0.1), (1, 0.4)], "label int, score double")
     assert M.roc_auc(df).first()["auc"] == pytest.approx(0.625)
