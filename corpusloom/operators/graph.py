@@ -136,7 +136,10 @@ def pair_distances(snap: DataFrame, pairs: DataFrame, most: int = 6) -> DataFram
 
 
 def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id that can be reached; by alternating large and small stars, lineage cut each round."""
+    """(id, component): the smallest id that can be reached; by alternating large and small stars, lineage cut each round.
+
+    Fails if the stars still change after ``most_rounds``.
+    """
     current = cut(pairs.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a != b").distinct())
     for _ in range(most_rounds):
         ways = current.select("a", "b").unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -148,10 +151,29 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
         current = fresh
         if not moved:
             break
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     roots = nodes_of(pairs)
     return roots.join(current.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def component_years(edges: DataFrame) -> DataFrame:
+    """(y, components, largest, nodes) of the graph of all works until the end of each year of ``edges``.
+
+    A year starts from the stars of the year before, which stand for all its older edges. Every
+    component has at least two nodes, as nodes come from edges.
+    """
+    first = cut(edges.groupBy("u", "v").agg(F.min("y").alias("y")))
+    stars, out = None, None
+    for year in sorted(row["y"] for row in edges.select("y").distinct().collect()):  # one row a year
+        fresh = first.where(F.col("y") == year).select("u", "v")
+        stars = cut(components(fresh if stars is None else fresh.unionByName(stars.select(F.col("component").alias("u"), F.col("id").alias("v")))))
+        sizes = stars.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        one = sizes.agg(F.lit(year).alias("y"), F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"), F.sum("size").alias("nodes"))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else first.select("y", *(F.lit(0).cast("bigint").alias(c) for c in ("components", "largest", "nodes")))
+
+
 def event_years(edges: DataFrame, pairs: DataFrame, start: int, end: int) -> DataFrame:
     """``pairs`` with the first year in (start, end] that links them, -1 without one."""
     first = edges.where((F.col("y") > start) & (F.col("y") <= end)).groupBy("u", "v").agg(F.min("y").alias("event_year"))
