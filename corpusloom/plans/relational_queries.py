@@ -19,7 +19,7 @@ from corpusloom.sources.readers import require_unique
 
 from .filter_queries import _DEGREES, _PARTS
 from .registry import Registry
-from .text_queries import _JSON_WORKS, _LABELS, _json_works
+from .text_queries import _JSON_WORKS, _LABELS, _json_works, label_lists
 from .views import EDGES, FUTURE_DAY, LOOKUP, MENTIONS, PAST_DAY, PAST_GRAPH, SCORED, edges, lookup, mentions, scored, snapshot_sql
 
 q = Registry()
@@ -52,6 +52,18 @@ def _(t, s, d):
     return named.join(small_side(t("lookup_m").select(F.col("concept").alias("label"))), "label", "left_anti")
 
 
+@q("joi2_label_to_id_whole")
+def _(t, s, d):
+    named = label_lists(t).select("pmid", F.explode("labels").alias("label")).select("pmid", F.lower(F.trim("label")).alias("concept"))
+    return named.join(small_side(t("lookup_m").select("id", "concept")), "concept").select("pmid", "id").distinct()
+
+
+@q("joi2_unresolved_labels_whole")
+def _(t, s, d):
+    named = label_lists(t).select(F.explode("labels").alias("label")).select(F.lower(F.trim("label")).alias("label")).distinct()
+    return named.join(small_side(t("lookup_m").select(F.col("concept").alias("label"))), "label", "left_anti")
+
+
 @q("joi3_id_to_label", "SELECT n_nationkey, coalesce(CASE WHEN n_nationkey % 3 > 0 THEN r_name END, '<unknown>') AS region FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
 def _(t, s, d):
     nations = t("nation").select("n_nationkey", F.when(F.col("n_nationkey") % 3 > 0, F.col("n_regionkey")).alias("r_regionkey"))
@@ -185,6 +197,12 @@ def _(t, s, d):
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(50)
 
 
+@q("agg2_most_common_whole")
+def _(t, s, d):
+    labels = label_lists(t).select(F.explode("labels").alias("label"))
+    return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(50)
+
+
 @q("agg3_edge_multiplicity", f"WITH {EDGES}, {snapshot_sql('snap', PAST_DAY)} SELECT u, v, links FROM snap")
 def _(t, s, d):
     return snapshot(edges(t), PAST_DAY)
@@ -291,6 +309,12 @@ def _(t, s, d):
     return _json_works(t).select(n.alias("n")).agg(F.round(F.avg("n"), 6).alias("mean"), F.median("n").alias("median"), F.min("n").alias("low"), F.max("n").alias("high"))
 
 
+@q("agg17_list_lengths_whole")
+def _(t, s, d):
+    n = F.size("labels").cast("bigint")
+    return label_lists(t).select(n.alias("n")).agg(F.round(F.avg("n"), 6).alias("mean"), F.median("n").alias("median"), F.min("n").alias("low"), F.max("n").alias("high"))
+
+
 @q("agg18_reasons_with_zero", "WITH r(reason) AS (VALUES ('missing_title'), ('missing_abstract'), ('never')) SELECT r.reason, count(w.pmid) AS n FROM r LEFT JOIN (SELECT pmid, CASE WHEN display_name IS NULL THEN 'missing_title' WHEN abstract IS NULL THEN 'missing_abstract' END AS reason FROM surgery_pubmed_works) w ON r.reason = w.reason GROUP BY 1")
 def _(t, s, d):
     from corpusloom.functions.predicates import without_reason

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import dates as D
 from corpusloom.functions import predicates as P
 from corpusloom.functions import text as T
+from corpusloom.functions.labels import decode_labels
 from corpusloom.operators.formulas import extract_formulas, name_elements
 from corpusloom.operators.keyphrases import extract_phrases
 from corpusloom.sources.readers import latex_sections
@@ -177,6 +178,11 @@ def _json_works(t):
     return works.where("llm_concepts IS NULL OR trim(llm_concepts) = '' OR (llm_concepts LIKE '[%' AND try_parse_json(llm_concepts) IS NOT NULL)")
 
 
+def label_lists(t):
+    """(pmid, labels) of every work in whatever notation; the SQL of the queries that end in ``_whole`` would need a decoder of its own."""
+    return t("surgery_pubmed_works").select("pmid", decode_labels(F.col("llm_concepts")).alias("labels"))
+
+
 _LABELS = f"""labels AS (SELECT pmid, CASE WHEN llm_concepts IS NULL OR trim(llm_concepts) = '' THEN [] ELSE from_json(llm_concepts, '["VARCHAR"]') END AS labels FROM ({_JSON_WORKS}))"""
 
 
@@ -186,6 +192,11 @@ def _(t, s, d):
     return _json_works(t).select("pmid", F.array_join(labels, "/").alias("labels"), F.size(labels).alias("n"))
 
 
+@q("txt29_parse_label_list_whole")
+def _(t, s, d):
+    return label_lists(t).select("pmid", F.array_join("labels", "/").alias("labels"), F.size("labels").alias("n"))
+
+
 def _normal_sql(x: str) -> str:
     lowered = f"list_transform({x}, lambda c: trim(regexp_replace(lower(c), '\\s+', ' ', 'g')))"
     generic, short = ", ".join(repr(g) for g in T.GENERIC_LABELS), ", ".join(repr(a) for a in T.ABBREVIATIONS)
@@ -198,6 +209,11 @@ def _(t, s, d):
     return _json_works(t).select("pmid", F.array_join(T.normalize_labels(T.parse_label_list(F.col("llm_concepts"))), "/").alias("labels"))
 
 
+@q("txt30_normalize_labels_whole")
+def _(t, s, d):
+    return label_lists(t).select("pmid", F.array_join(T.normalize_labels(F.col("labels")), "/").alias("labels"))
+
+
 _REPLIES = "replies AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN E'\\n  [\\'steel\\', wear rate] and more]' WHEN 1 THEN '[creep, fatigue life, cut of' WHEN 2 THEN 'Sure: [a b]' ELSE 'nothing here, sorry' END AS reply FROM documents)"
 
 
@@ -215,6 +231,11 @@ def _(t, s, d):
     return _json_works(t).select("pmid", F.array_join(T.normalize_spelling(T.parse_label_list(F.col("llm_concepts"))), "|").alias("labels"))
 
 
+@q("txt32_normalize_spelling_whole")
+def _(t, s, d):
+    return label_lists(t).select("pmid", F.array_join(T.normalize_spelling(F.col("labels")), "|").alias("labels"))
+
+
 @q("txt33_name_elements")
 def _(t, s, d):
     found = extract_formulas(docs(t), "abstract")

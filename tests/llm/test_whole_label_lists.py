@@ -1,0 +1,27 @@
+"""Queries of label lists over the works of every notation, against the SQL decoder of the training-data queries."""
+
+import pytest
+
+from corpusloom.llm.p_queries import _LABELS
+from corpusloom.plans import catalog
+from corpusloom.plans.text_queries import _normal_sql
+from tests.oracle import assert_equal, connection
+
+QUERIES = catalog.queries()
+#: Works without identifier count here; an object without a list has no labels.
+DECODED = _LABELS.replace(" WHERE pmid IS NOT NULL", "") + ", labels AS (SELECT pmid, coalesce(labels, []) AS labels FROM works)"
+EACH = "e AS (SELECT pmid, lower(trim(unnest(labels))) AS label FROM labels)"
+SQL = {
+    "txt29_parse_label_list_whole": f"WITH {DECODED} SELECT pmid, array_to_string(labels, '/') AS labels, CAST(len(labels) AS INTEGER) AS n FROM labels",
+    "txt30_normalize_labels_whole": f"WITH {DECODED} SELECT pmid, array_to_string({_normal_sql('labels')}, '/') AS labels FROM labels",
+    "txt32_normalize_spelling_whole": f"WITH {DECODED} SELECT pmid, array_to_string(list_transform(labels, lambda c: replace(regexp_replace(lower(c), '[/-]', ' ', 'g'), 'aluminum', 'aluminium')), '|') AS labels FROM labels",
+    "joi2_label_to_id_whole": f"WITH {DECODED}, {EACH} SELECT DISTINCT pmid, id FROM e JOIN lookup_m ON label = concept",
+    "joi2_unresolved_labels_whole": f"WITH {DECODED}, {EACH} SELECT DISTINCT label FROM e WHERE label NOT IN (SELECT concept FROM lookup_m)",
+    "agg2_most_common_whole": f"WITH {DECODED} SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM labels) GROUP BY label ORDER BY n DESC, label LIMIT 50",
+    "agg17_list_lengths_whole": f"WITH {DECODED} SELECT round(avg(len(labels)), 6) AS mean, CAST(median(len(labels)) AS DOUBLE) AS median, min(len(labels)) AS low, max(len(labels)) AS high FROM labels",
+}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_whole_label_lists(spark, data, name):
+    assert_equal(QUERIES[name](spark, data), connection(data), SQL[name])
