@@ -6,6 +6,10 @@ each work and pair. A snapshot is (u, v, links) with u < v, links counting the w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +139,62 @@ def pair_distances(snap: DataFrame, pairs: DataFrame, most: int = 6) -> DataFram
     return pairs.join(walked, [start, end], "left").withColumn("distance", F.coalesce("distance", F.lit(-1)))
 
 
+def all_pair_distances(snap: DataFrame, pairs: DataFrame, held_pairs: int = 5_000_000) -> DataFrame:
+    """Distinct (u, v, distance) of ``pairs`` over walks of any length, -1 only where there is no way.
+
+    Many pairs have so many ends that walks from all of them reach about the square of the graph. A
+    graph counted to have at most ``held_pairs`` pairs is therefore sent to the tasks, where each u is
+    walked until its own v are found, from their side; a larger one is walked by joins.
+    """
+    asked = pairs.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).distinct()
+    if snap.count() > held_pairs:
+        return pair_distances(snap, asked, most=1 << 31).select("u", "v", "distance")
+    ends = snap.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).toArrow()  # held_pairs rows at most
+    u, v = ends["u"].to_numpy(), ends["v"].to_numpy()
+    ids, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place, np.concatenate([place[len(u) :], place[: len(u)]])
+    order = np.argsort(a, kind="stable")
+    shared = snap.sparkSession.sparkContext.broadcast((ids, np.searchsorted(a[order], np.arange(len(ids) + 1)), b[order].astype(np.int32)))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, first, other = shared.value
+
+        def beside(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The neighbours of ``places``, and where those of each begin."""
+            length = first[places + 1] - first[places]
+            starts = np.cumsum(length) - length
+            return other[np.arange(length.sum()) + np.repeat(first[places] - starts, length)], starts
+
+        for batch in batches:
+            u, v = (batch.column(i).to_numpy() for i in (0, 1))
+            distance = np.where(u == v, 0, -1).astype(np.int32)
+            for source in np.unique(u):
+                mine = np.flatnonzero((u == source) & (u != v))
+                at, goal = np.searchsorted(ids, source), np.searchsorted(ids, v[mine])
+                held = (goal < len(ids)) & (ids[np.minimum(goal, len(ids) - 1)] == v[mine]) if len(ids) else np.zeros(len(mine), bool)
+                if at == len(ids) or ids[at] != source or not held.any():
+                    continue
+                mine, goal = mine[held], goal[held]
+                seen = np.full(len(ids), -1, np.int32)
+                seen[at], front, step = 0, np.array([at]), 0
+                while len(front) and len(goal):
+                    # a place not reached yet is one step further if a neighbour was reached last; a front is unfolded only for what is left
+                    around, starts = beside(goal)
+                    step += 1
+                    met = np.logical_or.reduceat(seen[around] == step - 1, starts)
+                    distance[mine[met]] = step
+                    mine, goal = mine[~met], goal[~met]
+                    if len(goal):
+                        reached = beside(front)[0]
+                        seen[reached[seen[reached] < 0]] = step
+                        front = np.flatnonzero(seen == step)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance)], ["u", "v", "distance"])
+
+    asked = cut(asked)
+    tasks = max(3 * snap.sparkSession.sparkContext.defaultParallelism, -(-asked.count() // 100_000))  # counted, as the estimate of a join multiplies its sides
+    return asked.repartition(tasks, "u").sortWithinPartitions("u").mapInArrow(walk, "u bigint, v bigint, distance int")
+
+
 def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id that can be reached; by alternating large and small stars, lineage cut each round.
 

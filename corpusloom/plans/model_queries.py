@@ -267,6 +267,13 @@ def _(t, s, d):
     return G.pair_distances(cut(G.snapshot(every, 9131)), cut(later), most=2)
 
 
+@q("grf8_annotated_pairs_whole")
+def _(t, s, d):
+    """The pairs of all works from the past day on, in the graph before it."""
+    every = cut(edges(t))
+    return G.all_pair_distances(cut(G.snapshot(every, PAST_DAY)), every.where(F.col("day") >= PAST_DAY))
+
+
 @q("grf9_depth_filter", f"{_NEAR}, b AS (SELECT source, id, min(distance) AS distance FROM u GROUP BY 1, 2), n AS (SELECT DISTINCT id FROM ways) SELECT s.id AS source, n.id FROM src s, n LEFT JOIN b ON b.source = s.id AND b.id = n.id WHERE coalesce(b.distance, 99) >= 3")
 def _(t, s, d):
     snap = cut(G.snapshot(edges(t), PAST_DAY))
@@ -527,6 +534,7 @@ def _(t, s, d):
     return top_unlinked_pairs(t, _EARLY, 50)
 
 
+
 # --- metrics
 
 _S = f"WITH {SCORED}"

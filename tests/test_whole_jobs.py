@@ -1,13 +1,13 @@
 """Queries over whole tables that SQL is too slow for, against brute force, and operators that fail instead of stopping short."""
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import graph as G
 from corpusloom.plans import catalog
-from corpusloom.plans.views import EDGES
+from corpusloom.plans.views import EDGES, PAST_DAY
 from tests.oracle import connection
 
 QUERIES = catalog.queries()
@@ -62,3 +62,42 @@ def test_components_fail_when_rounds_run_out(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
     with pytest.raises(RuntimeError, match="after 1 rounds"):
         G.components(chain, most_rounds=1)
+
+
+def neighbours(pairs):
+    out = defaultdict(set)
+    for u, v in pairs:
+        out[u].add(v)
+        out[v].add(u)
+    return out
+
+
+def steps_from(near, source):
+    seen, front = {source: 0}, {source}
+    while front:
+        front = {b for a in front for b in near.get(a, ())} - seen.keys()
+        seen |= dict.fromkeys(front, max(seen.values()) + 1)
+    return seen
+
+
+def brute_distances(links, asked):
+    near = neighbours(links)
+    walks = {u: steps_from(near, u) for u in {u for u, _ in asked}}
+    return {(u, v): walks[u].get(v, -1) for u, v in asked}
+
+
+def test_distances_of_all_later_pairs(spark, data, all_edges):
+    found = {(r["u"], r["v"]): r["distance"] for r in QUERIES["grf8_annotated_pairs_whole"](spark, data).collect()}
+    assert found == brute_distances({r[1:3] for r in all_edges if r[3] < PAST_DAY}, {r[1:3] for r in all_edges if r[3] >= PAST_DAY})
+    assert {1, 2} <= set(found.values())
+
+
+@pytest.mark.parametrize("held", [0, 1000])
+def test_distances_of_any_length(spark, held):
+    links = [(i, i + 1) for i in range(9)] + [(20, 21)]
+    asked = [(0, 9), (0, 1), (3, 7), (0, 20), (20, 21), (50, 50), (0, 50), (50, 0), (4, 4)]
+    snap = spark.createDataFrame(links, "u long, v long").withColumn("links", F.lit(1))
+    found = G.all_pair_distances(snap, spark.createDataFrame(asked + asked[:2], "u long, v long"), held_pairs=held)
+    rows = found.collect()
+    assert {(r["u"], r["v"]): r["distance"] for r in rows} == brute_distances(links, asked) and len(rows) == len(asked)
+    assert [r["distance"] for r in G.all_pair_distances(snap.limit(0), spark.createDataFrame([(1, 2)], "u long, v long"), held_pairs=held).collect()] == [-1]
