@@ -402,6 +402,12 @@ def _(t, s, d):
     return G.two_step_pairs(snap).select("u", "v").join(snap, ["u", "v"], "left_anti")
 
 
+@q("smp12_distance_candidates_whole")
+def _(t, s, d):
+    snap = cut(G.snapshot(edges(t), PAST_DAY))
+    return G.two_step_pairs(snap).select("u", "v").join(snap, ["u", "v"], "left_anti")
+
+
 @q("smp13_capped_candidates")
 def _(t, s, d):
     from corpusloom.operators.ordering import top_per_group

@@ -183,6 +183,11 @@ def _(t, s, d):
     return two_step_pairs(snapshot(edges(t), 9161))
 
 
+@q("joi18_two_step_pairs_whole")
+def _(t, s, d):
+    return two_step_pairs(snapshot(edges(t), PAST_DAY))
+
+
 # --- aggregates
 
 

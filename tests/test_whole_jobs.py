@@ -101,3 +101,24 @@ def test_distances_of_any_length(spark, held):
     rows = found.collect()
     assert {(r["u"], r["v"]): r["distance"] for r in rows} == brute_distances(links, asked) and len(rows) == len(asked)
     assert [r["distance"] for r in G.all_pair_distances(snap.limit(0), spark.createDataFrame([(1, 2)], "u long, v long"), held_pairs=held).collect()] == [-1]
+
+
+def brute_two_steps(links):
+    near, out = neighbours(links), Counter()
+    for ends in near.values():
+        out.update((a, b) for a in ends for b in ends if a < b)
+    return out
+
+
+@pytest.fixture(scope="module")
+def past_links(all_edges):
+    return {r[1:3] for r in all_edges if r[3] < PAST_DAY}
+
+
+def test_two_step_pairs_of_the_past(spark, data, past_links):
+    assert {(r["u"], r["v"]): r["common"] for r in QUERIES["joi18_two_step_pairs_whole"](spark, data).collect()} == brute_two_steps(past_links)
+
+
+def test_distance_candidates_of_the_past(spark, data, past_links):
+    found = [(r["u"], r["v"]) for r in QUERIES["smp12_distance_candidates_whole"](spark, data).collect()]
+    assert sorted(found) == sorted(brute_two_steps(past_links).keys() - past_links)
