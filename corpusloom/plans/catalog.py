@@ -12,7 +12,7 @@ MODULES = (text_queries, filter_queries, relational_queries, model_queries)
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best pairs of concepts that are not linked yet, with labels, degrees and distance."""
-    return queries()["mod8_prospective_pairs"](spark, sf_dir)
+    return queries()["mod8_prospective_pairs_whole"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

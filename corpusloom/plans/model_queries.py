@@ -540,6 +540,10 @@ def _(t, s, d):
     return top_unlinked_pairs(t, _EARLY, 50)
 
 
+@q("mod8_prospective_pairs_whole")
+def _(t, s, d):
+    return top_unlinked_pairs(t, PAST_DAY, 50)
+
 
 # --- metrics
 

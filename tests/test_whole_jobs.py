@@ -122,3 +122,11 @@ def test_two_step_pairs_of_the_past(spark, data, past_links):
 def test_distance_candidates_of_the_past(spark, data, past_links):
     found = [(r["u"], r["v"]) for r in QUERIES["smp12_distance_candidates_whole"](spark, data).collect()]
     assert sorted(found) == sorted(brute_two_steps(past_links).keys() - past_links)
+
+
+def test_prospective_pairs_and_entry_of_the_past(spark, data, past_links):
+    near, common = neighbours(past_links), brute_two_steps(past_links)
+    best = sorted((-n, *pair) for pair, n in common.items() if pair not in past_links)[:50]
+    expected = [(i, u, v, len(near[u]), len(near[v]), 2, -n) for i, (n, u, v) in enumerate(best, 1)]
+    for df in (QUERIES["mod8_prospective_pairs_whole"](spark, data), catalog.flagship(spark, data)):
+        assert sorted(tuple(r[c] for c in ("rank", "u", "v", "degree_a", "degree_b", "graph_distance", "score")) for r in df.collect()) == expected
