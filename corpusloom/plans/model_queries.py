@@ -663,8 +663,17 @@ def _(t, s, d):
 
 @q("hlp16_pair_labels", f"WITH {EDGES}, {LOOKUP} SELECT e.work_id, e.u, e.v, a.concept || ' ; ' || b.concept AS text FROM edges e JOIN lookup a ON a.id = e.u JOIN lookup b ON b.id = e.v WHERE e.day < 9136")
 def _(t, s, d):
+    return _pair_labels(t, G.until(edges(t), 9136))
+
+
+@q("hlp16_pair_labels_whole", f"WITH {EDGES}, {LOOKUP} SELECT e.work_id, e.u, e.v, a.concept || ' ; ' || b.concept AS text FROM edges e JOIN lookup a ON a.id = e.u JOIN lookup b ON b.id = e.v")
+def _(t, s, d):
+    return _pair_labels(t, edges(t))
+
+
+def _pair_labels(t, pairs):
     labels = small_side(lookup(t))
-    out = G.until(edges(t), 9136).join(labels.select(F.col("id").alias("u"), F.col("concept").alias("a")), "u").join(labels.select(F.col("id").alias("v"), F.col("concept").alias("b")), "v")
+    out = pairs.join(labels.select(F.col("id").alias("u"), F.col("concept").alias("a")), "u").join(labels.select(F.col("id").alias("v"), F.col("concept").alias("b")), "v")
     return out.select("work_id", "u", "v", F.concat_ws(" ; ", "a", "b").alias("text"))
 
 

@@ -130,3 +130,7 @@ def test_prospective_pairs_and_entry_of_the_past(spark, data, past_links):
     expected = [(i, u, v, len(near[u]), len(near[v]), 2, -n) for i, (n, u, v) in enumerate(best, 1)]
     for df in (QUERIES["mod8_prospective_pairs_whole"](spark, data), catalog.flagship(spark, data)):
         assert sorted(tuple(r[c] for c in ("rank", "u", "v", "degree_a", "degree_b", "graph_distance", "score")) for r in df.collect()) == expected
+
+
+def test_labels_of_all_pairs(spark, data, all_edges):
+    assert QUERIES["hlp16_pair_labels_whole"](spark, data).count() == len(all_edges)
