@@ -67,12 +67,15 @@ def collapse_copies(df: DataFrame, record: str, key: Column, *, hot_rows: int =
     return cold.unionByName(salted.groupBy("key").agg(F.min("representative").alias("representative"), F.sum("copies").alias("copies"))), members
 
 
-def copy_pairs(members: DataFrame, *, salts: int = 64) -> DataFrame:
+def copy_pairs(members: DataFrame, classes: DataFrame | None = None, *, salts: int = 64) -> DataFrame:
     """(record_a, record_b), record_a < record_b: all pairs of members with the same key.
 
+    With ``classes``, only members of those with several copies enter the join.
     The pairs are joined on the key; members of a hot key are dealt to ``salts`` parts on one side
     and repeated for each part on the other, so that no task holds such a group whole.
     """
+    if classes is not None:
+        members = cut(members.join(classes.where("copies > 1").select("key"), "key", "left_semi"))
     left = members.select(F.col("record").alias("record_a"), "key", F.when(F.col("hot"), _salt("record", salts)).otherwise(0).alias("salt"))
     parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = members.select(F.col("record").alias("record_b"), "key", F.explode(parts).alias("salt"))

@@ -31,7 +31,7 @@ def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = _works(spark, sf_dir)
     classes, members = collapse_copies(works, "pmid", label_multiset_key(works["llm_concepts"]))
-    pairs = copy_pairs(members)
+    pairs = copy_pairs(members, classes)
     return pairs.select(F.col("record_a").alias("pmid_a"), F.col("record_b").alias("pmid_b"))
 
 
