@@ -246,8 +246,9 @@ def link_values(values: DataFrame, reference: DataFrame, *, value: str, entry: s
     ``block_entries``; a reference of more entries is dealt to several blocks by hash, each block
     answers for all values, and of the answers the one with fewest typing errors holds, if it lies
     ``margin`` before the next. The distinct words of all entries go with every block.
-    Values without letters or digits, an empty reference and values of several thousand characters
-    come out unmatched. An empty table gives no rows. Other columns are not looked at.
+    Values without letters or digits, an empty reference and values whose normal form is longer than
+    any entry's by more than ``most_errors`` come out unmatched; acceptance and margin go by typing
+    errors, the cosine only chooses candidates. An empty table gives no rows. Other columns are not looked at.
     """
     spark = values.sparkSession
     distinct = spread(values.select(values[value].alias("value")).where("value IS NOT NULL").distinct(), "value")
@@ -276,7 +277,7 @@ def link_values(values: DataFrame, reference: DataFrame, *, value: str, entry: s
                 for start in range(0, batch.num_rows, 512):
                     part = batch.slice(start, 512)
                     raw = part.column(0).to_pylist()
-                    forms = [normal_form(t) if len(t) <= 4 * longest + 200 else () for t in raw]
+                    forms = [normal_form(t) for t in raw]
                     fit = sorted({w for w in forms if w and sum(map(len, w)) <= longest})
                     answer = dict(zip(fit, index.scored(fit))) if fit else {}
                     found = [answer.get(w) or (None, None) for w in forms]
