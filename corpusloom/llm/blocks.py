@@ -1,0 +1,23 @@
+"""Meetings of the members of a group in blocks, so that no task holds a large group whole."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def block_meetings(members: DataFrame, group: str, block: str, blocks: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Two sides (``group``, low, high, value) whose join on the first three lets each two blocks of a group meet once.
+
+    ``block`` is the block of a member, from 0, and ``blocks`` the number of those of its group. The
+    first side goes to the meetings with its own and later blocks, the second to those with its own and
+    earlier ones; so each member is sent ``blocks + 1`` times, and a meeting holds two blocks.
+    """
+    first = members.select(group, F.col(block).alias("low"), F.explode(F.sequence(F.col(block), F.col(blocks) - 1)).alias("high"), F.col(value).alias("first"))
+    second = members.select(group, F.explode(F.sequence(F.lit(0), F.col(block))).alias("low"), F.col(block).alias("high"), F.col(value).alias("second"))
+    return first, second
+
+
+def block_of(value: Column, blocks: Column) -> Column:
+    """Block of a member, by a hash of its value."""
+    return F.pmod(F.xxhash64(value), blocks).cast("int")

@@ -41,6 +41,10 @@ def cell_keys(cell: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(named, letters_digits), lambda k: k != ""))
 
 
+def _bit(i: int) -> Column:
+    return F.lit(1 << i).cast("bigint")
+
+
 def _votes(cells: list[str]) -> Column:
     """Array of (key, mask): each label of the item with the bits of the annotators who name it, first named first."""
     everything = F.array_distinct(F.concat(*(F.col(c) for c in cells)))
@@ -48,13 +52,13 @@ def _votes(cells: list[str]) -> Column:
         everything,
         lambda k: F.struct(
             k.alias("key"),
-            reduce(lambda a, b: a + b, (F.when(F.array_contains(F.col(c), k), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(cells))).alias("mask"),
+            reduce(lambda a, b: a + b, (F.when(F.array_contains(F.col(c), k), _bit(i)).otherwise(F.lit(0).cast("bigint")) for i, c in enumerate(cells))).alias("mask"),
         ),
     )
 
 
 def _weight(mask: Column, weights: list[float]) -> Column:
-    return reduce(lambda a, b: a + b, (F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(float(w))).otherwise(F.lit(0.0)) for i, w in enumerate(weights)))
+    return reduce(lambda a, b: a + b, (F.when(mask.bitwiseAND(_bit(i)) != 0, F.lit(float(w))).otherwise(F.lit(0.0)) for i, w in enumerate(weights)))
 
 
 def _best(masks: Column, weights: list[float], shared_first: bool) -> Column:
@@ -72,7 +76,7 @@ def _best(masks: Column, weights: list[float], shared_first: bool) -> Column:
 
 def _loo_hit(masks: Column, annotator: int, weights: list[float], loo: str, shared_first: bool) -> Column:
     """Whether the annotator's cell names the label that the others' votes support."""
-    own = F.lit(1 << annotator)
+    own = _bit(annotator)
     if loo == "any":
         return F.exists(masks, lambda m: (m.bitwiseAND(own) != 0) & (m != own))
     others = F.transform(masks, lambda m: m.bitwiseAND(F.bitwise_not(own)))
@@ -85,8 +89,8 @@ def annotator_consensus(df: DataFrame, item: str, annotators: list[str], *, loo:
 
     Rounds alternate between the weighted consensus of each item and the accuracy of each annotator
     against the consensus of the others (leave-one-out), until no weight moves by more than
-    ``tolerance``. With ``loo="any"`` an annotator's cell is right if any other person on the item
-    names one of its labels. The accuracy is ``(agreed + smoothing) / (marked + 2 * smoothing)``,
+    ``tolerance``. With ``loo="any"`` the leave-one-out step takes as right what any other person on
+    the item names; that does not depend on weights, so the second round finds them stable. The accuracy is ``(agreed + smoothing) / (marked + 2 * smoothing)``,
     over items with at least two marked cells. With ``shared_first`` a label named in two cells goes
     before any label named in one. Ties go to the label named first, in the order of the columns and
     within a cell.
@@ -128,7 +132,7 @@ def annotator_consensus(df: DataFrame, item: str, annotators: list[str], *, loo:
         fresh = [(a + smoothing) / (m + 2 * smoothing) if m + smoothing > 0 else 0.5 for m, a in counts]
         moved = max(abs(a - b) for a, b in zip(weights, fresh))
         weights = fresh
-        if moved <= tolerance or loo == "any":  # support by any other person does not depend on weights
+        if moved <= tolerance:
             break
 
     masks = F.transform("votes", lambda v: v["mask"])

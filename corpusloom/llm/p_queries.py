@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import broadcast_if_small, ship, table
+from corpusloom.session import broadcast_if_small, cut, ship, table
 
 from .bpe import encode_texts
 from .consensus import Consensus, annotator_consensus
-from .copies import collapse_copies, copy_pairs, label_multiset_key
+from .copies import class_members, collapse_copies, copy_pairs, label_multiset_key
 from .labels import decode_labels, letters_digits
 from .language import fit_labeller, label_languages, labelled_sample, named_language, sentence_languages
 from .linking import link_mentions
 from .mixing import mix, mixture_shares
-from .stuffing import page_shapes
+from .stuffing import corpus_shapes, line_shapes, page_shapes
 from .together import baskets_of, pairs_together
 
 ANNOTATORS = ["annotator1", "annotator2", "annotator3"]
@@ -41,6 +41,19 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(F.col("representative").alias("pmid"), F.col("copies").alias("n_works"))
 
 
+def p1_collapsed_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same result with a bound of hot keys low enough that keys of the table are salted."""
+    works = _works(spark, sf_dir)
+    classes, _ = collapse_copies(works, "pmid", label_multiset_key(works["llm_concepts"]), hot_rows=3)
+    return classes.select(F.col("representative").alias("pmid"), F.col("copies").alias("n_works"))
+
+
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    works = _works(spark, sf_dir)
+    classes, members = collapse_copies(works, "pmid", label_multiset_key(works["llm_concepts"]), hot_rows=3)
+    return class_members(members, classes).select(F.col("record").alias("pmid"), F.col("representative").alias("same_as"), "copies")
+
+
 def _consensus(spark: SparkSession, sf_dir: str, **options) -> Consensus:
     return annotator_consensus(table(spark, sf_dir, "annotations"), "item_id", ANNOTATORS, **options)
 
@@ -139,8 +152,12 @@ def p8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).withColumn("outside_share", F.round("outside_share", 6))
 
 
+def p8_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_shapes(cut(line_shapes(table(spark, sf_dir, "documents"), "doc_id", "text"))).withColumn("ended_share", F.round("ended_share", 6))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_consensus, p2_reliability, p2_agreement, p3_found, p3_pairs, p4_found, p5_found, p5_documents, p5_segments, p6_ids, p7_mix, p7_shares, p8_found, p8_pages)
+    f.__name__: f for f in (p1_found, p1_collapsed, p1_collapsed_hot, p1_members, p2_found, p2_consensus, p2_reliability, p2_agreement, p3_found, p3_pairs, p4_found, p5_found, p5_documents, p5_segments, p6_ids, p7_mix, p7_shares, p8_found, p8_pages, p8_shapes)
 }
 
 
@@ -177,11 +194,22 @@ people AS ({' UNION ALL '.join(f"SELECT {i} AS person, count(*) FILTER (len(c{i}
 best AS (SELECT *, row_number() OVER (ORDER BY agreed / marked DESC, person) AS place FROM people),
 votes AS (SELECT item_id, label, count(*) AS n, min(place) AS place FROM (SELECT item_id, place, i, unnest(list_distinct(CASE person WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END)) AS label FROM items, best, (SELECT 0 AS i) WHERE items.marked > 1) GROUP BY ALL)"""
 
+#: Ratings of the cells of an item: of the labels of a cell the one in most cells, the first of these in the order named.
+_RATINGS = f"""named AS (SELECT item_id, cell, place, label, cell * 1000000 + place AS pos FROM (SELECT item_id, 0 AS cell, unnest(c0) AS label, generate_subscripts(c0, 1) AS place FROM items WHERE marked > 1 UNION ALL SELECT item_id, 1, unnest(c1), generate_subscripts(c1, 1) FROM items WHERE marked > 1 UNION ALL SELECT item_id, 2, unnest(c2), generate_subscripts(c2, 1) FROM items WHERE marked > 1)),
+held AS (SELECT item_id, label, count(DISTINCT cell) AS votes, min(pos) AS first_at FROM named GROUP BY ALL),
+rated AS (SELECT item_id, cell, arg_max(label, (votes, -first_at)) AS rating FROM (SELECT DISTINCT item_id, cell, label FROM named) JOIN held USING (item_id, label) GROUP BY ALL),
+units AS (SELECT item_id, rating, count(*) AS n, sum(count(*)) OVER (PARTITION BY item_id) AS m FROM rated GROUP BY item_id, rating),
+seen AS (SELECT sum(n) AS given, count(DISTINCT item_id) AS units, sum(n * (n - 1) / (m - 1)) AS agreed FROM units),
+chance AS (SELECT sum(n::DOUBLE * (n - 1)) AS together FROM (SELECT rating, sum(n) AS n FROM units GROUP BY rating))"""
+
 _SQL = {
     "p1_found": f"WITH {_LABELS}, {_KEYED} SELECT a.pmid AS pmid_a, b.pmid AS pmid_b FROM held a JOIN held b ON a.k = b.k AND a.pmid < b.pmid",
     "p1_collapsed": f"WITH {_LABELS}, {_KEYED} SELECT min(pmid) AS pmid, count(*) AS n_works FROM held GROUP BY k",
+    "p1_collapsed_hot": f"WITH {_LABELS}, {_KEYED} SELECT min(pmid) AS pmid, count(*) AS n_works FROM held GROUP BY k",
+    "p1_members": f"WITH {_LABELS}, {_KEYED} SELECT pmid, min(pmid) OVER (PARTITION BY k) AS same_as, count(*) OVER (PARTITION BY k) AS copies FROM held",
     "p2_found": f"WITH {_ITEMS} SELECT item_id, label AS label_key FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CAST(n >= 2 AS INTEGER) DESC, place, label) AS r FROM votes) WHERE r = 1",
     "p2_reliability": f"WITH {_ITEMS} SELECT 'annotator' || CAST(person + 1 AS VARCHAR) AS annotator, marked, agreed, round(agreed / marked, 6) AS reliability FROM people",
+    "p2_agreement": f"WITH {_ITEMS}, {_RATINGS} SELECT round(1 - (1 - agreed / given) / (1 - together / (given::DOUBLE * (given - 1))), 6) AS alpha, units AS pairable_items, CAST(given AS BIGINT) AS ratings FROM seen, chance",
     "p3_found": f"WITH {_LABELS}, {_BASKETS} SELECT a AS lookup_id_a, b AS lookup_id_b FROM cases",
     "p3_pairs": f"WITH {_LABELS}, {_BASKETS} SELECT a AS lookup_id_a, b AS lookup_id_b, n_ab, n_a, n_b, n_total, round(n_total::DOUBLE * n_ab / (n_a::DOUBLE * n_b), 4) AS lift, round(log2(n_total::DOUBLE * n_ab / (n_a::DOUBLE * n_b)), 4) AS pmi FROM cases",
 }

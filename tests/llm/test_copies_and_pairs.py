@@ -49,14 +49,55 @@ def test_copies_against_brute_force(spark, hot_rows):
         if i % len(forms) in same:
             groups[same[i % len(forms)]].add(i)
     assert sorted((r["representative"], r["copies"]) for r in classes.collect()) == sorted((min(g), len(g)) for g in groups.values())
-    pairs = sorted(tuple(r) for r in C.copy_pairs(members, salts=3).collect())
+    pairs = sorted(tuple(r) for r in C.copy_pairs(members, classes, block_records=5, salts=3).collect())
     assert pairs == sorted(p for g in groups.values() for p in itertools.combinations(sorted(g), 2))
 
 
 def test_copies_of_nothing(spark):
     df, _ = works(spark)
     classes, members = C.collapse_copies(df.limit(0), "pmid", C.label_multiset_key(df["v"]))
-    assert classes.count() == 0 and C.copy_pairs(members).count() == 0
+    assert classes.count() == 0 and C.copy_pairs(members, classes).count() == 0
+
+
+def test_a_class_of_a_hundred_thousand(spark):
+    """A third of all records in one class, and other large ones: every block pair meets once, in tasks of bounded size."""
+    n = 100_000
+    df = spark.range(3 * n).select(F.col("id").alias("pmid"), F.when(F.col("id") < n, "one; class").when(F.col("id") < n + 9000, "another").otherwise(F.col("id").cast("string")).alias("v"))
+    classes, members = C.collapse_copies(df, "pmid", C.label_multiset_key(df["v"]), hot_rows=1000)
+    assert sorted(tuple(r) for r in classes.where("copies > 1").select("representative", "copies").collect()) == [(0, n), (n, 9000)]
+    assert C.class_members(members, classes, least=2).groupBy("representative").count().count() == 2
+    assert C.copy_pairs(members, classes).count() == n * (n - 1) // 2 + 9000 * 8999 // 2
+
+
+def test_more_hot_keys_than_are_broadcast(spark):
+    df = spark.range(400).select(F.col("id").alias("pmid"), (F.col("id") % 9).cast("string").alias("v"))
+    classes, members = C.collapse_copies(df, "pmid", df["v"], hot_rows=10, salts=3, broadcast_rows=2)
+    assert sorted((r["representative"], r["copies"]) for r in classes.collect()) == [(k, len(range(k, 400, 9))) for k in range(9)]
+    assert C.class_members(members, classes, salts=3, broadcast_rows=2).where("record % 9 = representative").count() == 400
+
+
+def test_a_basket_of_fifty_thousand_items(spark):
+    """Only items that other baskets have too can be in a pair; the large basket is dealt to blocks."""
+    rows = spark.range(50_000).select(F.lit(0).alias("b"), F.col("id").alias("i")).union(spark.range(400).select((F.col("id") % 2 + 1).alias("b"), (F.col("id") * 100).alias("i")))
+    baskets = baskets_of(rows, "b", "i")
+    assert baskets.where("basket = 0").agg(F.max("blocks"), F.sum(F.size("items"))).first()[0] == 49
+    found = {(r["item_a"], r["item_b"]): r["n_ab"] for r in pairs_together(baskets, min_baskets=2).collect()}
+    held = [{x * 100 for x in range(400) if x % 2 == k} for k in (0, 1)]
+    assert found == {p: 2 for h in held for p in itertools.combinations(sorted(h), 2)}
+
+
+@pytest.mark.parametrize("list_items", [2, 3, 1000])
+def test_large_baskets_against_brute_force(spark, list_items):
+    rows = [(b, (b * k * k) % 23) for b in range(12) for k in range(1, 12)] + [(b, None) for b in range(20)]
+    baskets = baskets_of(spark.createDataFrame(rows, "b long, i long"), "b", "i", list_items=list_items, broadcast_rows=3)
+    held = defaultdict(set)
+    for b, i in rows:
+        held[b] |= {i} - {None}
+    both = Counter(p for s in held.values() for p in itertools.combinations(sorted(s), 2))
+    for least in (1, 3):
+        for broadcast_rows in (1, 1000):
+            found = {(r["item_a"], r["item_b"]): (r["n_ab"], r["n_total"]) for r in pairs_together(baskets, min_baskets=least, broadcast_rows=broadcast_rows).collect()}
+            assert found == {p: (n, 20) for p, n in both.items() if n >= least}
 
 
 def test_pairs_together_against_brute_force(spark):
@@ -89,6 +130,11 @@ def test_consensus_by_any_support(spark):
     assert found == {1: "a", 2: "a", 3: "y", 5: "a", 6: "c", 7: "q", 8: "q"}
 
 
+def test_any_support_goes_in_rounds_until_stable(spark):
+    df = spark.createDataFrame([r[:4] for r in CELLS], "item_id long, p1 string, p2 string, p3 string")
+    assert annotator_consensus(df, "item_id", ["p1", "p2", "p3"], loo="any", smoothing=0.0).agreement.first()["rounds"] == 2
+
+
 def test_consensus_converges_and_alpha(spark):
     df = spark.createDataFrame([(i, f"l{i % 3}", f"l{i % 3}", f"l{(i if i % 4 else i + 1) % 3}") for i in range(40)], "item_id long, p1 string, p2 string, p3 string")
     out = annotator_consensus(df, "item_id", ["p1", "p2", "p3"])

@@ -16,6 +16,8 @@ def test_pairs_follow_the_classes(spark, hot_rows):
     expected = sorted(p for k in range(4) for p in itertools.combinations(range(k, 20, 4), 2))
     assert sorted(map(tuple, C.copy_pairs(members, classes, salts=3).collect())) == expected
     assert C.copy_pairs(members, classes.where(F.lit(False)), salts=3).count() == 0
+    held = {(r["representative"], r["record"], r["copies"]) for r in C.class_members(members, classes).collect()}
+    assert held == {(k, i, 5) for k in range(4) for i in range(k, 20, 4)} | {(i, i, 1) for i in range(20, 40)}
 
 
 def test_found_pairs_use_the_classes(spark, data, monkeypatch):

@@ -3,6 +3,7 @@
 import base64
 import random
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -155,20 +156,51 @@ PAGES = [
 ]
 
 
-@pytest.mark.parametrize(("text", "flagged"), PAGES)
-def test_pages(text, flagged):
-    assert stuffing.page_profile(text)[2] is flagged
+def corpus(spark, rows):
+    """``rows`` of (id, body) in a corpus of talk, with a column whose name clashes."""
+    talk = [(1000 + i, " ".join(SENTENCE.format(i * k % 83 + 12, "abcdefg"[i % 7], "knee hip spine wrist ankle".split()[k % 5]) for k in range(1, 5))) for i in range(60)]
+    return spark.createDataFrame([(*r, "x") for r in [*rows, *talk]], "id long, body string, flagged string")
+
+
+SENTENCE = "Of the {} patients seen in ward {}, none had pain in the {} after the second week of the trial."
+
+
+def test_pages(spark):
+    out = {r["id"]: r for r in stuffing.page_shapes(corpus(spark, [(i, t) for i, (t, _) in enumerate(PAGES)]), "id", "body").collect()}
+    assert [out[i]["flagged"] for i in range(len(PAGES))] == [flagged for _, flagged in PAGES]
+    assert not any(r["flagged"] for i, r in out.items() if i >= 1000)
 
 
 def test_page_table(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "<p></p>"), (5, "hip implant; " * 200_000), (5, TALK), (None, TALK)]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "id long, body string, flagged string")
-    out = stuffing.page_shapes(df, "id", "body").collect()
+    df = corpus(spark, rows)
+    out = [r for r in stuffing.page_shapes(df, "id", "body").collect() if (r["id"] or 0) < 1000]
     assert len(out) == len(rows) and [r["id"] for r in out if r["flagged"]] == [5]
     assert {r["id"]: r["outside_share"] for r in out if r["id"] in (1, 2, 3, 4)} == {1: None, 2: None, 3: None, 4: 0.0}
     assert stuffing.page_shapes(df.limit(0), "id", "body").count() == 0
 
 
+def test_corpus_shapes_count_everything(spark):
+    lines = stuffing.line_shapes(corpus(spark, [(1, "hip implant | knee brace\nhttps://a.example/x"), (2, None)]), "id", "body")
+    shapes = stuffing.corpus_shapes(lines).collect()
+    assert sum(r["segments"] for r in shapes) == 60 * 4 + 2 and sum(r["segments"] for r in shapes if r["sentences"]) == 240
+    assert len({r["shape"] for r in shapes}) == len(shapes) <= stuffing.N_SHAPES + 1
+    assert stuffing.Shape(4, 4, 2, 1, 1, 1, 1, 1).code == stuffing.N_SHAPES - 1
+
+
+@pytest.mark.parametrize("text", ["[" * 300_000, "[a](" * 100_000, "<a " * 100_000, "<" + " " * 300_000, "a." * 200_000, "#" * 300_000, "<a>x" * 100_000, '."' * 200_000, "? " * 200_000, "(see [x](" + "y" * 300_000 + ")"])
+def test_scanning_is_linear(text):
+    start = time.time()
+    sizes, _ = stuffing.shape_sizes(text)
+    assert time.time() - start < 5 and sum(sizes.values()) <= len(text)
+
+
+def test_long_links_are_links():
+    address = "https://a.example/" + "x" * 5000
+    assert stuffing.shape_sizes(f"[{'shop ' * 400}]({address})")[0] == {None: 2000 + len(address) + 4}
+    assert stuffing.shape_sizes(f'<a href="{address}">{"<b>buy</b> " * 400}</a>')[1][None] == 1
+
+
 def test_import_only_here():
     import pathlib
 
