@@ -1,5 +1,7 @@
 """Linking of typed values to entries."""
 
+from collections import Counter
+
 import pytest
 
 from corpusloom.llm import linking as L
@@ -7,9 +9,24 @@ from corpusloom.llm import linking as L
 ENTRIES = ["fistula formation", "bronchial fistula formation", "hyperkalemia after transfusion", "hypokalemia after transfusion", "pediatric tumor resection", "grade 2 splenic injury", "grade 3 splenic injury", "serum α-fetoprotein level", "abduction splint", "adduction splint", "gastric nerve monitoring", "stainless steel coating"]
 
 
+def index_of(entries, threshold=0.6):
+    forms = [L.normal_form(e) for e in entries]
+    numbers = {"".join(c for c in "".join(w) if c.isdigit()) for w in forms}
+    return L.ReferenceIndex(list(enumerate(forms)), L.gram_counts(map("".join, forms)), len(forms), numbers, threshold=threshold, most_errors=3)
+
+
+def resolve(index, value, vocabulary):
+    return L.decide(index.found([L.normal_form(value)], vocabulary.facts)[0], 0.02)
+
+
 @pytest.fixture(scope="module")
 def index():
-    return L.ReferenceIndex(list(range(len(ENTRIES))), ENTRIES, threshold=0.5, most_errors=3, margin=1)
+    return index_of(ENTRIES)
+
+
+@pytest.fixture(scope="module")
+def vocabulary(index):
+    return L.Vocabulary(w for ws in index.words for w in ws)
 
 
 @pytest.mark.parametrize(
@@ -21,8 +38,8 @@ def index():
         ("steel coating, stainless", 11), ("(fistula formation)", 0), ("bronchial fistula", None), ("", None), ("???", None),
     ],
 )
-def test_values(index, value, entry):
-    assert index.resolve([L.normal_form(value)])[0] == entry
+def test_values(index, vocabulary, value, entry):
+    assert resolve(index, value, vocabulary) == entry
 
 
 def brute(a, b):
@@ -47,20 +64,74 @@ def test_typing_errors_against_brute_force():
         assert L.typing_errors(a, b, 3) == min(brute(a, b), 4)
 
 
-def test_every_close_entry_is_a_candidate(index):
-    """No entry within the allowed errors is lost by the index."""
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.9])
+def test_candidates_against_brute_force(threshold):
+    """All pairs whose cosine reaches the threshold, and no others, come out of the index."""
+    import random
+
+    import numpy as np
+
+    rng, index = random.Random(4), index_of(ENTRIES, threshold)
+    for _ in range(150):
+        texts = []
+        for _ in range(5):
+            text = list(rng.choice(index.joined))
+            for _ in range(rng.randint(0, 3)):
+                text[rng.randrange(len(text))] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+            texts.append("".join(text))
+        letters, of, gram = L._letters_and_grams(texts)
+        query, entry, cosine = index.candidates(letters, np.array([len(t) for t in texts]), of, gram)
+        found = {(q, e): c for q, e, c in zip(query.tolist(), entry.tolist(), cosine.tolist())}
+        for q, text in enumerate(texts):
+            held = set(gram[of == q].tolist())
+            for e, other in enumerate(index.joined):
+                own = set(index.grams[index.grams_start[e] : index.grams_start[e + 1]].tolist())
+                norms = [sum(index.weight[g] ** 2 for g in x) ** 0.5 for x in (held, own)]
+                cos = sum(index.weight[g] ** 2 for g in held & own) / max(norms[0] * norms[1], 1e-9)
+                if Counter(filter(str.isdigit, text)) == Counter(filter(str.isdigit, other)) and abs(cos - threshold) > 1e-6 and abs(len(text) - len(other)) <= 3 and sum((Counter(text) - Counter(other)).values()) + sum((Counter(other) - Counter(text)).values()) <= 6:
+                    assert ((q, e) in found) == (cos >= threshold)
+                    assert (q, e) not in found or found[q, e] == pytest.approx(cos)
+
+
+def test_decision():
+    def c(cosine, errors, ref_id, other=False):
+        return L.Candidate(cosine, errors, ref_id, other)
+
+    assert L.decide([], 0.02) is None
+    assert L.decide([c(0.9, 2, 1), c(0.8, 1, 2)], 0.02) == 1  # the cosine decides beyond the margin
+    assert L.decide([c(0.9, 2, 1), c(0.89, 1, 2)], 0.02) == 2  # the errors decide within it
+    assert L.decide([c(0.9, 1, 1), c(0.89, 1, 2)], 0.02) is None
+    assert L.decide([c(0.9, 1, 1, True), c(0.5, 1, 2)], 0.02) is None
+
+
+def test_facts_of_parts_of_a_vocabulary(vocabulary):
+    words = sorted(vocabulary.words)
+    for parts in (1, 2, 5):
+        dealt = [L.Vocabulary(words[k::parts]) for k in range(parts)]
+        for word in ["fistula", "fistla", "aduction", "postoperatively", "bronchialfistula", "xy", "serumlevel"]:
+            assert L.merged_facts(v.facts(word) for v in dealt) == vocabulary.facts(word)
+
+
+def test_the_number_of_blocks_does_not_matter(spark):
+    """Equal normal forms, ties and weights are those of the whole list, however it is dealt."""
     import random
 
-    rng = random.Random(4)
-    for _ in range(600):
-        i = rng.randrange(len(ENTRIES))
-        text = list(index.joined[i])
+    rng = random.Random(7)
+    entries = [*ENTRIES, "tumour marker", "tumor marker", "tumor marked", "tumor barker"] + [f"{a} {b} repair" for a in ("gastric", "pastric", "hepatic", "cardiac") for b in ("wall", "vein", "duct", "fall")]
+    values = {"tumor markr", "tumor marker", "gastric vall repair", "aduction splint"}
+    for _ in range(300):
+        text = list(rng.choice(entries))
         for _ in range(rng.randint(0, 2)):
-            text[rng.randrange(len(text))] = rng.choice("abcdefghijklmnopqrstuvwxyz")
-        text = "".join(text)
-        _, of, gram = L._letters_and_grams([text])
-        if brute(text, index.joined[i]) <= (1 if len(text) < 18 else 2):
-            assert i in index.candidates(of, gram, 1)[1].tolist()
+            text[rng.randrange(len(text))] = rng.choice("abcdefghijklmnopqrstuvwxyz ")
+        values.add("".join(text))
+    reference = spark.createDataFrame(list(enumerate(entries, 1)), "id long, concept string")
+    table = spark.createDataFrame([(v,) for v in sorted(values)], "label string")
+    results = []
+    for options in ({}, {"block_entries": 20}, {"block_entries": 5}, {"words_broadcast": 9}, {"words_broadcast": 9, "block_entries": 15}):
+        out = L.link_values(table, reference, value="label", entry="concept", entry_id="id", **options)
+        results.append({r["label"]: r["ref_id"] for r in out.collect()})
+    assert len(results[0]) == len(values) and len([x for x in results[0].values() if x]) > 150
+    assert results[0]["tumor markr"] == 13 and all(r == results[0] for r in results[1:])
 
 
 @pytest.mark.parametrize("options", [{}, {"block_entries": 3}])
