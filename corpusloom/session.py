@@ -56,16 +56,17 @@ def plan_bytes(df: DataFrame) -> int | None:
     return estimate if estimate < 1 << 55 else None
 
 
-def spread(df: DataFrame, *keys: str | Column, task_mb: int = 24) -> DataFrame:
+def spread(df: DataFrame, *keys: str | Column, task_mb: int = 24, size: int | None = None) -> DataFrame:
     """``df`` in as many partitions as work that is heavy on CPU needs.
 
     At least three tasks a core, and one for every ``task_mb`` of estimated input, so that the number
-    follows the data; given explicitly, as adaptive coalescing looks at bytes and not at CPU time.
-    Without an estimate it is the session's number of shuffle partitions.
+    follows the data without an upper bound; given explicitly, as adaptive coalescing looks at bytes
+    and not at CPU time. ``size`` is the estimate where that of ``df`` itself says nothing. Without an
+    estimate it is the session's number of shuffle partitions.
     """
-    cores, size = df.sparkSession.sparkContext.defaultParallelism, plan_bytes(df)
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, size or plan_bytes(df)
     wanted = -(-size // (task_mb << 20)) if size is not None else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(min(max(3 * cores, wanted), 100_000), *keys)
+    return df.repartition(min(max(3 * cores, wanted), 2**31 - 1), *keys)
 
 
 def small(df: DataFrame, most: int) -> bool:
