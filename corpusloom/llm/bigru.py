@@ -1,122 +1,172 @@
-"""A bidirectional gated recurrent network over bytes, in numpy, with its training by backpropagation through time."""
+"""A bidirectional gated recurrent network over bytes, in numpy, with its training by backpropagation through time.
+
+Both directions run side by side in arrays with a leading axis of two, so that a step over a byte costs
+one set of calls for both.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 _F = np.float32
+_ROW = np.array([[0], [256]])
+#: Bytes over which states are held at once when labelling.
+BLOCK = 1024
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.multiply(x, 0.5, out=x)
+    np.tanh(x, out=x)
+    np.multiply(x, 0.5, out=x)
+    return np.add(x, 0.5, out=x)
 
 
-@dataclass
-class Direction:
-    """Weights of one direction: input table (256, 3H), recurrent matrix (H, 3H) with its bias, output matrix (H, L)."""
+def _log_softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(1, keepdims=True)
+    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
 
-    inputs: np.ndarray
-    recurrent: np.ndarray
-    bias: np.ndarray
-    output: np.ndarray
 
-    def arrays(self) -> list[np.ndarray]:
-        return [self.inputs, self.recurrent, self.bias, self.output]
-
-    def run(self, codes: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
-        """States (T, B, H) for ``codes`` (T, B); with ``keep`` also what the way back needs."""
-        steps, rows = codes.shape
-        h = self.recurrent.shape[0]
-        state, states = np.zeros((rows, h), _F), np.empty((steps, rows, h), _F)
-        kept = {k: np.empty((steps, rows, h), _F) for k in ("z", "r", "n", "g")} if keep else {}
-        for t in range(steps):
-            a = self.inputs[codes[t]]
-            g = state @ self.recurrent + self.bias
-            zr = _sigmoid(a[:, : 2 * h] + g[:, : 2 * h])
-            z, r, gn = zr[:, :h], zr[:, h:], g[:, 2 * h :]
-            n = np.tanh(a[:, 2 * h :] + r * gn)
-            state = n + z * (state - n)
-            states[t] = state
-            if keep:
-                kept["z"][t], kept["r"][t], kept["n"][t], kept["g"][t] = z, r, n, gn
-        return states, kept
-
-    def gradients(self, codes: np.ndarray, states: np.ndarray, kept: dict, d_logits: np.ndarray) -> list[np.ndarray]:
-        """Gradients of the weights, from those of the logits (T, B, L)."""
-        steps, rows, h = states.shape
-        d_states = d_logits @ self.output.T
-        d_a, d_g = np.empty((steps, rows, 3 * h), _F), np.empty((steps, rows, 3 * h), _F)
-        carried = np.zeros((rows, h), _F)
-        before = np.concatenate([np.zeros((1, rows, h), _F), states[:-1]])
-        for t in range(steps - 1, -1, -1):
-            d = d_states[t] + carried
-            z, r, n, g = kept["z"][t], kept["r"][t], kept["n"][t], kept["g"][t]
-            dn = d * (1 - z) * (1 - n * n)
-            d_a[t, :, :h] = d * (before[t] - n) * z * (1 - z)
-            d_a[t, :, h : 2 * h] = dn * g * r * (1 - r)
-            d_a[t, :, 2 * h :] = dn
-            d_g[t, :, : 2 * h] = d_a[t, :, : 2 * h]
-            d_g[t, :, 2 * h :] = dn * r
-            carried = d * z + d_g[t] @ self.recurrent.T
-        flat_a, flat_g = d_a.reshape(-1, 3 * h), d_g.reshape(-1, 3 * h)
-        order = np.argsort(codes.reshape(-1), kind="stable")
-        sorted_codes = codes.reshape(-1)[order]
-        starts = np.flatnonzero(np.r_[True, sorted_codes[1:] != sorted_codes[:-1]])
-        d_inputs = np.zeros_like(self.inputs)
-        d_inputs[sorted_codes[starts]] = np.add.reduceat(flat_a[order], starts)
-        return [d_inputs, before.reshape(-1, h).T @ flat_g, flat_g.sum(0), states.reshape(-1, h).T @ d_logits.reshape(-1, d_logits.shape[2])]
+def _both(codes: np.ndarray) -> np.ndarray:
+    """(T, 2, B) rows of the input table for bytes (T, B) and for the same read from the end."""
+    return np.stack([codes, codes[::-1]], 1).astype(np.int64) + _ROW
 
 
 @dataclass
 class ByteLabeller:
-    """Labels each byte of a text; ``labels`` names the classes."""
+    """Labels each byte of a text; ``labels`` names the classes.
+
+    Weights of the two directions: input table (512, 3H), recurrent matrices (2, H, 3H) with their
+    biases (2, 1, 3H), output matrices (2, H, L); and the biases of the labels (L).
+    """
 
     labels: list[str]
-    ahead: Direction
-    back: Direction
+    inputs: np.ndarray
+    recurrent: np.ndarray
+    bias: np.ndarray
+    output: np.ndarray
     prior: np.ndarray
 
     @classmethod
     def fresh(cls, labels: list[str], hidden: int, rng: np.random.Generator) -> ByteLabeller:
-        def direction() -> Direction:
-            q, _ = np.linalg.qr(rng.standard_normal((hidden, hidden)))
-            return Direction(
-                (rng.standard_normal((256, 3 * hidden)) * 0.3).astype(_F),
-                np.concatenate([q, q.T, q @ q], axis=1).astype(_F),
-                np.concatenate([np.full(hidden, 1.0), np.zeros(2 * hidden)]).astype(_F),
-                (rng.standard_normal((hidden, len(labels))) * 0.1).astype(_F),
-            )
-
-        return cls(labels, direction(), direction(), np.zeros(len(labels), _F))
+        turns = [np.linalg.qr(rng.standard_normal((hidden, hidden)))[0] for _ in range(2)]
+        return cls(
+            labels,
+            (rng.standard_normal((512, 3 * hidden)) * 0.3).astype(_F),
+            np.stack([np.concatenate([q, q.T, q @ q], axis=1) for q in turns]).astype(_F),
+            np.tile(np.concatenate([np.full(hidden, 1.0), np.zeros(2 * hidden)]), (2, 1, 1)).astype(_F),
+            (rng.standard_normal((2, hidden, len(labels))) * 0.1).astype(_F),
+            np.zeros(len(labels), _F),
+        )
 
     def arrays(self) -> list[np.ndarray]:
-        return [*self.ahead.arrays(), *self.back.arrays(), self.prior]
+        return [self.inputs, self.recurrent, self.bias, self.output, self.prior]
+
+    def _run(self, rows: np.ndarray, state: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """States (T, 2, B, H) for table rows (T, 2, B), going on from ``state`` (2, B, H); ``keep`` gets what the way back needs."""
+        steps, h = rows.shape[0], self.recurrent.shape[1]
+        states = np.empty((steps, *state.shape), _F)
+        inputs, recurrent, bias = self.inputs, self.recurrent, self.bias
+        for t in range(steps):
+            a = inputs[rows[t]]
+            g = np.matmul(state, recurrent)
+            g += bias
+            zr = _sigmoid(a[..., : 2 * h] + g[..., : 2 * h])
+            z, r, gn = zr[..., :h], zr[..., h:], g[..., 2 * h :]
+            n = r * gn
+            n += a[..., 2 * h :]
+            np.tanh(n, out=n)
+            fresh = states[t]
+            np.subtract(state, n, out=fresh)
+            fresh *= z
+            fresh += n
+            state = fresh
+            if keep is not None:
+                keep["zr"][t], keep["n"][t], keep["g"][t] = zr, n, gn
+        return states
 
     def step(self, codes: np.ndarray, targets: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean loss of a batch (T, B) and the gradients of all arrays."""
-        turned = codes[::-1]
-        f, kept_f = self.ahead.run(codes, True)
-        b, kept_b = self.back.run(turned, True)
-        logits = f @ self.ahead.output + b[::-1] @ self.back.output + self.prior
+        steps, batch = codes.shape
+        h = self.recurrent.shape[1]
+        rows = _both(codes)
+        keep = {"zr": np.empty((steps, 2, batch, 2 * h), _F), "n": np.empty((steps, 2, batch, h), _F), "g": np.empty((steps, 2, batch, h), _F)}
+        states = self._run(rows, np.zeros((2, batch, h), _F), keep)
+        logits = states[:, 0] @ self.output[0] + states[::-1, 1] @ self.output[1] + self.prior
         logits -= logits.max(2, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(2, keepdims=True)
-        n = codes.size
         hit = np.take_along_axis(p, targets[:, :, None], 2)
         loss = float(-np.log(np.maximum(hit, 1e-9)).mean())
-        d = p
-        np.put_along_axis(d, targets[:, :, None], hit - 1, 2)
-        d /= n
-        d = d.astype(_F)
-        return loss, [*self.ahead.gradients(codes, f, kept_f, d), *self.back.gradients(turned, b, kept_b, np.ascontiguousarray(d[::-1])), d.sum((0, 1))]
+        np.put_along_axis(p, targets[:, :, None], hit - 1, 2)
+        d = (p / codes.size).astype(_F)
+        both = np.stack([d, d[::-1]], 1)
+        d_states = np.matmul(both, self.output.transpose(0, 2, 1))
+        d_a, d_gn = np.empty((steps, 2, batch, 3 * h), _F), np.empty((steps, 2, batch, h), _F)
+        carried = np.zeros((2, batch, h), _F)
+        before = np.concatenate([np.zeros((1, 2, batch, h), _F), states[:-1]])
+        turned = np.ascontiguousarray(self.recurrent.transpose(0, 2, 1))
+        d_g = np.empty((2, batch, 3 * h), _F)
+        for t in range(steps - 1, -1, -1):
+            carried += d_states[t]
+            z, r, n = keep["zr"][t, ..., :h], keep["zr"][t, ..., h:], keep["n"][t]
+            dn = carried * (1 - z)
+            dn *= 1 - n * n
+            part = d_a[t]
+            part[..., :h] = carried * (before[t] - n) * (z - z * z)
+            part[..., h : 2 * h] = dn * keep["g"][t] * (r - r * r)
+            part[..., 2 * h :] = dn
+            d_gn[t] = dn * r
+            d_g[..., : 2 * h] = part[..., : 2 * h]
+            d_g[..., 2 * h :] = d_gn[t]
+            carried = carried * z
+            carried += np.matmul(d_g, turned)
+        d_inputs = np.zeros_like(self.inputs)
+        flat = d_a.reshape(-1, 3 * h)
+        order = np.argsort(rows.reshape(-1), kind="stable")
+        held = rows.reshape(-1)[order]
+        starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+        d_inputs[held[starts]] = np.add.reduceat(flat[order], starts)
+        d_all = np.concatenate([d_a[..., : 2 * h], d_gn], 3).transpose(1, 0, 2, 3).reshape(2, -1, 3 * h)
+        d_recurrent = np.matmul(before.transpose(1, 3, 0, 2).reshape(2, h, -1), d_all)
+        d_output = np.matmul(states.transpose(1, 3, 0, 2).reshape(2, h, -1), both.transpose(1, 0, 2, 3).reshape(2, -1, d.shape[2]))
+        return loss, [d_inputs, d_recurrent, d_all.sum(1, keepdims=True), d_output, d.sum((0, 1))]
+
+    def _scores(self, rows: np.ndarray, state: np.ndarray, direction: int) -> tuple[np.ndarray, np.ndarray]:
+        """Part of the logits (T, B, L) that one direction gives for table rows (T, B), going on from ``state`` (B, H), and the last state."""
+        one = ByteLabeller(self.labels, self.inputs, self.recurrent[direction : direction + 1], self.bias[direction : direction + 1], self.output, self.prior)
+        states = one._run(rows[:, None], state[None])[:, 0]
+        return states @ self.output[direction], states[-1]
+
+    def long_probabilities(self, data: bytes, block: int = 1 << 15) -> Iterator[tuple[int, np.ndarray]]:
+        """(start, log-probabilities of the next bytes) over a text of any length, in memory of one block.
+
+        The way back runs over the whole text once, keeping its state at the block ends only, and again
+        within each block as the way ahead comes to it; so the result is that of the text in one piece.
+        """
+        codes, h = np.frombuffer(data, np.uint8).astype(np.int64), self.recurrent.shape[1]
+        starts = range(0, len(codes), block)
+        behind, state = {}, np.zeros((1, h), _F)
+        for start in reversed(starts):
+            behind[start] = state
+            if start:
+                for end in range(min(start + block, len(codes)), start, -BLOCK):
+                    state = self._scores(codes[max(start, end - BLOCK) : end][::-1, None] + 256, state, 1)[1]
+        ahead = np.zeros((1, h), _F)
+        for start in starts:
+            part = codes[start : start + block, None]
+            forward, ahead = self._scores(part, ahead, 0)
+            back, _ = self._scores(part[::-1] + 256, behind.pop(start), 1)
+            yield start, _log_softmax(forward[:, 0] + back[::-1, 0] + self.prior)
 
     def log_probabilities(self, texts: list[bytes], cells: int = 1 << 17) -> list[np.ndarray]:
         """(bytes, labels) log-probabilities for each text; texts of like length run together."""
         out: list[np.ndarray] = [np.zeros((0, len(self.labels)), _F)] * len(texts)
         order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
-        at = len(order)
+        h, at = self.recurrent.shape[1], len(order)
         while at > 0:
             steps = len(texts[order[at - 1]])
             part = order[max(0, at - max(1, min(256, cells // steps))) : at]
@@ -127,13 +177,16 @@ class ByteLabeller:
                 codes[row, : lengths[row]] = np.frombuffer(texts[i], np.uint8)
             turn = lengths[:, None] - 1 - np.arange(steps)[None, :]
             turn[turn < 0] += steps  # padding keeps its place behind the text
-            f = self.ahead.run(np.ascontiguousarray(codes.T))[0] @ self.ahead.output
-            b = self.back.run(np.ascontiguousarray(np.take_along_axis(codes, turn, 1).T))[0] @ self.back.output
+            rows = np.stack([codes, np.take_along_axis(codes, turn, 1)]).transpose(2, 0, 1).astype(np.int64) + _ROW
+            state = np.zeros((2, len(part), h), _F)
+            forward, back = (np.empty((steps, len(part), len(self.labels)), _F) for _ in range(2))
+            for start in range(0, steps, BLOCK):  # states of a block only are held; the last one is carried on
+                states = self._run(rows[start : start + BLOCK], state)
+                state = states[-1]
+                forward[start : start + BLOCK], back[start : start + BLOCK] = states[:, 0] @ self.output[0], states[:, 1] @ self.output[1]
             for row, i in enumerate(part):
                 n = lengths[row]
-                logits = f[:n, row] + b[:n, row][::-1] + self.prior
-                logits -= logits.max(1, keepdims=True)
-                out[i] = logits - np.log(np.exp(logits).sum(1, keepdims=True))
+                out[i] = _log_softmax(forward[:n, row] + back[:n, row][::-1] + self.prior)
         return out
 
 

@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import spread
+from corpusloom.session import plan_bytes, spread
 
+from .batches import parts
 from .bigru import ByteLabeller, train
 
 #: Codes and names of languages, by two-letter code.
@@ -21,17 +22,20 @@ LANGUAGE_NAMES = {
     "en": "eng english", "de": "deu ger german deutsch", "fr": "fra fre french français", "es": "spa spanish español castilian", "pt": "por portuguese português", "it": "ita italian italiano",
     "nl": "nld dut dutch nederlands", "sv": "swe swedish svenska", "pl": "pol polish polski", "ru": "rus russian русский", "zh": "zho chi cmn chinese 中文", "ja": "jpn japanese 日本語",
 }
-#: Bound of the training sample: at most so many texts of each language.
-SAMPLE_PER_LANGUAGE = 250
-#: Longest stretch of bytes that is labelled at once, and what is read before and after it for context.
-WINDOW, CONTEXT = 4096, 64
+#: Bound of the training sample: at most so many texts of each language, each of at most so many characters.
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 250, 20_000
+#: Bytes of text that are labelled side by side; a longer text is labelled by itself, in memory of one block.
+BATCH_BYTES = 1 << 20
+#: Rows, and characters of text, that a task remembers to leave out repeated rows before the shuffle.
+SEEN_ROWS, SEEN_CHARS = 100_000, 32 << 20
 #: Least mean probability of a sentence that makes a document mixed.
 SURE = 0.7
 
 _NAMES = {name: code for code, names in LANGUAGE_NAMES.items() for name in (code, *names.split())}
 _END = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|(?<=[。！？])\s*|\n+")
-_QUOTED = re.compile(r"\"[^\"\n]{2,200}\"|“[^”\n]{2,200}”|«[^»\n]{2,200}»|„[^“”\n]{2,200}[“”]|《[^》\n]{2,200}》|「[^」\n]{2,200}」|『[^』\n]{2,200}』")
-_HEADED_LIST = re.compile(r"^\s*[^\W\d][^\n.。:：]{0,40}[:：]\s*[^.。!?]*$")
+_QUOTED = re.compile(r"\"[^\"\n]{2,}+\"|“[^“”\n]{2,}+”|«[^«»\n]{2,}+»|„[^„“”\n]{2,}+[“”]|《[^《》\n]{2,}+》|「[^「」\n]{2,}+」|『[^『』\n]{2,}+』")
+_HEADED_LIST = re.compile(r"^\s*+[^\W\d][^\n.。:：]{0,40}[:：]\s*+[^.。!?]*+$")
+_CLOSED = re.compile(r"[.!?…。！？][\"'”»)\]]*+$")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
@@ -46,7 +50,7 @@ def named_language(label: Column) -> Column:
 def is_sentence(piece: str) -> bool:
     """Whether a piece of text is a whole sentence: ended, of four words or six ideographs, and no list under a heading."""
     text = piece.strip()
-    if not re.search(r"[.!?…。！？][\"'”»)\]]*$", text):
+    if not _CLOSED.search(text):
         return False
     return len(_CJK.findall(text)) >= 6 or len(_WORD.findall(_QUOTED.sub(" ", text))) >= 4
 
@@ -77,7 +81,7 @@ def sentences_of(text: str) -> list[str]:
     return [without_quotes(p) for p in pieces if is_sentence(p) and not _HEADED_LIST.match(p)]
 
 
-def training_batches(sentences: list[tuple[str, int]], rng: np.random.Generator, *, steps: int, rows: int = 48, length: int = 160) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def training_batches(sentences: list[tuple[str, int]], rng: np.random.Generator, *, steps: int, rows: int = 64, length: int = 96) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Byte and label batches: sentences strung together, languages changing between them, some in capitals, without accents or with reading errors."""
     by_label: dict[int, list[str]] = {}
     for piece, label in sentences:
@@ -107,25 +111,23 @@ def training_batches(sentences: list[tuple[str, int]], rng: np.random.Generator,
         yield np.ascontiguousarray(codes.T), np.ascontiguousarray(targets.T)
 
 
-def labelled_sample(df: DataFrame, text: str, label: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most ``per_language`` texts for each language named by ``label``, of up to 2,000 characters.
+def labelled_sample(df: DataFrame, text: str, label: Column, per_language: int = SAMPLE_PER_LANGUAGE, most_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """At most ``per_language`` different texts for each language named by ``label``, whole ones of at most ``most_chars`` characters.
 
-    Chosen by a hash of the text, so the same table gives the same sample; rows are thinned by that
-    hash before the languages are told apart, so that no language fills a task.
+    Chosen by a hash of the text, so the same table gives the same sample. Different texts are counted
+    by that hash first and thinned by it before the languages are told apart, so that no language fills
+    a task, and a text that comes often does not make the sample smaller.
     """
-    rows = df.select(F.substring(df[text], 1, 2000).alias("text"), label.alias("lang")).where("lang IS NOT NULL AND length(trim(text)) > 0").withColumn("h", F.xxhash64("text"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    rows = df.where(F.length(df[text]) <= most_chars).select(df[text].alias("text"), label.alias("lang")).where("lang IS NOT NULL AND length(trim(text)) > 0").withColumn("h", F.xxhash64("text"))
+    counts = {r["lang"]: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return []
     kept = F.lit(False)
     for lang, n in counts.items():
         share = min(1.0, (3 * per_language + 50) / n)
-        kept = kept | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_003)) < int(share * 1_000_003) + 1))
+        kept = kept | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_000_007)) < int(share * 1_000_000_007) + 1))
     chosen = rows.where(kept).distinct().groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "text"))), 1, per_language).alias("held"))
-    return sorted((x["text"], r["lang"]) for r in chosen.collect() for x in r["held"])  # bounded by per_language
-
-
-_TRAINED: dict[str, ByteLabeller] = {}
+    return sorted((x["text"], r["lang"]) for r in chosen.collect() for x in r["held"])  # bounded by per_language and most_chars
 
 
 def agreeing_sentences(model: ByteLabeller, texts: list[tuple[list[str], int]], sure: float = 0.6) -> list[tuple[str, int]]:
@@ -141,16 +143,13 @@ def agreeing_sentences(model: ByteLabeller, texts: list[tuple[list[str], int]],
     return kept
 
 
-def fit_labeller(sample: list[tuple[str, str]], *, hidden: int = 32, rounds: tuple[int, ...] = (600, 300, 600), seed: int = 5) -> ByteLabeller | None:
+def fit_labeller(sample: list[tuple[str, str]], *, hidden: int = 24, rounds: tuple[int, ...] = (250, 120, 250), seed: int = 5) -> ByteLabeller | None:
     """A network trained on the sentences of labelled texts; None where there is no sentence.
 
     Labels may be wrong, and texts may hold sentences of other languages. So training goes in
     ``rounds`` of so many steps, and between them all texts are judged again, see
     :func:`agreeing_sentences`.
     """
-    mark = hashlib.sha256(repr((sample, hidden, rounds, seed)).encode()).hexdigest()
-    if mark in _TRAINED:
-        return _TRAINED[mark]
     labels = sorted({lang for _, lang in sample})
     if not labels:
         return None
@@ -162,76 +161,112 @@ def fit_labeller(sample: list[tuple[str, str]], *, hidden: int = 32, rounds: tup
     if not everything:
         return None
     for k, steps in enumerate(rounds):
-        train(model, training_batches(kept, rng, steps=steps), steps=steps, rate=0.015 if k == 0 else 0.01)
+        train(model, training_batches(kept, rng, steps=steps), steps=steps, rate=0.02 if k == 0 else 0.012)
         if k + 1 < len(rounds):
             kept = agreeing_sentences(model, texts) or everything
-    _TRAINED.clear()
-    _TRAINED[mark] = model
     return model
 
 
-def _windows(data: bytes) -> list[tuple[int, int, bytes]]:
-    """(offset in the window, length, window) of the parts of a text."""
-    if len(data) <= WINDOW + 2 * CONTEXT:
-        return [(0, len(data), data)]
-    out = []
-    for start in range(0, len(data), WINDOW):
-        before = min(CONTEXT, start)
-        out.append((before, min(WINDOW, len(data) - start), data[start - before : start + WINDOW + CONTEXT]))
-    return out
-
-
-def _spans(text: str, log_p: np.ndarray, labels: list[str]) -> tuple[str | None, float, list[dict]]:
-    """Pooled language, its probability, and the segments of a text."""
-    pieces = pieces_of(text)
-    totals, segments = np.zeros(len(labels)), []
-    weight, at = 0, 0
-    marked = [is_sentence(text[a:b]) and not _HEADED_LIST.match(text[a:b].strip()) for a, b in pieces]
-    lone = not any(marked)
-    for (a, b), sentence in zip(pieces, marked):
-        piece = text[a:b]
-        if lone and not _HEADED_LIST.match(piece.strip()):
-            sentence = len(_CJK.findall(piece)) >= 6 or len(_WORD.findall(piece)) >= 4
-        size = len(piece.encode())
-        rows = log_p[at : at + size]
-        quotes = list(_QUOTED.finditer(piece))
-        if quotes and sentence:
-            keep = np.ones(size, bool)
-            for m in quotes:
-                keep[len(piece[: m.start()].encode()) : len(piece[: m.end()].encode())] = False
-            if keep.any():
-                rows = rows[keep]
-        at += size
-        if not len(rows):
-            continue
-        p = np.exp(rows).mean(0)
-        best = int(rows.mean(0).argmax())
-        if sentence:
-            totals += p * len(rows)
-            weight += len(rows)
-        segments.append({"start": a, "stop": b, "lang": labels[best], "confidence": float(p[best]), "sentences": int(sentence), "n": len(rows)})
-    if weight:
-        totals /= weight
-    elif len(log_p):
-        totals = np.exp(log_p).mean(0)
-    best = int(totals.argmax()) if len(log_p) else -1
-    joined: list[dict] = []
-    for s in segments:
-        if joined and joined[-1]["lang"] == s["lang"]:
-            last, n = joined[-1], joined[-1]["n"] + s["n"]
-            last["confidence"] = (last["confidence"] * last["n"] + s["confidence"] * s["n"]) / n
-            last["stop"], last["n"], last["sentences"] = s["stop"], n, last["sentences"] + s["sentences"]
-        else:
-            joined.append(dict(s))
-    for s in joined:
-        del s["n"]
-    return (labels[best], float(totals[best]), joined) if best >= 0 else (None, 0.0, joined)
+class _Pieces:
+    """The pieces of a text, and sums over the positions of each that are taken in as they come."""
+
+    def __init__(self, text: str, labels: int):
+        self.text, self.places = text, pieces_of(text)
+        sizes = [len(text[a:b].encode("utf-8", "replace")) for a, b in self.places]
+        self.ends = np.cumsum(sizes) if sizes else np.zeros(0, np.int64)
+        headed = [bool(_HEADED_LIST.match(text[a:b].strip())) for a, b in self.places]
+        marked = [is_sentence(text[a:b]) and not h for (a, b), h in zip(self.places, headed)]
+        if not any(marked):  # a text without a sentence is taken as one if it has as many words
+            marked = [not h and (len(_CJK.findall(text[a:b])) >= 6 or len(_WORD.findall(text[a:b])) >= 4) for (a, b), h in zip(self.places, headed)]
+        self.marked = marked
+        self.quoted = self._quoted()
+        self.p, self.log_p, self.n = np.zeros((len(sizes), labels)), np.zeros((len(sizes), labels)), np.zeros(len(sizes), np.int64)
+
+    def _quoted(self) -> list[tuple[int, int]]:
+        """(start, stop) in bytes of the quotations within sentences that hold other text too."""
+        out, at = [], 0
+        for (a, b), end, sentence in zip(self.places, self.ends.tolist(), self.marked):
+            piece = self.text[a:b]
+            found = list(_QUOTED.finditer(piece)) if sentence else []
+            if found and sum(m.end() - m.start() for m in found) < len(piece):
+                out += [(at + len(piece[: m.start()].encode("utf-8", "replace")), at + len(piece[: m.end()].encode("utf-8", "replace"))) for m in found]
+            at = end
+        return out
+
+    def take(self, start: int, log_p: np.ndarray) -> None:
+        """Takes in the log-probabilities of the bytes from ``start`` on."""
+        keep = np.ones(len(log_p), bool)
+        for a, b in self.quoted:
+            keep[max(0, a - start) : max(0, b - start)] = False
+        piece = np.searchsorted(self.ends, np.arange(start, start + len(log_p)), side="right")
+        first = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+        held = piece[first]
+        masked = log_p * keep[:, None]
+        self.log_p[held] += np.add.reduceat(masked, first)
+        self.p[held] += np.add.reduceat(np.exp(log_p) * keep[:, None], first)
+        self.n[held] += np.add.reduceat(keep.astype(np.int64), first)
+
+    def result(self, labels: list[str]) -> tuple[str | None, float, list[dict]]:
+        """Pooled language, its probability, and the segments of the text."""
+        if not len(self.n) or not self.n.any():
+            return None, 0.0, []
+        chosen = np.array(self.marked) & (self.n > 0)
+        pool = chosen if chosen.any() else self.n > 0
+        totals = self.p[pool].sum(0) / self.n[pool].sum()
+        joined: list[dict] = []
+        for (a, b), sentence, p, log_p, n in zip(self.places, self.marked, self.p, self.log_p, self.n.tolist()):
+            if not n:
+                continue
+            best = int(log_p.argmax())
+            lang, confidence = labels[best], float(p[best] / n)
+            if joined and joined[-1]["lang"] == lang:
+                last, whole = joined[-1], joined[-1]["n"] + n
+                last["confidence"] = (last["confidence"] * last["n"] + confidence * n) / whole
+                last["stop"], last["n"], last["sentences"] = b, whole, last["sentences"] + int(sentence)
+            else:
+                joined.append({"start": a, "stop": b, "lang": lang, "confidence": confidence, "sentences": int(sentence), "n": n})
+        for s in joined:
+            del s["n"]
+        best = int(totals.argmax())
+        return labels[best], float(totals[best]), joined
 
 
 _RESULT = "lang string, confidence double, segments array<struct<start:int,stop:int,lang:string,confidence:double,sentences:int>>"
 _SEGMENTS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("sentences", pa.int32())]))
 
 
+def label_texts(network: ByteLabeller, texts: list[str], batch_bytes: int = BATCH_BYTES) -> list[tuple[str | None, float, list[dict]]]:
+    """(language, confidence, segments) of each text. Texts of more than ``batch_bytes`` are labelled in blocks that carry their states on, so the bound does not change a label."""
+    data = [without_quotes(t).encode("utf-8", "replace") for t in texts]
+    held = [_Pieces(t, len(network.labels)) for t in texts]
+    short = [i for i, d in enumerate(data) if len(d) <= batch_bytes]
+    for i, log_p in zip(short, network.log_probabilities([data[i] for i in short])):
+        if len(log_p):
+            held[i].take(0, log_p)
+    for i in range(len(texts)):
+        if len(data[i]) > batch_bytes:
+            for start, log_p in network.long_probabilities(data[i]):
+                held[i].take(start, log_p)
+    return [h.result(network.labels) for h in held]
+
+
+def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, text) without those that the task has seen lately; what is forgotten is left to the task that gets all of one row."""
+    seen: set = set()
+    chars = 0
+    for batch in batches:
+        fresh = []
+        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            fresh.append(row not in seen)
+            if fresh[-1]:
+                chars += len(row[1] or "")
+                if len(seen) >= SEEN_ROWS or chars > SEEN_CHARS:
+                    seen.clear()
+                    chars = len(row[1] or "")
+                seen.add(row)
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+
+
 def label_languages(df: DataFrame, key: str, text: str, model: ByteLabeller | None) -> DataFrame:
     """(``key``, lang, confidence, segments) for every distinct (key, text); whole texts.
 
@@ -241,30 +276,34 @@ def label_languages(df: DataFrame, key: str, text: str, model: ByteLabeller | No
     words or six ideographs, quoted words in them do not count. A text without a sentence is taken
     as one if it has as many words. Null, empty and blank texts, and all texts without a model, have
     a null language, confidence 0 and no segments. Other columns are not looked at.
+
+    Texts are shuffled once. Repeated rows are left out before that as far as a task remembers them,
+    so that a row that comes very often fills no task, and the others after it.
     """
     spark = df.sparkSession
-    narrow = spread(df.select(df[key].alias("key"), df[text].alias("text")).distinct(), task_mb=4)
+    narrow = df.select(df[key].alias("key"), df[text].alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
+    once = spread(narrow.mapInArrow(_first_seen, f"key {kind}, text string"), "key", F.xxhash64("text"), task_mb=4, size=plan_bytes(narrow))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = shared.value
+        network, seen = shared.value, set()
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                texts = [t if t and t.strip() and network else None for t in part.column(1).to_pylist()]
-                windows = [(i, *w) for i, t in enumerate(texts) if t for w in _windows(without_quotes(t).encode("utf-8", "replace"))]
-                held: dict[int, list[np.ndarray]] = {}
-                if windows:
-                    for (i, skip, size, _), p in zip(windows, network.log_probabilities([w[3] for w in windows])):
-                        held.setdefault(i, []).append(p[skip : skip + size])
-                found = [_spans(t, held[i][0] if len(held[i]) == 1 else np.concatenate(held[i]), network.labels) if t else (None, 0.0, []) for i, t in enumerate(texts)]
+            for part in parts(batch, 1, BATCH_BYTES, 1024):
+                rows = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+                marks = [(k, None if t is None else hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()) for k, t in rows]
+                fresh = [i for i, m in enumerate(marks) if not (m in seen or seen.add(m))]
+                rows = [rows[i] for i in fresh]
+                told = [i for i, (_, t) in enumerate(rows) if network and t and t.strip()]
+                found: list = [(None, 0.0, [])] * len(rows)
+                for i, answer in zip(told, label_texts(network, [rows[i][1] for i in told]) if told else ()):
+                    found[i] = answer
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], _SEGMENTS)],
+                    [part.column(0).take(pa.array(fresh, pa.int64())), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], _SEGMENTS)],
                     ["key", "lang", "confidence", "segments"],
                 )
 
-    return narrow.mapInArrow(run, f"key {kind}, {_RESULT}").withColumnRenamed("key", key)
+    return once.mapInArrow(run, f"key {kind}, {_RESULT}").withColumnRenamed("key", key)
 
 
 def sentence_languages(segments: Column, lang: Column, sure: float = SURE) -> Column:

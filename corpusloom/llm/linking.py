@@ -160,10 +160,9 @@ class Vocabulary:
 
     def __init__(self, words: Iterable[str]):
         self.words = set(words)
-        self.by_length: dict[int, list[str]] = {}
-        for w in sorted(self.words):
-            if len(w) > 3:
-                self.by_length.setdefault(len(w), []).append(w)
+        self.long = sorted((w for w in self.words if len(w) > 3), key=lambda w: (len(w), w))
+        self.ends = np.searchsorted([len(w) for w in self.long], np.arange(max(map(len, self.long), default=0) + 4))
+        self.letters = _letters_and_grams(self.long)[0] if self.long else np.zeros((0, _CLASSES), np.int16)
         self.cache: dict[str, Facts] = {}
 
     def facts(self, word: str) -> Facts:
@@ -179,15 +178,19 @@ class Vocabulary:
         if word in self.words:
             return Facts(True, 0, (word,), ())
         best, names = 2, []
-        for length in range(max(4, len(word) - 2), len(word) + 3) if len(word) > 3 else ():
-            for known in self.by_length.get(length, ()):
+        if len(word) > 3:
+            start, stop = (int(self.ends[min(n, len(self.ends) - 1)]) for n in (len(word) - 2, len(word) + 3))
+            letters = _letters_and_grams([word])[0][0]
+            apart = np.abs(self.letters[start:stop] - letters).sum(1)  # each typing error changes two letter counts at most
+            for at in np.flatnonzero(apart <= 4).tolist():
+                known = self.long[start + at]
                 d = typing_errors(word, known, best)
                 if d < best:
                     best, names = d, [known]
                 elif d == best:
                     names.append(known)
         ends = {part for n in range(5, len(word)) for part in (word[:n], word[-n:])}
-        return Facts(False, best if names else 3, tuple(names), tuple(sorted(ends & self.words)))
+        return Facts(False, best if names else 3, tuple(sorted(names)), tuple(sorted(ends & self.words)))
 
 
 def merged_facts(parts: Iterable[Facts]) -> Facts:

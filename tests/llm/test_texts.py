@@ -129,6 +129,34 @@ def test_languages_and_segments(spark, model):
     assert 0.5 < out["a"]["confidence"] <= 1
 
 
+def test_blocks_of_a_long_text_do_not_change_labels(model):
+    text = " ".join(f"{SENTENCES[lang][i % 3]} “Quoted {i} words.”" for i in range(40) for lang in ("en", "ru", "de")[: 1 + i % 3])
+    [whole], [dealt] = (language.label_texts(model, [text], most) for most in (1 << 30, 100))
+    assert [{k: v for k, v in s.items() if k != "confidence"} for s in whole[2]] == [{k: v for k, v in s.items() if k != "confidence"} for s in dealt[2]]
+    assert whole[0] == dealt[0] and whole[1] == pytest.approx(dealt[1], abs=1e-6) and len(whole[2]) > 20
+    [p] = model.log_probabilities([text.encode()])
+    for block in (7, 1000, 1 << 20):
+        parts = list(model.long_probabilities(text.encode(), block))
+        assert [s for s, _ in parts] == list(range(0, len(text.encode()), block))
+        np.testing.assert_allclose(np.concatenate([x for _, x in parts]), p, atol=1e-4)
+
+
+def test_repeated_rows_are_labelled_once(spark, model, monkeypatch):
+    monkeypatch.setattr(language, "SEEN_ROWS", 2)
+    rows = [("a", SENTENCES["de"][0]), ("a", SENTENCES["de"][1]), ("b", SENTENCES["ru"][0]), (None, SENTENCES["en"][0]), ("c", None)] * 50
+    out = language.label_languages(spark.createDataFrame(rows, "id string, body string").repartition(3), "id", "body", model).collect()
+    assert sorted((r["id"] or "", r["lang"] or "") for r in out) == [("", "en"), ("a", "de"), ("a", "de"), ("b", "ru"), ("c", "")]
+
+
+def test_long_quotations_are_no_sentences(model):
+    quoted = f"{SENTENCES['en'][0]} It is called “{' '.join(s.rstrip('.') for s in SENTENCES['ru'] * 5)}” in the text of the law."
+    [(lang, _, segments)] = language.label_texts(model, [quoted])
+    assert lang == "en" and [s["lang"] for s in segments if s["sentences"]] == ["en"]
+    start = time.time()
+    language.label_texts(model, ['"a' * 100_000, "“a" * 50_000, ". " * 100_000])
+    assert time.time() - start < 60
+
+
 def test_no_model_and_no_rows(spark, model):
     df = spark.createDataFrame([("a", "text")], "id string, body string")
     assert language.label_languages(df, "id", "body", None).first()["lang"] is None
@@ -146,6 +174,9 @@ def test_sample_is_bounded(spark):
     sample = language.labelled_sample(df, "t", F.col("l"), per_language=20)
     assert sample == language.labelled_sample(df, "t", F.col("l"), per_language=20)
     assert {lang: sum(x[1] == lang for x in sample) for lang in ("en", "de")} == {"en": 20, "de": 20}
+    often = df.union(spark.range(20_000).select(F.lit("One text that comes very often indeed.").alias("t"), F.lit("de").alias("l"))).union(spark.createDataFrame([("x" * 30_000, "de")], "t string, l string"))
+    sample = language.labelled_sample(often, "t", F.col("l"), per_language=20)
+    assert sum(x[1] == "de" for x in sample) == 20 and max(len(x[0]) for x in sample) <= language.SAMPLE_CHARS
 
 
 TALK = "The patients were seen again after six weeks, and none of them had any pain. We could not explain why the others had more of it. "
