@@ -17,12 +17,13 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.session import spread
 
+from .batches import parts
+
 #: Pieces kept with their ids in one worker, and the longest piece that is kept. They bound memory; what is not kept is encoded again.
 KEPT_PIECES, KEPT_LENGTH = 200_000, 48
 #: Verdicts on token pairs kept in one worker.
@@ -109,7 +110,7 @@ class PrefixEncoder:
         return known
 
     def encode_bytes(self, data: bytes) -> list[int]:
-        """Ids of one piece."""
+        """Ids of one piece; fails where the vocabulary has no token for some byte of it."""
         last: list[int] = [-1] * len(data)
         size, compatible = self.size, self.compatible
         for end, token in self.automaton.iter(data.decode("latin-1")):
@@ -118,6 +119,8 @@ class PrefixEncoder:
             before = end - size[token]
             if before < 0 or compatible(last[before], token):
                 last[end] = token
+        if -1 in last:
+            raise ValueError("the vocabulary has no token for a byte of the text")
         ids, at = [], len(data) - 1
         while at >= 0:
             ids.append(last[at])
@@ -173,19 +176,6 @@ def _id_lists(encoder: PrefixEncoder, texts: list) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
-def _slices(batch: pa.RecordBatch, text: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """``batch`` in parts of bounded text size, so that long texts do not pile up."""
-    sizes = np.array([0 if t is None else t for t in pc.binary_length(batch.column(text)).to_pylist()], np.int64)
-    start = total = 0
-    for i, s in enumerate(sizes):
-        if total and total + s > most_bytes:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += s
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def encode_texts(df: DataFrame, key: str, text: str, *, directory: str = DEFAULT_DIR, name: str = "byte_bpe_50k.json") -> DataFrame:
     """(``key``, ids array<int>) for every row of ``df``; whole texts, no special tokens.
 
@@ -197,7 +187,7 @@ def encode_texts(df: DataFrame, key: str, text: str, *, directory: str = DEFAULT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.encoder()
         for batch in batches:
-            for part in _slices(batch, 1):
+            for part in parts(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(encoder, part.column(1).to_pylist())], ["key", "ids"])
 
     narrow = df.select(df[key].alias("key"), df[text].alias("text"))
@@ -213,7 +203,7 @@ def count_tokens(df: DataFrame, text: str, *, out: str = "n_tokens", directory:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.encoder()
         for batch in batches:
-            for part in _slices(batch, 0):
+            for part in parts(batch, 0):
                 counts = pa.array([len(encoder.encode(t)) for t in part.column(0).to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], counts], [*others, out])
 

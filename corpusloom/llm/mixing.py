@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import broadcast_if_small, cut
+from corpusloom.operators.skewed import skew_join
+from corpusloom.session import cut
 
 from .bpe import DEFAULT_DIR, count_tokens
 
 #: Mantissa bits of the hash that decides on the last copy.
 _BITS = 53
-#: Most targets that are sent to every task; more are joined by shuffle.
+#: Most targets that are sent to every task; more are joined by shuffle, documents of the largest sources by salts.
 TARGETS_BROADCAST = 100_000
 
 
@@ -25,14 +26,17 @@ def source_sizes(df: DataFrame, source: str, text: str, *, directory: str = DEFA
 
 
 def repetition_rates(sizes: DataFrame, targets: DataFrame, *, total_tokens: int | None = None) -> DataFrame:
-    """(source, target_share, max_repeats, docs, tokens, planned_tokens, rate) for every target or source that exists.
+    """(source, target_share, attainable_share, max_repeats, docs, tokens, planned_tokens, rate) for every target or source that exists.
 
     ``targets`` has (source, target_share, max_repeats); a source repeated there holds its largest
     share and cap. The rate is how often a document of the source is emitted on average:
     ``planned_tokens / tokens`` with ``planned_tokens = target_share * total``, at most the cap.
     ``total_tokens`` is the size of the mixture; if None it is the largest at which no cap binds, so
-    that all shares are met and no source is cut short. A target without tokens, or with a null or
-    non-positive share or cap, has rate 0, as has a source without a target.
+    the shares stay in proportion and no source is cut short; the source that sets it is the one with
+    rate ``max_repeats``. A target without tokens, or with a null or non-positive share or cap, has rate
+    0, as has a source without a target. ``attainable_share`` is the share that the planned tokens are of
+    all planned ones: beyond the target's where other targets have no tokens, below it where a given
+    size lets the cap bind; 0 for rate 0.
     """
     wanted = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").cast("bigint").alias("max_repeats"))
     joined = wanted.join(sizes.where("source IS NOT NULL"), "source", "full").unionByName(sizes.where("source IS NULL"), allowMissingColumns=True)
@@ -42,10 +46,13 @@ def repetition_rates(sizes: DataFrame, targets: DataFrame, *, total_tokens: int
     else:
         reach = joined.agg(F.lit(float(total_tokens)).alias("total"))
     rate = F.when(usable, F.least(F.col("max_repeats").cast("double"), F.col("target_share") * F.col("total") / F.col("tokens"))).otherwise(0.0)
-    return joined.crossJoin(F.broadcast(reach)).select(  # one row
+    planned = cut(joined.crossJoin(F.broadcast(reach)).select(  # one row
         "source", "target_share", "max_repeats", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         (rate * F.coalesce("tokens", F.lit(0))).alias("planned_tokens"), F.round(rate, 12).alias("rate"),
-    )
+    ))
+    whole = planned.agg(F.sum("planned_tokens").alias("whole"))
+    attainable = F.coalesce(F.col("planned_tokens") / F.nullif("whole", F.lit(0.0)), F.lit(0.0))
+    return planned.crossJoin(F.broadcast(whole)).select("source", "target_share", attainable.alias("attainable_share"), "max_repeats", "docs", "tokens", "planned_tokens", "rate")  # one row
 
 
 def emit_copies(df: DataFrame, rates: DataFrame, key: str, source: str, *, seed: int = 17) -> DataFrame:
@@ -53,17 +60,18 @@ def emit_copies(df: DataFrame, rates: DataFrame, key: str, source: str, *, seed:
 
     The last copy is decided by a hash of ``key`` and ``seed``, so a rerun or a lost task gives the
     same rows. Rows of sources without rate, null ones included, are not emitted. All columns of
-    ``df`` are kept; a column of ``df`` named copy_no is replaced.
+    ``df`` are kept; a column of ``df`` named copy_no is replaced. More rates than ``TARGETS_BROADCAST``
+    are joined by shuffle, with the documents of large sources dealt to salts.
     """
-    side = rates.where("rate > 0").select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    side = rates.where("rate > 0 AND source IS NOT NULL").select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
     fraction = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 64 - _BITS) / F.lit(float(1 << _BITS))
     whole = F.floor("__rate")
     copies = (whole + F.when(fraction < F.col("__rate") - whole, 1).otherwise(0)).cast("int")
     return (
-        df.drop("copy_no").join(broadcast_if_small(side, TARGETS_BROADCAST), F.col(source) == F.col("__source"))
+        skew_join(df.drop("copy_no").withColumn("__source", F.col(source)), side, "__source", broadcast_rows=TARGETS_BROADCAST)
         .withColumn("__copies", copies).where("__copies > 0")
         .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .drop("__source", "__rate", "__copies")
+        .select(*(c for c in df.columns if c != "copy_no"), "copy_no")
     )
 
 
@@ -74,7 +82,7 @@ def mix(df: DataFrame, targets: DataFrame, *, key: str, source: str, text: str,
 
 
 def mixture_shares(df: DataFrame, targets: DataFrame, *, key: str, source: str, text: str, total_tokens: int | None = None, seed: int = 17, directory: str = DEFAULT_DIR, name: str = "byte_bpe_50k.json") -> DataFrame:
-    """What :func:`mix` reaches: (source, target_share, max_repeats, docs, tokens, rate, emitted_docs, emitted_tokens, actual_share).
+    """What :func:`mix` reaches: (source, target_share, attainable_share, max_repeats, docs, tokens, rate, emitted_docs, emitted_tokens, actual_share).
 
     One row for every target or source; the actual share is of all emitted tokens, null if there are none.
     """
@@ -86,6 +94,6 @@ def mixture_shares(df: DataFrame, targets: DataFrame, *, key: str, source: str,
     tokens = F.coalesce("emitted_tokens", F.lit(0))
     whole = emitted.agg(F.sum("emitted_tokens").alias("whole"))
     return full.crossJoin(F.broadcast(whole)).select(  # one row
-        "source", "target_share", "max_repeats", "docs", "tokens", "rate", F.coalesce("emitted_docs", F.lit(0)).alias("emitted_docs"), tokens.alias("emitted_tokens"),
+        "source", "target_share", "attainable_share", "max_repeats", "docs", "tokens", "rate", F.coalesce("emitted_docs", F.lit(0)).alias("emitted_docs"), tokens.alias("emitted_tokens"),
         (tokens / F.col("whole")).alias("actual_share"),
     )

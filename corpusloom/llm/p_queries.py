@@ -137,7 +137,7 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = mixture_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), key="doc_id", source="source", text="text")
-    return shares.withColumn("rate", F.round("rate", 6)).withColumn("actual_share", F.round("actual_share", 6))
+    return shares.withColumns({c: F.round(c, 6) for c in ("rate", "attainable_share", "actual_share")})
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,7 @@ def test_mixture_reaches_shares_within_caps(spark):
     assert set(shares) == {"big", "small", "absent", "gone", None}
     assert shares["small"]["rate"] == pytest.approx(3.0) and shares["big"]["rate"] < 1
     assert shares["big"]["actual_share"] == pytest.approx(5 / 9, abs=0.04) and shares["absent"]["actual_share"] == 0
+    assert shares["big"]["attainable_share"] == pytest.approx(5 / 9) and shares["small"]["attainable_share"] == pytest.approx(4 / 9) and shares["absent"]["attainable_share"] == 0
     out = mixing.mix(docs, targets, **names)
     assert out.columns == ["doc", "feed", "body", "copy_no"]
     copies = {r["doc"]: r["count"] for r in out.groupBy("doc").count().collect()}
@@ -78,6 +79,21 @@ def test_mixture_reaches_shares_within_caps(spark):
     assert sorted(map(tuple, out.select("doc", "copy_no").collect())) == sorted(map(tuple, mixing.mix(docs, targets, **names).select("doc", "copy_no").collect()))
 
 
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    docs, targets, names = mixture(spark)
+    rows = sorted(map(tuple, mixing.mix(docs, targets, **names).select("doc", "copy_no").collect()))
+    monkeypatch.setattr(mixing, "TARGETS_BROADCAST", 1)
+    monkeypatch.setattr("corpusloom.operators.skewed.hot_keys", lambda df, key, _, f=mixing.skew_join.__globals__["hot_keys"]: f(df, key, 500))
+    assert sorted(map(tuple, mixing.mix(docs, targets, **names).select("doc", "copy_no").collect())) == rows
+
+
+def test_a_vocabulary_without_a_byte_fails():
+    vocabulary = {"tokens": [b"a", b"b"], "left": np.array([-1, -1]), "right": np.array([-1, -1])}
+    assert bpe.PrefixEncoder(vocabulary).encode("abba") == [0, 1, 1, 0]
+    with pytest.raises(ValueError):
+        bpe.PrefixEncoder(vocabulary).encode("abc")
+
+
 def test_mixture_of_a_given_size_and_of_nothing(spark):
     docs, targets, names = mixture(spark)
     shares = {r["source"]: r for r in mixing.mixture_shares(docs, targets, total_tokens=10**9, **names).collect()}
