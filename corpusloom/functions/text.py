@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .labels import decode_labels
+
 #: Oxidation numerals in brackets and the charges they stand for.
 OXIDATION_STATES = {"(I)": "1+", "(II)": "2+", "(III)": "3+", "(IV)": "4+", "(V)": "5+", "(VI)": "6+", "(VII)": "7+", "(VIII)": "8+", "(IX)": "9+", "(X)": "10+"}
 #: Unit words that keyword extraction leaves out.
@@ -163,9 +165,11 @@ def parse_scored_concepts(text: Column) -> Column:
 
 
 def parse_label_list(text: Column) -> Column:
-    """Array of a serialized list in JSON or single-quoted notation; empty for null and blank, null for what is none."""
-    blank = text.isNull() | (strip(text) == "")
-    return F.when(blank, F.array().cast("array<string>")).otherwise(F.from_json(text, "array<string>"))
+    """Array of a serialized list: a JSON array, a JSON object with it under ``concepts``, or a Python list; empty for null and blank, null for what is none of these."""
+    plain = strip(F.coalesce(text, F.lit("")))
+    python = plain.rlike(r"^\[\s*(?:'|\"|\])") & plain.endswith("]")
+    listed = python | F.from_json(plain, "array<string>").isNotNull() & plain.startswith("[") | plain.startswith("{") & plain.endswith("}")
+    return F.when(plain == "", F.array().cast("array<string>")).when(listed, decode_labels(plain))
 
 
 def normalize_labels(labels: Column, most: int = 12) -> Column:

@@ -260,14 +260,7 @@ def _(t, s, d):
     return G.distances_from(snap, G.degrees(snap).orderBy(F.desc("degree"), "id").limit(5), 2)
 
 
-@q("grf8_annotated_pairs", f"WITH {EDGES}, {snapshot_sql('snap', 9131)}, {ways_sql('ways', 'snap')}, p AS (SELECT DISTINCT u, v FROM edges WHERE day >= 9131 AND day < 9161), two AS (SELECT DISTINCT p.u, p.v FROM p JOIN ways a ON a.id = p.u JOIN ways b ON b.id = p.v AND b.other = a.other) SELECT p.u, p.v, CASE WHEN snap.u IS NOT NULL THEN 1 WHEN two.u IS NOT NULL THEN 2 ELSE -1 END AS distance FROM p LEFT JOIN snap USING (u, v) LEFT JOIN two ON two.u = p.u AND two.v = p.v")
-def _(t, s, d):
-    every = cut(edges(t))
-    later = every.where((F.col("day") >= 9131) & (F.col("day") < 9161)).select("u", "v").distinct()
-    return G.pair_distances(cut(G.snapshot(every, 9131)), cut(later), most=2)
-
-
-@q("grf8_annotated_pairs_whole")
+@q("grf8_annotated_pairs")
 def _(t, s, d):
     """The pairs of all works from the past day on, in the graph before it."""
     every = cut(edges(t))
@@ -283,24 +276,17 @@ def _(t, s, d):
     return every.join(walked, ["source", "id"], "left").where(F.coalesce("distance", F.lit(99)) >= 3).select("source", "id")
 
 
-_FIRST_DAYS = 9136
-_CC = f"WITH RECURSIVE {MENTIONS}, e AS (SELECT DISTINCT a.cid AS u, b.cid AS v FROM mentions a JOIN mentions b ON a.work_id = b.work_id AND a.cid <> b.cid WHERE a.day < {_FIRST_DAYS}), r(id, c) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id)"
+_CC = f"WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT u, v FROM edges UNION SELECT DISTINCT v, u FROM edges), r(id, c) USING KEY (id) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, min(r.c) FROM r JOIN e ON e.u = r.id JOIN recurring.r AS k ON k.id = e.v WHERE r.c < k.c GROUP BY e.v)"
 
 
-@q("grf10_components", f"{_CC} SELECT id, min(c) AS component FROM r GROUP BY id")
+@q("grf10_components", f"{_CC} SELECT id, c AS component FROM r")
 def _(t, s, d):
-    return G.components(G.snapshot(edges(t), _FIRST_DAYS))
-
-
-@q("grf10_component_sizes", f"{_CC}, k AS (SELECT id, min(c) AS component FROM r GROUP BY id) SELECT component, count(*) AS size FROM k GROUP BY 1 HAVING count(*) > 1")
-def _(t, s, d):
-    return G.components(G.snapshot(edges(t), _FIRST_DAYS)).groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return G.components(cut(edges(t).select("u", "v").distinct()))
 
 
-@q("grf10_all_components")
+@q("grf10_component_sizes", f"{_CC} SELECT c AS component, count(*) AS size FROM r GROUP BY 1 HAVING count(*) > 1")
 def _(t, s, d):
-    """Over the works of all days, unlike ``grf10_components``, whose SQL holds it to the first."""
-    return G.components(cut(edges(t).select("u", "v").distinct()))
+    return G.components(cut(edges(t).select("u", "v").distinct())).groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
 
 
 @q("grf10_component_years")
@@ -396,13 +382,7 @@ _candidates(
 )
 
 
-@q("smp12_distance_candidates", f"WITH {EDGES}, {snapshot_sql('snap', 9161)}, {ways_sql('ways', 'snap')}, two AS (SELECT a.other AS u, b.other AS v FROM ways a JOIN ways b ON a.id = b.id AND a.other < b.other) SELECT DISTINCT u, v FROM two WHERE (u, v) NOT IN (SELECT (u, v) FROM snap)")
-def _(t, s, d):
-    snap = cut(G.snapshot(edges(t), 9161))
-    return G.two_step_pairs(snap).select("u", "v").join(snap, ["u", "v"], "left_anti")
-
-
-@q("smp12_distance_candidates_whole")
+@q("smp12_distance_candidates", f"WITH {EDGES}, {snapshot_sql('snap', PAST_DAY)}, {ways_sql('ways', 'snap')}, two AS (SELECT a.other AS u, b.other AS v FROM ways a JOIN ways b ON a.id = b.id AND a.other < b.other) SELECT DISTINCT u, v FROM two WHERE (u, v) NOT IN (SELECT (u, v) FROM snap)")
 def _(t, s, d):
     snap = cut(G.snapshot(edges(t), PAST_DAY))
     return G.two_step_pairs(snap).select("u", "v").join(snap, ["u", "v"], "left_anti")
@@ -530,17 +510,9 @@ def top_unlinked_pairs(t, day: int, k: int):
     return G.pair_distances(snap, out, most=2).select(rank.alias("rank"), "u", "v", "concept_a", "concept_b", "degree_a", "degree_b", F.col("distance").alias("graph_distance"), F.col("common").alias("score"))
 
 
-_EARLY = 9313  # 1995-07-02
-
-
-@q("mod8_prospective_pairs", f"""WITH {EDGES}, {snapshot_sql('snap', _EARLY)}, {ways_sql('ways', 'snap')}, {_DEGREES}, {LOOKUP}, c AS (SELECT a.other AS u, b.other AS v, count(*) AS common FROM ways a JOIN ways b ON a.id = b.id AND a.other < b.other GROUP BY 1, 2),
+@q("mod8_prospective_pairs", f"""WITH {EDGES}, {snapshot_sql('snap', PAST_DAY)}, {ways_sql('ways', 'snap')}, {_DEGREES}, {LOOKUP}, c AS (SELECT a.other AS u, b.other AS v, count(*) AS common FROM ways a JOIN ways b ON a.id = b.id AND a.other < b.other GROUP BY 1, 2),
 top AS (SELECT u, v, common FROM c WHERE (u, v) NOT IN (SELECT (u, v) FROM snap) ORDER BY common DESC, u, v LIMIT 50)
 SELECT row_number() OVER (ORDER BY common DESC, u, v) AS rank, u, v, x.concept AS concept_a, y.concept AS concept_b, a.degree AS degree_a, b.degree AS degree_b, 2 AS graph_distance, common AS score FROM top JOIN deg a ON a.id = u JOIN deg b ON b.id = v JOIN lookup x ON x.id = u JOIN lookup y ON y.id = v""")
-def _(t, s, d):
-    return top_unlinked_pairs(t, _EARLY, 50)
-
-
-@q("mod8_prospective_pairs_whole")
 def _(t, s, d):
     return top_unlinked_pairs(t, PAST_DAY, 50)
 
@@ -661,12 +633,7 @@ def _(t, s, d):
     return s.createDataFrame([(n, ",".join(map(str, E.geometric_sizes(20, 0.5, n)))) for n in (1, 2)], "layers int, sizes string")
 
 
-@q("hlp16_pair_labels", f"WITH {EDGES}, {LOOKUP} SELECT e.work_id, e.u, e.v, a.concept || ' ; ' || b.concept AS text FROM edges e JOIN lookup a ON a.id = e.u JOIN lookup b ON b.id = e.v WHERE e.day < 9136")
-def _(t, s, d):
-    return _pair_labels(t, G.until(edges(t), 9136))
-
-
-@q("hlp16_pair_labels_whole", f"WITH {EDGES}, {LOOKUP} SELECT e.work_id, e.u, e.v, a.concept || ' ; ' || b.concept AS text FROM edges e JOIN lookup a ON a.id = e.u JOIN lookup b ON b.id = e.v")
+@q("hlp16_pair_labels", f"WITH {EDGES}, {LOOKUP} SELECT e.work_id, e.u, e.v, a.concept || ' ; ' || b.concept AS text FROM edges e JOIN lookup a ON a.id = e.u JOIN lookup b ON b.id = e.v")
 def _(t, s, d):
     return _pair_labels(t, edges(t))
 

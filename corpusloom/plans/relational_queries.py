@@ -19,8 +19,7 @@ from corpusloom.sources.readers import require_unique
 
 from .filter_queries import _DEGREES, _PARTS
 from .registry import Registry
-from .text_queries import _JSON_WORKS, _LABELS, _json_works, label_lists
-from .views import EDGES, FUTURE_DAY, LOOKUP, MENTIONS, PAST_DAY, PAST_GRAPH, SCORED, edges, lookup, mentions, scored, snapshot_sql
+from .views import EDGES, FUTURE_DAY, LABELS, LOOKUP, MENTIONS, PAST_DAY, PAST_GRAPH, SCORED, edges, label_lists, lookup, mentions, scored, snapshot_sql
 
 q = Registry()
 SMALL = 200_000
@@ -40,25 +39,13 @@ def _(t, s, d):
     return require_unique(t("orders"), "o_orderkey").select("o_orderkey", "o_totalprice").join(lines, "o_orderkey")
 
 
-@q("joi2_label_to_id", f"WITH {_LABELS}, e AS (SELECT pmid, unnest(labels) AS label FROM labels) SELECT DISTINCT pmid, id FROM e JOIN lookup_m ON lower(trim(label)) = concept")
-def _(t, s, d):
-    named = _json_works(t).select("pmid", F.explode(T.parse_label_list(F.col("llm_concepts"))).alias("label")).select("pmid", F.lower(F.trim("label")).alias("concept"))
-    return named.join(small_side(t("lookup_m").select("id", "concept")), "concept").select("pmid", "id").distinct()
-
-
-@q("joi2_unresolved_labels", f"WITH {_LABELS}, e AS (SELECT DISTINCT lower(trim(unnest(labels))) AS label FROM labels) SELECT label FROM e WHERE label NOT IN (SELECT concept FROM lookup_m)")
-def _(t, s, d):
-    named = _json_works(t).select(F.explode(T.parse_label_list(F.col("llm_concepts"))).alias("label")).select(F.lower(F.trim("label")).alias("label")).distinct()
-    return named.join(small_side(t("lookup_m").select(F.col("concept").alias("label"))), "label", "left_anti")
-
-
-@q("joi2_label_to_id_whole")
+@q("joi2_label_to_id", f"WITH {LABELS}, e AS (SELECT pmid, unnest(labels) AS label FROM labels) SELECT DISTINCT pmid, id FROM e JOIN lookup_m ON lower(trim(label)) = concept")
 def _(t, s, d):
     named = label_lists(t).select("pmid", F.explode("labels").alias("label")).select("pmid", F.lower(F.trim("label")).alias("concept"))
     return named.join(small_side(t("lookup_m").select("id", "concept")), "concept").select("pmid", "id").distinct()
 
 
-@q("joi2_unresolved_labels_whole")
+@q("joi2_unresolved_labels", f"WITH {LABELS}, e AS (SELECT DISTINCT lower(trim(unnest(labels))) AS label FROM labels) SELECT label FROM e WHERE label NOT IN (SELECT concept FROM lookup_m)")
 def _(t, s, d):
     named = label_lists(t).select(F.explode("labels").alias("label")).select(F.lower(F.trim("label")).alias("label")).distinct()
     return named.join(small_side(t("lookup_m").select(F.col("concept").alias("label"))), "label", "left_anti")
@@ -178,12 +165,7 @@ def _(t, s, d):
     return per_work.groupBy((F.col("n") - F.col("m")).alias("difference")).agg(F.count(F.lit(1)).alias("works"))
 
 
-@q("joi18_two_step_pairs", f"WITH {EDGES}, {snapshot_sql('snap', 9161)}, ways AS (SELECT u AS id, v AS other FROM snap UNION ALL SELECT v, u FROM snap) SELECT a.other AS u, b.other AS v, count(*) AS common FROM ways a JOIN ways b ON a.id = b.id AND a.other < b.other GROUP BY 1, 2")
-def _(t, s, d):
-    return two_step_pairs(snapshot(edges(t), 9161))
-
-
-@q("joi18_two_step_pairs_whole")
+@q("joi18_two_step_pairs", f"WITH {EDGES}, {snapshot_sql('snap', PAST_DAY)}, ways AS (SELECT u AS id, v AS other FROM snap UNION ALL SELECT v, u FROM snap) SELECT a.other AS u, b.other AS v, count(*) AS common FROM ways a JOIN ways b ON a.id = b.id AND a.other < b.other GROUP BY 1, 2")
 def _(t, s, d):
     return two_step_pairs(snapshot(edges(t), PAST_DAY))
 
@@ -196,13 +178,7 @@ def _(t, s, d):
     return t("lineitem").groupBy(F.col("l_partkey").alias("cid")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("agg2_most_common", f"WITH {_LABELS} SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM labels) GROUP BY label ORDER BY n DESC, label LIMIT 50")
-def _(t, s, d):
-    labels = _json_works(t).select(F.explode(T.parse_label_list(F.col("llm_concepts"))).alias("label"))
-    return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(50)
-
-
-@q("agg2_most_common_whole")
+@q("agg2_most_common", f"WITH {LABELS} SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM labels) GROUP BY label ORDER BY n DESC, label LIMIT 50")
 def _(t, s, d):
     labels = label_lists(t).select(F.explode("labels").alias("label"))
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(50)
@@ -308,13 +284,7 @@ def _(t, s, d):
     )
 
 
-@q("agg17_list_lengths", f"WITH {_LABELS} SELECT round(avg(len(labels)), 6) AS mean, CAST(median(len(labels)) AS DOUBLE) AS median, min(len(labels)) AS low, max(len(labels)) AS high FROM labels")
-def _(t, s, d):
-    n = F.size(T.parse_label_list(F.col("llm_concepts"))).cast("bigint")
-    return _json_works(t).select(n.alias("n")).agg(F.round(F.avg("n"), 6).alias("mean"), F.median("n").alias("median"), F.min("n").alias("low"), F.max("n").alias("high"))
-
-
-@q("agg17_list_lengths_whole")
+@q("agg17_list_lengths", f"WITH {LABELS} SELECT round(avg(len(labels)), 6) AS mean, CAST(median(len(labels)) AS DOUBLE) AS median, min(len(labels)) AS low, max(len(labels)) AS high FROM labels")
 def _(t, s, d):
     n = F.size("labels").cast("bigint")
     return label_lists(t).select(n.alias("n")).agg(F.round(F.avg("n"), 6).alias("mean"), F.median("n").alias("median"), F.min("n").alias("low"), F.max("n").alias("high"))
@@ -574,4 +544,3 @@ def _(t, s, d):
     return new_pairs(edges(t), PAST_DAY, FUTURE_DAY)
 
 
-assert _JSON_WORKS

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from corpusloom.functions import dates as D
 from corpusloom.functions import predicates as P
 from corpusloom.functions import text as T
-from corpusloom.functions.labels import decode_labels
 from corpusloom.operators.formulas import extract_formulas, name_elements
 from corpusloom.operators.keyphrases import extract_phrases
 from corpusloom.sources.readers import latex_sections
 
 from .registry import Registry
+from .views import LABELS, label_lists
 
 q = Registry()
 
@@ -170,31 +170,15 @@ def _(t, s, d):
     return extract_formulas(docs(t), "abstract").select("doc_id", "abstract", F.array_join("elements", ",").alias("elements"))
 
 
-_JSON_WORKS = "SELECT pmid, llm_concepts FROM surgery_pubmed_works WHERE llm_concepts IS NULL OR trim(llm_concepts) = '' OR (llm_concepts LIKE '[%' AND json_valid(llm_concepts))"
-
-
-def _json_works(t):
-    works = t("surgery_pubmed_works").select("pmid", "llm_concepts")
-    return works.where("llm_concepts IS NULL OR trim(llm_concepts) = '' OR (llm_concepts LIKE '[%' AND try_parse_json(llm_concepts) IS NOT NULL)")
-
-
-def label_lists(t):
-    """(pmid, labels) of every work in whatever notation; the SQL of the queries that end in ``_whole`` would need a decoder of its own."""
-    return t("surgery_pubmed_works").select("pmid", decode_labels(F.col("llm_concepts")).alias("labels"))
-
-
-_LABELS = f"""labels AS (SELECT pmid, CASE WHEN llm_concepts IS NULL OR trim(llm_concepts) = '' THEN [] ELSE from_json(llm_concepts, '["VARCHAR"]') END AS labels FROM ({_JSON_WORKS}))"""
-
-
-@q("txt29_parse_label_list", f"WITH {_LABELS} SELECT pmid, array_to_string(labels, '/') AS labels, CAST(len(labels) AS INTEGER) AS n FROM labels")
+@q("txt29_parse_label_list", f"WITH {LABELS} SELECT pmid, array_to_string(labels, '/') AS labels, CAST(len(labels) AS INTEGER) AS n FROM labels")
 def _(t, s, d):
-    labels = T.parse_label_list(F.col("llm_concepts"))
-    return _json_works(t).select("pmid", F.array_join(labels, "/").alias("labels"), F.size(labels).alias("n"))
+    return label_lists(t).select("pmid", F.array_join("labels", "/").alias("labels"), F.size("labels").alias("n"))
 
 
-@q("txt29_parse_label_list_whole")
+@q("txt29_unreadable_lists", r"SELECT pmid FROM surgery_pubmed_works WHERE trim(llm_concepts) <> '' AND NOT regexp_matches(trim(llm_concepts, E' \n\t\r'), '^\[.*\]$|^\{.*\}$', 's')")
 def _(t, s, d):
-    return label_lists(t).select("pmid", F.array_join("labels", "/").alias("labels"), F.size("labels").alias("n"))
+    """Works whose value is no serialized list; bare labels are none."""
+    return t("surgery_pubmed_works").where(T.parse_label_list(F.col("llm_concepts")).isNull()).select("pmid")
 
 
 def _normal_sql(x: str) -> str:
@@ -204,12 +188,7 @@ def _normal_sql(x: str) -> str:
     return f"list_filter({kept}, lambda c, i: list_position({kept}, c) = i)[1:12]"
 
 
-@q("txt30_normalize_labels", f"WITH {_LABELS} SELECT pmid, array_to_string({_normal_sql('labels')}, '/') AS labels FROM labels")
-def _(t, s, d):
-    return _json_works(t).select("pmid", F.array_join(T.normalize_labels(T.parse_label_list(F.col("llm_concepts"))), "/").alias("labels"))
-
-
-@q("txt30_normalize_labels_whole")
+@q("txt30_normalize_labels", f"WITH {LABELS} SELECT pmid, array_to_string({_normal_sql('labels')}, '/') AS labels FROM labels")
 def _(t, s, d):
     return label_lists(t).select("pmid", F.array_join(T.normalize_labels(F.col("labels")), "/").alias("labels"))
 
@@ -226,12 +205,7 @@ def _(t, s, d):
     return t("documents").select("doc_id", F.array_join(T.repair_list_reply(reply), "/").alias("items"))
 
 
-@q("txt32_normalize_spelling", f"WITH {_LABELS} SELECT pmid, array_to_string(list_transform(labels, lambda c: replace(regexp_replace(lower(c), '[/-]', ' ', 'g'), 'aluminum', 'aluminium')), '|') AS labels FROM labels")
-def _(t, s, d):
-    return _json_works(t).select("pmid", F.array_join(T.normalize_spelling(T.parse_label_list(F.col("llm_concepts"))), "|").alias("labels"))
-
-
-@q("txt32_normalize_spelling_whole")
+@q("txt32_normalize_spelling", f"WITH {LABELS} SELECT pmid, array_to_string(list_transform(labels, lambda c: replace(regexp_replace(lower(c), '[/-]', ' ', 'g'), 'aluminum', 'aluminium')), '|') AS labels FROM labels")
 def _(t, s, d):
     return label_lists(t).select("pmid", F.array_join(T.normalize_spelling(F.col("labels")), "|").alias("labels"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.dates import day_of_year_end
+from corpusloom.functions.labels import decode_labels
 from corpusloom.operators.graph import edges_of_mentions
 
 #: The cutoff year of past snapshots and the years that lie ahead of it.
@@ -58,3 +59,18 @@ def scored(t) -> DataFrame:
         F.col("doc_id").alias("idx"), (F.col("doc_id") % 97).alias("src"), (F.lit(1990) + F.col("doc_id") % 7).cast("int").alias("yr"), (F.col("doc_id") * 31 % 10 < 3).cast("int").alias("label"),
         ((chars * 7919) % 1000 / 1000).alias("score"), ((F.col("doc_id") * 104729) % 1000 / 1000).alias("score2"),
     )
+
+
+_SPACE = r"[\s\x{A0}\x{2000}-\x{200A}\x{3000}]"
+_STRIP = rf"^{_SPACE}+|{_SPACE}+$"
+_QUOTED = r"''(?:[^''\\]|\\.)*''|\"(?:[^\"\\]|\\.)*\""
+#: Labels of each work, whatever their notation; none is an empty list.
+LABELS = rf"""raw AS (SELECT pmid, regexp_replace(coalesce(llm_concepts, ''), '{_STRIP}', '', 'g') AS v FROM surgery_pubmed_works),
+listed AS (SELECT pmid, CASE WHEN v[1] = '[' AND json_valid(v) THEN from_json(v, '["VARCHAR"]') WHEN v[1] = '{{' AND json_valid(v) THEN from_json(v->'$.concepts', '["VARCHAR"]')
+  WHEN v[1] = '[' THEN list_transform(regexp_extract_all(v, '{_QUOTED}'), lambda x: x[2:-2]) WHEN contains(v, ';') THEN string_split(v, ';') WHEN contains(v, '|') THEN string_split(v, '|') ELSE string_split(v, ',') END AS items FROM raw),
+labels AS (SELECT pmid, coalesce(list_filter(list_transform(items, lambda x: regexp_replace(x, '{_STRIP}', '', 'g')), lambda x: x <> ''), []) AS labels FROM listed)"""
+
+
+def label_lists(t) -> DataFrame:
+    """(pmid, labels) of every work, whatever their notation."""
+    return t("surgery_pubmed_works").select("pmid", decode_labels(F.col("llm_concepts")).alias("labels"))

@@ -34,7 +34,7 @@ def smallest_reached(pairs):
 
 
 def test_components_of_all_works(spark, data, all_edges):
-    found = {r["id"]: r["component"] for r in QUERIES["grf10_all_components"](spark, data).collect()}
+    found = {r["id"]: r["component"] for r in QUERIES["grf10_components"](spark, data).collect()}
     assert found == smallest_reached({(u, v) for _, u, v, _, _ in all_edges})
 
 
@@ -87,7 +87,7 @@ def brute_distances(links, asked):
 
 
 def test_distances_of_all_later_pairs(spark, data, all_edges):
-    found = {(r["u"], r["v"]): r["distance"] for r in QUERIES["grf8_annotated_pairs_whole"](spark, data).collect()}
+    found = {(r["u"], r["v"]): r["distance"] for r in QUERIES["grf8_annotated_pairs"](spark, data).collect()}
     assert found == brute_distances({r[1:3] for r in all_edges if r[3] < PAST_DAY}, {r[1:3] for r in all_edges if r[3] >= PAST_DAY})
     assert {1, 2} <= set(found.values())
 
@@ -116,11 +116,11 @@ def past_links(all_edges):
 
 
 def test_two_step_pairs_of_the_past(spark, data, past_links):
-    assert {(r["u"], r["v"]): r["common"] for r in QUERIES["joi18_two_step_pairs_whole"](spark, data).collect()} == brute_two_steps(past_links)
+    assert {(r["u"], r["v"]): r["common"] for r in QUERIES["joi18_two_step_pairs"](spark, data).collect()} == brute_two_steps(past_links)
 
 
 def test_distance_candidates_of_the_past(spark, data, past_links):
-    found = [(r["u"], r["v"]) for r in QUERIES["smp12_distance_candidates_whole"](spark, data).collect()]
+    found = [(r["u"], r["v"]) for r in QUERIES["smp12_distance_candidates"](spark, data).collect()]
     assert sorted(found) == sorted(brute_two_steps(past_links).keys() - past_links)
 
 
@@ -128,9 +128,9 @@ def test_prospective_pairs_and_entry_of_the_past(spark, data, past_links):
     near, common = neighbours(past_links), brute_two_steps(past_links)
     best = sorted((-n, *pair) for pair, n in common.items() if pair not in past_links)[:50]
     expected = [(i, u, v, len(near[u]), len(near[v]), 2, -n) for i, (n, u, v) in enumerate(best, 1)]
-    for df in (QUERIES["mod8_prospective_pairs_whole"](spark, data), catalog.flagship(spark, data)):
+    for df in (QUERIES["mod8_prospective_pairs"](spark, data), catalog.flagship(spark, data)):
         assert sorted(tuple(r[c] for c in ("rank", "u", "v", "degree_a", "degree_b", "graph_distance", "score")) for r in df.collect()) == expected
 
 
 def test_labels_of_all_pairs(spark, data, all_edges):
-    assert QUERIES["hlp16_pair_labels_whole"](spark, data).count() == len(all_edges)
+    assert QUERIES["hlp16_pair_labels"](spark, data).count() == len(all_edges)
