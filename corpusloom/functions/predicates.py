@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .text import ABBREVIATIONS, strip
 
 #: Words that keep a two-word phrase out, and words that keep any phrase out.
-WEAK_WORDS = ["also", "due", "important", "much", "showed", "thoroughly", "times", "using"]
-EMPTY_WORDS = ["experiment", "experimental", "experiments", "paper", "papers", "present", "presented", "presents", "recent", "recently", "result", "results", "work", "works"]
+WEAK_WORDS = ["important", "also", "due", "thoroughly", "using", "showed", "much", "times"]
+EMPTY_WORDS = ["results", "result", "recent", "recently", "present", "presented", "presents", "work", "works", "experiment", "experiments", "experimental", "paper", "papers"]
 #: Capitalised strings that look like formulas and are none.
 FALSE_FORMULAS = ["In", "At", "VIP", "C", "K", "As", "I", "II", "III", "IV", "V", "Pa", "UV", "U", "K1"]
 

@@ -12,13 +12,13 @@ from .labels import decode_labels
 #: Oxidation numerals in brackets and the charges they stand for.
 OXIDATION_STATES = {"(I)": "1+", "(II)": "2+", "(III)": "3+", "(IV)": "4+", "(V)": "5+", "(VI)": "6+", "(VII)": "7+", "(VIII)": "8+", "(IX)": "9+", "(X)": "10+"}
 #: Unit words that keyword extraction leaves out.
-UNIT_WORDS = "bar cf cm et fg g ghz grit h k kda kg khz mah microg microl min mol mv nm pa ppm slpm u vol wt".split()
+UNIT_WORDS = ["bar", "cf", "cm", "et", "fg", "g", "ghz", "grit", "h", "k", "kda", "kg", "khz", "mah", "microg", "microl", "min", "mol", "mv", "nm", "pa", "ppm", "slpm", "u", "vol", "wt"]
 #: Single words that are labels of their own.
-ABBREVIATIONS = "crispr ct ercp icu mri pcr tme".split()
+ABBREVIATIONS = ["ercp", "tme", "crispr", "ct", "mri", "icu", "pcr"]
 #: Labels too general to be concepts.
 GENERIC_LABELS = [
-    "adverse effect", "cancer", "complication", "disease", "meta analysis", "meta-analysis", "morbidity", "mortality", "outcome", "overall survival", "patient", "patients",
-    "postoperative complication", "postoperative outcome", "prospective study", "retrospective study", "risk factor", "study", "surgery", "survival", "systematic review", "therapy", "treatment",
+    "patient", "patients", "study", "treatment", "therapy", "surgery", "cancer", "disease", "outcome", "risk factor", "complication", "mortality", "morbidity", "survival",
+    "overall survival", "postoperative outcome", "postoperative complication", "adverse effect", "retrospective study", "prospective study", "systematic review", "meta analysis", "meta-analysis",
 ]
 #: Patterns of the abstract cleaning steps, in the order in which they apply.
 PATTERNS = {

@@ -13,68 +13,50 @@ from corpusloom.functions.predicates import FALSE_FORMULAS
 from corpusloom.session import spread
 
 #: Symbols of the elements and their names, by atomic number.
-ELEMENT_NAMES = dict(
-    zip(
-        *[iter((
-            "H hydrogen He helium Li lithium Be beryllium B boron C carbon N nitrogen O oxygen F fluorine Ne neon Na sodium Mg magnesium Al aluminium Si silicon P phosphorus S sulfur Cl chlorine Ar argon "
-            "K potassium Ca calcium Sc scandium Ti titanium V vanadium Cr chromium Mn manganese Fe iron Co cobalt Ni nickel Cu copper Zn zinc Ga gallium Ge germanium As arsenic Se selenium Br bromine Kr krypton "
-            "Rb rubidium Sr strontium Y yttrium Zr zirconium Nb niobium Mo molybdenum Tc technetium Ru ruthenium Rh rhodium Pd palladium Ag silver Cd cadmium In indium Sn tin Sb antimony Te tellurium I iodine Xe xenon "
-            "Cs caesium Ba barium La lanthanum Ce cerium Pr praseodymium Nd neodymium Pm promethium Sm samarium Eu europium Gd gadolinium Tb terbium Dy dysprosium Ho holmium Er erbium Tm thulium Yb ytterbium Lu lutetium "
-            "Hf hafnium Ta tantalum W tungsten Re rhenium Os osmium Ir iridium Pt platinum Au gold Hg mercury Tl thallium Pb lead Bi bismuth Po polonium At astatine Rn radon Fr francium Ra radium Ac actinium Th thorium "
-            "Pa protactinium U uranium Np neptunium Pu plutonium Am americium Cm curium Bk berkelium Cf californium Es einsteinium Fm fermium Md mendelevium No nobelium Lr lawrencium Rf rutherfordium Db dubnium "
-            "Sg seaborgium Bh bohrium Hs hassium Mt meitnerium Ds darmstadtium Rg roentgenium Cn copernicium Nh nihonium Fl flerovium Mc moscovium Lv livermorium Ts tennessine Og oganesson"
-        ).split())] * 2
-    )
-)
+ELEMENT_NAMES = {
+    "H": "hydrogen", "He": "helium", "Li": "lithium", "Be": "beryllium", "B": "boron", "C": "carbon", "N": "nitrogen", "O": "oxygen", "F": "fluorine",
+    "Ne": "neon", "Na": "sodium", "Mg": "magnesium", "Al": "aluminium", "Si": "silicon", "P": "phosphorus", "S": "sulfur", "Cl": "chlorine", "Ar": "argon",
+    "K": "potassium", "Ca": "calcium", "Sc": "scandium", "Ti": "titanium", "V": "vanadium", "Cr": "chromium", "Mn": "manganese", "Fe": "iron", "Co": "cobalt",
+    "Ni": "nickel", "Cu": "copper", "Zn": "zinc", "Ga": "gallium", "Ge": "germanium", "As": "arsenic", "Se": "selenium", "Br": "bromine", "Kr": "krypton",
+    "Rb": "rubidium", "Sr": "strontium", "Y": "yttrium", "Zr": "zirconium", "Nb": "niobium", "Mo": "molybdenum", "Tc": "technetium", "Ru": "ruthenium", "Rh": "rhodium",
+    "Pd": "palladium", "Ag": "silver", "Cd": "cadmium", "In": "indium", "Sn": "tin", "Sb": "antimony", "Te": "tellurium", "I": "iodine", "Xe": "xenon",
+    "Cs": "caesium", "Ba": "barium", "La": "lanthanum", "Ce": "cerium", "Pr": "praseodymium", "Nd": "neodymium", "Pm": "promethium", "Sm": "samarium", "Eu": "europium",
+    "Gd": "gadolinium", "Tb": "terbium", "Dy": "dysprosium", "Ho": "holmium", "Er": "erbium", "Tm": "thulium", "Yb": "ytterbium", "Lu": "lutetium", "Hf": "hafnium",
+    "Ta": "tantalum", "W": "tungsten", "Re": "rhenium", "Os": "osmium", "Ir": "iridium", "Pt": "platinum", "Au": "gold", "Hg": "mercury", "Tl": "thallium",
+    "Pb": "lead", "Bi": "bismuth", "Po": "polonium", "At": "astatine", "Rn": "radon", "Fr": "francium", "Ra": "radium", "Ac": "actinium", "Th": "thorium",
+    "Pa": "protactinium", "U": "uranium", "Np": "neptunium", "Pu": "plutonium", "Am": "americium", "Cm": "curium", "Bk": "berkelium", "Cf": "californium", "Es": "einsteinium",
+    "Fm": "fermium", "Md": "mendelevium", "No": "nobelium", "Lr": "lawrencium", "Rf": "rutherfordium", "Db": "dubnium", "Sg": "seaborgium", "Bh": "bohrium", "Hs": "hassium",
+    "Mt": "meitnerium", "Ds": "darmstadtium", "Rg": "roentgenium", "Cn": "copernicium", "Nh": "nihonium", "Fl": "flerovium", "Mc": "moscovium", "Lv": "livermorium", "Ts": "tennessine",
+    "Og": "oganesson",
+}
 #: Symbols that are words too and are not replaced by names.
 WORD_SYMBOLS = ("As", "At", "In")
 
 _SYMBOLS = "|".join(sorted(ELEMENT_NAMES, key=lambda s: (-len(s), s)))
 _LEXEME = re.compile(rf"(?P<E>{_SYMBOLS})|(?P<N>\d+(?:\.\d+)?\+?)|(?P<S>[-+/])|(?P<W> )|(?P<D>[.,])|(?P<C>.)", re.S)
+#: Symbols that belong together, over the letters of the lexemes: numbers follow with or without blanks, symbols with blanks or a hyphen between.
+_TOGETHER = "E(?:[EN]|-E|W++(?:N[NW]*+)?E)*"
+#: Parts of a text over the letters of its lexemes. Other letters make a word of what they touch; numbers behind a blank go to the formula, and the blank stays behind it.
+_PARTS = re.compile(rf"(?P<C>(?:{_TOGETHER})?C[CE]*)|(?P<E>{_TOGETHER}(?P<behind>W++N[NW]*+)?)|(?P<N>N(?:/N)*)|(?P<W>W+)|(?P<S>[-+/])|(?P<D>D)")
+_LEFT_OUT = frozenset(" -")
 
 
-def _joined(parts: list[list[str]], kind: str, text: str) -> None:
-    """Add a lexeme to the parts, or join it to what stands before.
+def formula_parts_of(text: str) -> list[tuple[str, str]]:
+    """(kind, text) of the parts of a text with the pieces of formulas joined: ``Fe3 O`` and ``Fe-O`` are one each.
 
-    Kinds: E formula, N number, S sign, W blank, D stop, C other letters.
+    Kinds: E formula, N number, S sign, W blank, D stop, C word.
     """
-    before = parts[-1][0] if parts else ""
-    earlier = parts[-2][0] if len(parts) > 1 else ""
-    if kind == "E":
-        if before in ("E", "C"):
-            parts[-1][1] += text
-            return
-        if earlier == "E" and (before == "W" or parts[-1][1] == "-" and before == "S"):
-            parts.pop()
-            parts[-1][1] += text
-            return
-    elif kind == "N":
-        if before == "E":
-            parts[-1][1] += text
-            return
-        if earlier == "E" and before == "W":
-            parts[-2][1] += text
-            return
-        if earlier == "N" and parts[-1][1] == "/":
-            parts.pop()
-            parts[-1][1] += "/" + text
-            return
-    elif kind == "C":
-        if before in ("C", "E"):
-            parts[-1][0] = "C"
-            parts[-1][1] += text
-            return
-    elif kind == "W" and before == "W":
-        return
-    parts.append([kind, text])
-
-
-def formula_parts_of(text: str) -> list[tuple[str, str]]:
-    """(kind, text) of the parts of a text with the pieces of formulas joined: ``Fe3 O`` and ``Fe-O`` are one each."""
-    parts: list[list[str]] = []
-    for m in _LEXEME.finditer(text):
-        _joined(parts, m.lastgroup or "C", m[0])
-    return [(k, t) for k, t in parts]
+    found = [(m.lastgroup, m[0]) for m in _LEXEME.finditer(text)]
+    parts = []
+    for m in _PARTS.finditer("".join(t if k == "S" else k for k, t in found)):
+        pieces = [t for _, t in found[m.start() : m.end()]]
+        kind = "E" if m["E"] else m.lastgroup
+        if kind in "EC":
+            pieces = [t for t in pieces if t not in _LEFT_OUT]
+        parts.append((kind, " " if kind == "W" else "".join(pieces)))
+        if m["behind"] and not (m.end() < len(found) and found[m.end()][0] == "W"):
+            parts.append(("W", " "))
+    return parts
 
 
 def formulas_in(text: str) -> set[str]:

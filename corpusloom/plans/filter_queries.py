@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import predicates as P
 from corpusloom.functions import text as T
 from corpusloom.operators.graph import degrees, distances_from, snapshot
-from corpusloom.operators.ordering import numbered_parts
+from corpusloom.operators.ordering import numbered_parts, with_row_number
 from corpusloom.operators.sampling import allowed_nodes
 from corpusloom.sources import articles as A
 from corpusloom.sources import readers as R
@@ -93,30 +93,45 @@ def _(t, s, d):
 
 
 def _article_documents(t):
-    """One XML document for each work, with its title, abstract and year."""
-    safe = lambda c: F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    year = F.coalesce(F.col("publication_year").cast("string"), F.lit(""))
+    """One XML document for each work: its title, abstract, types, languages, terms, DOI, and its date as parts or, where it is not whole, as free text."""
+    safe = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), safe(F.coalesce(c, F.lit(""))), F.lit(f"</{name.split()[0]}>"))
+    each = lambda name, c: F.array_join(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ";", -1), lambda x: tag(name, x)), "")
+    day = F.col("publication_date")
+    part = lambda name, i: tag(name, F.split_part(day, F.lit("-"), F.lit(i)))
+    whole = F.coalesce(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
+    retracted = F.when(F.col("is_retracted"), tag("PublicationType", F.lit("Retracted Publication"))).otherwise("")
     body = F.concat(
-        F.lit("<Set><PubmedArticle><MedlineCitation><PMID>"), F.col("pmid").cast("string"), F.lit("</PMID><Article><ArticleTitle>"), safe("display_name"), F.lit("</ArticleTitle><Abstract><AbstractText Label='A'>"), safe("abstract"),
-        F.lit("</AbstractText></Abstract><Language>eng</Language><ArticleDate><Year>"), year, F.lit("</Year></ArticleDate></Article></MedlineCitation></PubmedArticle></Set>"),
+        F.lit("<Set><PubmedArticle><MedlineCitation>"), tag("PMID", F.col("pmid").cast("string")), F.lit("<Article>"), tag("ArticleTitle", F.col("display_name")),
+        F.lit("<Abstract>"), tag("AbstractText Label='A'", F.col("abstract")), F.lit("</Abstract>"), each("Language", "languages"),
+        F.lit("<PublicationTypeList>"), each("PublicationType", "publication_types"), retracted, F.lit("</PublicationTypeList>"),
+        F.when(whole, F.concat(F.lit("<ArticleDate>"), part("Year", 1), part("Month", 2), part("Day", 3), F.lit("</ArticleDate>"))).otherwise(""),
+        F.lit("<Journal>"), tag("Title", F.col("source_id")), F.lit("<JournalIssue><PubDate>"), F.when(~whole, tag("MedlineDate", day)).otherwise(""), F.lit("</PubDate></JournalIssue></Journal></Article>"),
+        F.lit("<MeshHeadingList><MeshHeading>"), each("DescriptorName", "mesh_terms"), F.lit("</MeshHeading></MeshHeadingList></MedlineCitation>"),
+        F.lit("<PubmedData><ArticleIdList>"), tag("ArticleId IdType='doi'", F.col("doi")), F.lit("</ArticleIdList></PubmedData></PubmedArticle></Set>"),
     )
     return t("surgery_pubmed_works").select(body.alias("xml"))
 
 
 _SQUEEZED = "trim(regexp_replace(coalesce({}, ''), '\\s+', ' ', 'g'))"
 _ABSTRACT = f"CASE WHEN {_SQUEEZED.format('abstract')} = '' THEN '' ELSE 'A: ' || {_SQUEEZED.format('abstract')} END"
+_LIST = "list_filter(list_transform(string_split(coalesce({}, ''), ';'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')"
+_ONCE = "array_to_string(list_filter({0}, lambda x, i: list_position({0}, x) = i), '; ')"
+_IN_RANGE = "CASE WHEN CAST(substr(publication_date, {0}, 2) AS INTEGER) BETWEEN 1 AND {1} THEN substr(publication_date, {0}, 2) ELSE '01' END"
+_ARTICLES = rf"""a AS (SELECT CAST(pmid AS VARCHAR) AS pmid, coalesce(doi, '') AS doi, {_SQUEEZED.format('display_name')} AS title, {_ABSTRACT} AS body, {_LIST.format('mesh_terms')} AS mesh, {_LIST.format('languages')} AS langs,
+ {_LIST.format('publication_types')} || CASE WHEN is_retracted THEN ['Retracted Publication'] ELSE [] END AS types, coalesce(is_retracted, false) AS is_retracted,
+ CASE WHEN regexp_matches(publication_date, '^\d{{4}}-\d{{2}}-\d{{2}}$') THEN substr(publication_date, 1, 4) || '-' || {_IN_RANGE.format(6, 12)} || '-' || {_IN_RANGE.format(9, 31)} WHEN regexp_matches(publication_date, '^\d{{4}}') THEN substr(publication_date, 1, 4) || '-01-01' END AS day FROM surgery_pubmed_works),
+r AS (SELECT *, CASE WHEN pmid IS NULL THEN 'missing_pmid' WHEN title = '' THEN 'missing_title' WHEN body = '' THEN 'missing_abstract' WHEN day IS NULL THEN 'missing_publication_date' WHEN length(title) < 10 THEN 'title_too_short'
+ WHEN length(body) <= 300 THEN 'abstract_too_short' WHEN length(body) >= 4000 THEN 'abstract_too_long' WHEN NOT list_has_any(list_transform(langs, lambda x: lower(x)), ['en', 'eng', 'english']) THEN 'non_english'
+ WHEN list_has_any(list_transform(types, lambda x: lower(x)), ['review', 'systematic review', 'meta-analysis', 'editorial', 'letter', 'comment', 'case reports', 'retracted publication']) THEN 'excluded_publication_type' END AS reason FROM a)"""
 
 
-@q("txt20_article_records", f"""WITH a AS (SELECT CAST(pmid AS VARCHAR) AS pmid, {_SQUEEZED.format('display_name')} AS title, {_ABSTRACT} AS body, publication_year AS y FROM surgery_pubmed_works)
-SELECT pmid, title AS display_name, y AS publication_year, CASE WHEN title = '' THEN 'missing_title' WHEN body = '' THEN 'missing_abstract' WHEN y IS NULL THEN 'missing_publication_date' WHEN length(title) < 10 THEN 'title_too_short'
- WHEN length(body) <= 300 THEN 'abstract_too_short' WHEN length(body) >= 4000 THEN 'abstract_too_long' END AS reason FROM a""")
+@q("txt20_article_records", f"WITH {_ARTICLES} SELECT coalesce(pmid, '') AS pmid, doi, title AS display_name, day AS publication_date, CAST(left(day, 4) AS INTEGER) AS publication_year, {_ONCE.format('mesh')} AS mesh_terms, {_ONCE.format('types')} AS publication_types, {_ONCE.format('langs')} AS languages, is_retracted, reason FROM r")
 def _(t, s, d):
-    return A.parse_articles(_article_documents(t), "xml").select("pmid", "display_name", "publication_year", "reason")
+    return A.parse_articles(_article_documents(t), "xml").select("pmid", "doi", "display_name", "publication_date", "publication_year", "mesh_terms", "publication_types", "languages", "is_retracted", "reason")
 
 
-@q("src14_articles_by_reason", f"""WITH a AS (SELECT {_ABSTRACT} AS body, {_SQUEEZED.format('display_name')} AS title, publication_year AS y FROM surgery_pubmed_works)
-SELECT CASE WHEN title = '' THEN 'missing_title' WHEN body = '' THEN 'missing_abstract' WHEN y IS NULL THEN 'missing_publication_date' WHEN length(title) < 10 THEN 'title_too_short'
- WHEN length(body) <= 300 THEN 'abstract_too_short' WHEN length(body) >= 4000 THEN 'abstract_too_long' END AS reason, count(*) AS articles FROM a GROUP BY ALL""")
+@q("src14_articles_by_reason", f"WITH {_ARTICLES} SELECT reason, count(*) AS articles FROM r GROUP BY reason")
 def _(t, s, d):
     return A.parse_articles(_article_documents(t), "xml").groupBy("reason").agg(F.count(F.lit(1)).alias("articles"))
 
@@ -192,11 +207,14 @@ def _(t, s, d):
     return R.write_split(rows, R.scratch(s, "kept"), R.scratch(s, "left-out"))
 
 
-@q("snk10_markdown_report", "SELECT lang, '| doc | chars |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || CAST(doc_id AS VARCHAR) || ' | ' || CAST(n_chars AS VARCHAR) || ' |', chr(10) ORDER BY doc_id) AS report FROM documents WHERE n_chars > 5000 GROUP BY lang")
+@q("snk10_markdown_report", """WITH l AS (SELECT coalesce(lang, '') AS lang, 2 AS part, doc_id AS place, '| ' || doc_id || ' | ' || coalesce(CAST(n_chars AS VARCHAR), '') || ' |' AS line FROM documents
+UNION ALL SELECT DISTINCT coalesce(lang, ''), 0, -1, '| doc | chars |' FROM documents UNION ALL SELECT DISTINCT coalesce(lang, ''), 1, -1, '|---|---|' FROM documents)
+SELECT lang, line, CAST(row_number() OVER (ORDER BY lang, part, place) AS BIGINT) AS line_no FROM l""")
 def _(t, s, d):
-    line = F.concat(F.lit("| "), F.col("doc_id").cast("string"), F.lit(" | "), F.col("n_chars").cast("string"), F.lit(" |"))
-    grouped = t("documents").where("n_chars > 5000").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("rows"))
-    return grouped.select("lang", F.concat(F.lit("| doc | chars |\n|---|---|\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("report"))
+    """The lines of a report with a table for each language, numbered in order over all of them."""
+    rows = t("documents").select(F.coalesce("lang", F.lit("")).alias("lang"), F.lit(2).alias("part"), F.col("doc_id").alias("place"), F.concat(F.lit("| "), F.col("doc_id").cast("string"), F.lit(" | "), F.coalesce(F.col("n_chars").cast("string"), F.lit("")), F.lit(" |")).alias("line"))
+    heads = rows.select("lang").distinct().select("lang", F.posexplode(F.array(F.lit("| doc | chars |"), F.lit("|---|---|"))).alias("part", "line")).select("lang", "part", F.lit(-1).cast("bigint").alias("place"), "line")
+    return with_row_number(rows.unionByName(heads), F.col("lang"), F.col("part"), F.col("place"), name="line_no").select("lang", "line", "line_no")
 
 
 @q("snk12_packed_requests")

@@ -87,14 +87,12 @@ def _(t, s, d):
 
 
 @q("txt15_inverted_index", r"""SELECT id, regexp_replace(array_to_string(list_transform(string_split(display_name, ' '), lambda x: x), ' '), '[\n\r]', ' ', 'g') AS text
-FROM journal_sources WHERE display_name IS NOT NULL AND length(trim(display_name)) > 0 AND NOT regexp_matches(display_name, '^\s|\s$|\s\s|[\t\n\r]')""")
+FROM journal_sources""")
 def _(t, s, d):
     """Names are turned into inverted indexes and back."""
-    rows = t("journal_sources").where(F.col("display_name").isNotNull() & (F.length(F.trim("display_name")) > 0) & ~F.col("display_name").rlike(r"^\s|\s$|\s\s|[\t\n\r]"))
     words = F.split("display_name", " ", -1)
-    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.lit(True))
-    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.filter(places, lambda i: F.get(words, i) == w))))
-    return rows.select("id", T.text_from_positions(index).alias("text"))
+    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == w))))
+    return t("journal_sources").select("id", T.text_from_positions(F.when(F.col("display_name").isNotNull(), index)).alias("text"))
 
 
 @q("txt16_last_path_part", "SELECT id, regexp_extract('https://example.org/' || id, '/([^/]*)$', 1) AS short FROM materials_science_works")
@@ -280,15 +278,16 @@ def _(t, s, d):
     return t("orders").agg(F.count_if(day < D.day_before_year(1996)).alias("whole_year"), F.count_if(day < D.day_of_year_end(1996)).alias("to_year_end"), F.count_if(day < D.day_of_month_cutoff(1996, 3)).alias("to_month"))
 
 
-_MONTH_CASE = "CASE WHEN m ~ '^[0-9]+$' AND CAST(m AS INTEGER) BETWEEN 1 AND 12 THEN CAST(m AS INTEGER) ELSE 1 END"
+_MONTHS = "list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(m))"
 
 
-@q("dat4_partial_dates", f"""WITH p AS (SELECT id, split_part(publication_date, '-', 1) AS y, split_part(publication_date, '-', 2) AS m, split_part(publication_date, '-', 3) AS d FROM materials_science_works WHERE regexp_matches(publication_date, '^[0-9]{{4}}(-[0-9]{{2}}){{0,2}}$'))
-SELECT id, y || '-' || lpad(CAST({_MONTH_CASE} AS VARCHAR), 2, '0') || '-' || lpad(CAST(CASE WHEN d ~ '^[0-9]+$' AND CAST(d AS INTEGER) BETWEEN 1 AND 31 THEN CAST(d AS INTEGER) ELSE 1 END AS VARCHAR), 2, '0') AS iso FROM p""")
+@q("dat4_partial_dates", rf"""WITH p AS (SELECT id, publication_date AS t, try_cast(split_part(publication_date, '-', 1) AS INTEGER) AS y, split_part(publication_date, '-', 2) AS m, try_cast(split_part(publication_date, '-', 3) AS INTEGER) AS d FROM materials_science_works),
+k AS (SELECT id, coalesce(y, try_cast(list_filter(list_transform(string_split_regex(coalesce(t, ''), '\s+'), lambda x: left(x, 4)), lambda x: try_cast(x AS INTEGER) IS NOT NULL)[1] AS INTEGER)) AS y, coalesce(try_cast(m AS INTEGER), {_MONTHS}, 1) AS m, d FROM p)
+SELECT id, CASE WHEN y IS NOT NULL THEN printf('%04d-%02d-%02d', y, CASE WHEN m BETWEEN 1 AND 12 THEN m ELSE 1 END, CASE WHEN d BETWEEN 1 AND 31 THEN d ELSE 1 END) END AS iso FROM k""")
 def _(t, s, d):
-    rows = t("materials_science_works").where(F.col("publication_date").rlike(r"^[0-9]{4}(-[0-9]{2}){0,2}$"))
+    """Dates of all works, cut at hyphens; what is no such date is free text with a year, or has none."""
     parts = [F.split_part("publication_date", F.lit("-"), F.lit(i)) for i in (1, 2, 3)]
-    return rows.select("id", D.partial_date(parts[0], parts[1], parts[2], F.lit(None).cast("string")).alias("iso"))
+    return t("materials_science_works").select("id", D.partial_date(parts[0], parts[1], parts[2], F.col("publication_date")).alias("iso"))
 
 
 @q("dat4_any_date", r"""SELECT pmid, CAST(coalesce(try_cast(nullif(regexp_extract(publication_date, '^(\d{4}-\d{2}-\d{2})', 1), '') AS DATE),

@@ -17,11 +17,13 @@ from corpusloom.functions.dates import MONTHS, middle_day
 
 #: Reasons for which an article is left out, in the order in which they are tried.
 REASONS = ("missing_pmid", "missing_title", "missing_abstract", "missing_publication_date", "title_too_short", "abstract_too_short", "abstract_too_long", "non_english", "excluded_publication_type")
-#: How English is written in records, and types of publication that are left out.
-ENGLISH = ("eng", "english", "en")
-EXCLUDED_TYPES = ("review", "systematic review", "meta-analysis", "editorial", "letter", "comment", "case reports")
+#: How English is written in records, and types of publication whose records are left out.
+ENGLISH = ("en", "eng", "english")
+EXCLUDED_TYPES = ("review", "systematic review", "meta-analysis", "editorial", "letter", "comment", "case reports", "retracted publication")
+#: Types that a search leaves out; retracted ones come back from it and are left out by their record.
+SEARCH_EXCLUDED_TYPES = ("review", "systematic review", "meta-analysis", "editorial", "letter", "comment", "case reports")
 #: Fixed value: conditions that every search carries.
-SEARCH_CONDITIONS = "AND hasabstract[text] AND english[lang] AND humans[Mesh] NOT (" + " OR ".join(f"{t}[Publication Type]" for t in EXCLUDED_TYPES) + ")"
+SEARCH_CONDITIONS = "AND hasabstract[text] AND english[lang] AND humans[Mesh] NOT (" + " OR ".join(f"{t}[Publication Type]" for t in SEARCH_EXCLUDED_TYPES) + ")"
 
 RECORD = "id string, pmid string, doi string, display_name string, publication_date string, publication_year int, abstract string, source_id string, mesh_terms string, publication_types string, languages string, is_retracted boolean, reason string"
 
