@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut
 
+from .blocks import block_meetings, block_of, unfold_pairs
+
 
 def edges_of_mentions(mentions: DataFrame) -> DataFrame:
-    """All pairs of concepts of each work: grouped once and unfolded, so that mentions are shuffled once."""
+    """All pairs of concepts of each work: grouped once and unfolded, so that mentions are shuffled once; long lists go in parts."""
     grouped = mentions.groupBy("work_id", "day", "y").agg(F.array_sort(F.collect_set("cid")).alias("cids"))
-    pairs = F.flatten(F.transform("cids", lambda a, i: F.transform(F.slice("cids", i + 2, F.size("cids")), lambda b: F.struct(a.alias("u"), b.alias("v")))))
-    return grouped.where(F.size("cids") > 1).select("work_id", "day", "y", F.inline(pairs)).select("work_id", "u", "v", "day", "y")
+    return unfold_pairs(grouped, "cids", "work_id", "day", "y").select("work_id", "u", "v", "day", "y")
 
 
 def until(edges: DataFrame, day: int) -> DataFrame:
@@ -54,67 +55,113 @@ def two_hop(snap: DataFrame, binary: bool = True) -> DataFrame:
     return both_ways(snap).join(degree, "other").groupBy("id").agg(F.sum(value).alias("two_hop"))
 
 
+def yearly_links(edges: DataFrame, cutoffs: dict[int, int]) -> DataFrame:
+    """(u, v, l_<year>...) of the pairs before the last cutoff: the works that link them before each; one pass over ``edges`` for all years."""
+    links = [F.count_if(F.col("day") < day).alias(f"l_{year}") for year, day in cutoffs.items()]
+    return until(edges, max(cutoffs.values())).groupBy("u", "v").agg(*links)
+
+
+def yearly_nodes(links: DataFrame, years: list[int], binary: bool = True) -> DataFrame:
+    """(id, degree_<year>..., two_hop_<year>...) of the nodes of :func:`yearly_links`, all years together; weighted by works where not ``binary``."""
+    weight = lambda y: (F.col(f"l_{y}") > 0).cast("bigint") if binary else F.col(f"l_{y}")
+    ways = both_ways(links)
+    degree = cut(ways.groupBy("id").agg(*(F.sum(weight(y)).alias(f"degree_{y}") for y in years)))
+    around = degree.select(F.col("id").alias("other"), *(F.col(f"degree_{y}").alias(f"__d_{y}") for y in years))
+    hops = ways.join(around, "other").groupBy("id").agg(*(F.sum(weight(y) * F.col(f"__d_{y}")).alias(f"two_hop_{y}") for y in years))
+    return degree.join(hops, "id")
+
+
 def node_features(edges: DataFrame, cutoffs: dict[int, int], binary: bool = True) -> DataFrame:
     """(id, degree_<year>..., two_hop_<year>...) of all nodes of ``edges``, 0 where a node is not yet there."""
-    out = cut(nodes_of(edges))
-    for year, day in cutoffs.items():
-        snap = cut(snapshot(edges, day))
-        own = degrees(snap).select("id", F.col("degree" if binary else "weighted").alias(f"degree_{year}"))
-        out = out.join(own, "id", "left").join(two_hop(snap, binary).withColumnRenamed("two_hop", f"two_hop_{year}"), "id", "left")
+    found = yearly_nodes(cut(yearly_links(edges, cutoffs)), list(cutoffs), binary)
     names = [f"{kind}_{year}" for kind in ("degree", "two_hop") for year in cutoffs]
-    return out.select("id", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
+    return nodes_of(edges).join(found, "id", "left").select("id", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
+
+
+def yearly_common(links: DataFrame, years: list[int], pairs: DataFrame) -> DataFrame:
+    """(u, v, common_<year>...) for the wanted ``pairs``, all years together.
+
+    The paths of a pair start from its end with fewer neighbours and meet the neighbours of the other
+    end on both ids, so no square of the graph is built and a hub is unfolded only beside another hub.
+    """
+    present = F.array(*((F.col(f"l_{y}") > 0).cast("int") for y in years))
+    ways = cut(both_ways(links).select("id", "other", present.alias("in")))
+    degree = ways.groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+    asked = pairs.select("u", "v").distinct()
+    for end in ("u", "v"):
+        asked = asked.join(degree.select(F.col("id").alias(end), F.col("d").alias(f"__{end}")), end)  # a pair with an unknown end has no common neighbour
+    u_first = F.col("__u") <= F.col("__v")
+    turned = asked.select("u", "v", F.when(u_first, F.col("u")).otherwise(F.col("v")).alias("near"), F.when(u_first, F.col("v")).otherwise(F.col("u")).alias("far"))
+    first = turned.join(ways.select(F.col("id").alias("near"), F.col("other").alias("mid"), F.col("in").alias("in_a")), "near")
+    met = first.join(ways.select(F.col("id").alias("far"), F.col("other").alias("mid"), F.col("in").alias("in_b")), ["far", "mid"])
+    return met.groupBy("u", "v").agg(*(F.sum(F.col("in_a")[i] * F.col("in_b")[i]).alias(f"common_{y}") for i, y in enumerate(years)))
 
 
 def common_neighbours(snap: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(u, v, common) for the wanted ``pairs``; the paths of a pair start from its own neighbours, so no square of the graph is built."""
-    ways = both_ways(snap).select("id", "other")
-    first = pairs.select("u", "v").distinct().join(ways.select(F.col("id").alias("u"), F.col("other").alias("mid")), "u")
-    found = first.join(ways.select(F.col("id").alias("v"), F.col("other").alias("mid")), ["v", "mid"]).groupBy("u", "v").agg(F.count(F.lit(1)).alias("common"))
-    return pairs.select("u", "v").distinct().join(found, ["u", "v"], "left").select("u", "v", F.coalesce("common", F.lit(0)).alias("common"))
+    """(u, v, common) for the wanted ``pairs``; see :func:`yearly_common`."""
+    found = yearly_common(snap.select("u", "v", F.lit(1).alias("l_0")), [0], pairs)
+    return pairs.select("u", "v").distinct().join(found, ["u", "v"], "left").select("u", "v", F.coalesce("common_0", F.lit(0)).alias("common"))
+
+
+#: Neighbours of a node that are one block where pairs of them are made, and pairs that one task makes, about.
+BLOCK_NEIGHBOURS, TASK_PAIRS = 4096, 20_000_000
 
 
 def two_step_pairs(snap: DataFrame) -> DataFrame:
-    """(u, v, common) of all pairs u < v with a common neighbour; paths are counted before the shuffle."""
-    ways = both_ways(snap).select("id", "other")
-    ahead = ways.select(F.col("id").alias("mid"), F.col("other").alias("u"))
-    on = ways.select(F.col("id").alias("mid"), F.col("other").alias("v"))
-    return ahead.join(on, "mid").where("u < v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("common"))
+    """(u, v, common) of all pairs u < v with a common neighbour; paths are counted before the shuffle.
+
+    The neighbours of a hub are dealt to blocks, each two of which meet once, so that no task makes all
+    its pairs; the number of tasks follows the number of paths, which the degrees tell.
+    """
+    ways = cut(both_ways(snap).select("id", "other"))
+    degree = cut(ways.groupBy("id").agg(F.count(F.lit(1)).alias("d")))
+    paths = degree.agg(F.sum(F.col("d").cast("double") * (F.col("d") - 1) / 2)).first()[0] or 0.0
+    blocks = F.ceil(F.col("d") / BLOCK_NEIGHBOURS).cast("int")
+    held = ways.join(degree, "id").select(F.col("id").alias("mid"), "other", blocks.alias("blocks"), block_of(F.col("other"), blocks).alias("block"))
+    first, second = block_meetings(held, "mid", "block", "blocks", "other")
+    tasks, meeting = int(paths // TASK_PAIRS) + 1, ["mid", "low", "high"]
+    if tasks > int(snap.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        first, second = first.repartition(tasks, *meeting), second.repartition(tasks, *meeting)
+    met = first.join(second, meeting).where("low < high OR first < second")
+    return met.groupBy(F.least("first", "second").alias("u"), F.greatest("first", "second").alias("v")).agg(F.count(F.lit(1)).alias("common"))
 
 
 def pair_properties(edges: DataFrame, pairs: DataFrame, cutoffs: dict[int, int]) -> DataFrame:
     """Topological features of pairs: for each year scaled degrees and two-hop degrees of both ends, common neighbours and Jaccard.
 
     Degrees are divided by the largest of the year; common neighbours and Jaccard by the largest among
-    the pairs; a column without a value above 0 is 0.
+    the pairs; a column without a value above 0 is 0. All years are counted together.
     """
-    out = pairs.select("u", "v").distinct()
-    pairs = cut(out)
-    out = pairs
-    for year, day in cutoffs.items():
-        snap = cut(snapshot(edges, day))
-        node = cut(degrees(snap).select("id", F.col("degree").alias("d")).join(two_hop(snap), "id"))
-        most = node.agg(F.max("d").alias("most_d"), F.max("two_hop").alias("most_t"))  # one row
-        scaled = node.crossJoin(F.broadcast(most)).select("id", (F.col("d") / F.col("most_d")).alias("dn"), (F.col("two_hop") / F.col("most_t")).alias("tn"), "d")
-        for end in ("u", "v"):
-            side = scaled.select(F.col("id").alias(end), F.col("dn").alias(f"degree_{end}_{year}"), F.col("tn").alias(f"two_hop_{end}_{year}"), F.col("d").alias(f"__d_{end}"))
-            out = out.join(side, end, "left")
-        out = out.join(common_neighbours(snap, pairs).withColumnRenamed("common", f"common_{year}"), ["u", "v"])
-        union = F.coalesce("__d_u", F.lit(0)) + F.coalesce("__d_v", F.lit(0)) - F.col(f"common_{year}")
-        out = out.withColumn(f"jaccard_{year}", F.when(union > 0, F.col(f"common_{year}") / union).otherwise(0.0)).drop("__d_u", "__d_v")
-    kinds = [f"{k}_{end}_{y}" for y in cutoffs for k in ("degree", "two_hop") for end in ("u", "v")]
-    ratios = [f"{k}_{y}" for k in ("common", "jaccard") for y in cutoffs]
-    out = cut(out)
-    most = out.agg(*(F.max(c).alias(f"__m_{c}") for c in [*kinds, *ratios]))  # one row
-    scaled = lambda c: F.when(F.col(f"__m_{c}") > 0, F.coalesce(F.col(c), F.lit(0)) / F.col(f"__m_{c}")).otherwise(0.0).alias(c)
-    return out.crossJoin(F.broadcast(most)).select("u", "v", *(scaled(c) for c in [*kinds, *ratios]))
+    years, kinds = list(cutoffs), ("degree", "two_hop")
+    wanted, links = cut(pairs.select("u", "v").distinct()), cut(yearly_links(edges, cutoffs))
+    node = cut(yearly_nodes(links, years))
+    names = [f"{k}_{y}" for y in years for k in kinds]
+    most = node.agg(*(F.max(n).alias(f"__m_{n}") for n in names))  # one row
+    scaled = node.crossJoin(F.broadcast(most)).select("id", *((F.col(n) / F.col(f"__m_{n}")).alias(n) for n in names), *(F.col(f"degree_{y}").alias(f"__d_{y}") for y in years))
+    out = wanted.join(yearly_common(links, years, wanted), ["u", "v"], "left")
+    for end in ("u", "v"):
+        side = [F.col(f"{k}_{y}").alias(f"{k}_{end}_{y}") for y in years for k in kinds] + [F.col(f"__d_{y}").alias(f"__d_{end}_{y}") for y in years]
+        out = out.join(scaled.select(F.col("id").alias(end), *side), end, "left")
+    out = out.withColumns({f"common_{y}": F.coalesce(f"common_{y}", F.lit(0)) for y in years})
+    union = {y: F.coalesce(f"__d_u_{y}", F.lit(0)) + F.coalesce(f"__d_v_{y}", F.lit(0)) - F.col(f"common_{y}") for y in years}
+    out = out.withColumns({f"jaccard_{y}": F.when(union[y] > 0, F.col(f"common_{y}") / union[y]).otherwise(0.0) for y in years})
+    columns = [f"{k}_{end}_{y}" for y in years for k in kinds for end in ("u", "v")] + [f"{k}_{y}" for k in ("common", "jaccard") for y in years]
+    out = cut(out.select("u", "v", *columns))
+    most = out.agg(*(F.max(c).alias(f"__m_{c}") for c in columns))  # one row
+    divided = lambda c: F.when(F.col(f"__m_{c}") > 0, F.coalesce(F.col(c), F.lit(0)) / F.col(f"__m_{c}")).otherwise(0.0).alias(c)
+    return out.crossJoin(F.broadcast(most)).select("u", "v", *(divided(c) for c in columns))
+
+
+def linked_later(past: DataFrame, future: DataFrame, min_links: int = 1) -> DataFrame:
+    """(u, v, links) of the pairs of the later snapshot, with at least ``min_links`` works, that the earlier one has not, both ends known in it."""
+    known = nodes_of(past)
+    fresh = future.where(F.col("links") >= min_links).join(past.select("u", "v"), ["u", "v"], "left_anti")
+    return fresh.join(known.withColumnRenamed("id", "u"), "u", "left_semi").join(known.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v", "links")
 
 
 def new_pairs(edges: DataFrame, past_day: int, future_day: int, min_links: int = 1) -> DataFrame:
     """Pairs first linked between the days, with at least ``min_links`` works by then, both ends known before."""
-    past, future = cut(snapshot(edges, past_day)), snapshot(edges, future_day).where(F.col("links") >= min_links)
-    known = nodes_of(past)
-    fresh = future.join(past.select("u", "v"), ["u", "v"], "left_anti")
-    return fresh.join(known.withColumnRenamed("id", "u"), "u", "left_semi").join(known.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v", "links")
+    return linked_later(cut(snapshot(edges, past_day)), snapshot(edges, future_day), min_links)
 
 
 def distances_from(snap: DataFrame, sources: DataFrame, most: int = 6) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut
 
-from .ordering import top_per_group, with_row_number, with_running_sums
+from .ordering import exact_quantiles, top_per_group, with_row_number, with_running_sums
 
 
 def by_score(df: DataFrame) -> DataFrame:
@@ -95,8 +95,9 @@ def hit_at_k(df: DataFrame, source: str, ks: list[int], order: list[Column]) ->
 
 def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
     """(bin, n, mean_score, mean_label) by equally filled bins; exact percentiles, interpolated, empty bins left out."""
-    edges = df.agg(F.percentile("score", F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("edges"))  # one row
-    placed = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("score"))))
+    found = exact_quantiles(df, "score", [i / bins for i in range(1, bins)])
+    edges = F.array(*(F.lit(e) for e in found.values()))
+    placed = df.withColumn("bin", F.size(F.filter(edges, lambda e: e < F.col("score"))))
     return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.avg(F.col("label").cast("double")).alias("mean_label"))
 
 
@@ -105,13 +106,18 @@ def brier(df: DataFrame) -> DataFrame:
 
 
 def blend_search(df: DataFrame, first: str, second: str, steps: int = 10) -> DataFrame:
-    """(weight, auc) for weights 0 to 1 of ``first``; blended scores are rounded to nine digits, so that equal ones stay ties."""
-    out = None
-    for i in range(steps + 1):
-        w = i / steps
-        one = roc_auc(df.select("label", F.round(w * F.col(first) + (1 - w) * F.col(second), 9).alias("score"))).select(F.lit(w).alias("weight"), "auc")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(weight, auc) for weights 0 to 1 of ``first``; blended scores are rounded to nine digits, so that equal ones stay ties.
+
+    All weights go in one pass: rows are counted by (weight, score) before the shuffle and ordered once.
+    """
+    weights = F.array(*(F.lit(i / steps) for i in range(steps + 1)))
+    blended = df.select("label", first, second, F.explode(weights).alias("weight")).select("weight", "label", F.round(F.col("weight") * F.col(first) + (1 - F.col("weight")) * F.col(second), 9).alias("score"))
+    counts = blended.groupBy("weight", "score").agg(F.sum(F.col("label").cast("bigint")).alias("pos"), F.sum(1 - F.col("label").cast("bigint")).alias("neg"))
+    run = with_running_sums(counts, [F.col("weight").asc(), F.col("score").asc()], {"neg_until": "neg"})
+    totals = run.groupBy("weight").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), (F.min(F.col("neg_until") - F.col("neg"))).alias("before"))  # one row a weight
+    below = F.col("neg_until") - F.col("neg") - F.col("before")
+    area = run.join(F.broadcast(totals), "weight").groupBy("weight").agg(F.sum(F.col("pos") * (below + F.col("neg") / 2)).alias("area"), F.first("p").alias("p"), F.first("n").alias("n"))
+    return area.select("weight", F.try_divide("area", F.col("p").cast("double") * F.col("n")).alias("auc"))
 
 
 def lorenz(counts: DataFrame, value: str, *order: Column) -> DataFrame:

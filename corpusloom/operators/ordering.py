@@ -49,3 +49,25 @@ def numbered_parts(df: DataFrame, *order: Column, rows: int, name: str = "part")
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group. Spark keeps at most ``k`` rows a group in each task before the shuffle."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float]) -> dict[float, float | None]:
+    """Exact quantiles of a column by linear interpolation, nulls left out; None without any value.
+
+    Equal values are counted first and the counts summed in order, so no task holds all values; what
+    comes back is at most two rows for each share.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    run = with_running_sums(counts, [F.col("value").asc()], {"until": "n"})
+    total = run.agg(F.max("until")).first()[0]
+    if not total:
+        return dict.fromkeys(shares)
+    places = {p: (total - 1) * p for p in shares}
+    wanted = sorted({k for at in places.values() for k in (int(at), min(int(at) + 1, total - 1))})
+    asked = F.filter(F.array(*(F.lit(k).cast("bigint") for k in wanted)), lambda k: (k < F.col("until")) & (k >= F.col("until") - F.col("n")))
+    held = {r["k"]: float(r["value"]) for r in run.select("value", F.explode(asked).alias("k")).collect()}
+    out = {}
+    for p, at in places.items():
+        low, high = held[int(at)], held[min(int(at) + 1, total - 1)]
+        out[p] = low + (high - low) * (at - int(at))
+    return out

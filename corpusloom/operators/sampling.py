@@ -6,12 +6,14 @@ that the same input gives the same rows on any cluster.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import cut
 
-from .graph import new_pairs, nodes_of, snapshot
+from .graph import linked_later, nodes_of, snapshot
 
 
 def pair_hash(u: Column, v: Column, seed: int = 42) -> Column:
@@ -28,42 +30,53 @@ def first_by_hash(pairs: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def unlinked_pairs(nodes: DataFrame, snaps: list[DataFrame], n: int, seed: int = 42, over: int = 3, rounds: int = 12) -> DataFrame:
-    """``n`` pairs of nodes linked in none of ``snaps``, drawn by hash.
+    """``n`` pairs of nodes linked in none of ``snaps``, drawn by hash; fails where there are fewer.
 
-    Node ranks are hashed into pairs, ``over`` times as many as wanted and more each round until enough
-    are left; all pairs of nodes are never built. Fewer than ``n`` come out only if the draws find no more.
+    The k-th draw hashes k into two node ranks, ``over`` times as many draws as pairs are wanted and
+    four times more each round until enough are left; all pairs of nodes are not built. How many there
+    are is counted from the linked ones first. Where a graph is so dense that the draws would be more
+    than all its pairs, or ``rounds`` are over, each node's free partners are listed instead, which is
+    not more then.
     """
     from .ordering import with_row_number
 
     spark = nodes.sparkSession
     ranked = cut(with_row_number(nodes.select("id").distinct(), F.col("id"), name="rank", start=0))
     count = ranked.count()
-    if count < 2:
-        return ranked.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
-    found = None
-    draws = max(64, n * over)
+    linked = cut(reduce(DataFrame.unionByName, [s.select("u", "v") for s in snaps]).distinct()) if snaps else spark.createDataFrame([], "u bigint, v bigint")
+    inside = linked.join(ranked.select(F.col("id").alias("u")), "u", "left_semi").join(ranked.select(F.col("id").alias("v")), "v", "left_semi")
+    free = count * (count - 1) // 2 - inside.count()
+    if free < n:
+        raise ValueError(f"{free} unlinked pairs are fewer than the {n} asked for")
+    draws, found = max(64, n * over), None
     for _ in range(rounds):
+        if draws >= count * count:
+            break
         drawn = spark.range(draws).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).alias("a"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(count)).alias("b"))
         ids = drawn.where("a != b").join(ranked.select(F.col("rank").alias("a"), F.col("id").alias("u")), "a").join(ranked.select(F.col("rank").alias("b"), F.col("id").alias("v")), "b")
-        pairs = canonical(ids.select("u", "v")).distinct()
-        for snap in snaps:
-            pairs = pairs.join(snap.select("u", "v"), ["u", "v"], "left_anti")
-        found = cut(pairs)
-        if found.count() >= n or draws >= 40 * count * count:
-            break
+        found = cut(canonical(ids.select("u", "v")).distinct().join(linked, ["u", "v"], "left_anti"))
+        if found.count() >= n:
+            return first_by_hash(found, n, seed)
         draws *= 4
-    return first_by_hash(found, n, seed)
+    # so dense or so much wanted that the draws would come to all pairs: list them, in ranges of ranks
+    every = ranked.select(F.col("id").alias("u"), F.explode(F.when(F.col("rank") + 1 < count, F.sequence(F.col("rank") + 1, F.lit(count - 1)))).alias("rank")).join(ranked.select("rank", F.col("id").alias("v")), "rank")
+    return first_by_hash(canonical(every.select("u", "v")).join(linked, ["u", "v"], "left_anti"), n, seed)
 
 
-def labelled_pairs(edges: DataFrame, past_day: int, future_day: int, *, n: int, min_links: int = 1, seed: int = 42) -> DataFrame:
-    """(u, v, label): all new pairs, filled up to ``n`` with pairs linked neither before nor after; fails if there are more new pairs than ``n``."""
-    positives = cut(new_pairs(edges, past_day, future_day, min_links).select("u", "v"))
+def labelled_pairs(edges: DataFrame, past_day: int, future_day: int, *, n: int | None = None, negatives: float | None = None, min_links: int = 1, seed: int = 42) -> DataFrame:
+    """(u, v, label): all new pairs, filled up with pairs linked neither before nor after.
+
+    To ``n`` in all, which fails if there are more new pairs, or with ``negatives`` times as many as
+    there are new ones, rounded down.
+    """
+    past, future = cut(snapshot(edges, past_day)), cut(snapshot(edges, future_day))
+    positives = cut(linked_later(past, future, min_links).select("u", "v"))
     have = positives.count()
+    n = have + int(have * (negatives or 0.0)) if n is None else n
     if have > n:
         raise ValueError(f"{have} positive pairs are more than the {n} asked for")
-    past, future = cut(snapshot(edges, past_day)), cut(snapshot(edges, future_day))
-    negatives = unlinked_pairs(nodes_of(past), [past, future], n - have, seed)
-    return positives.withColumn("label", F.lit(1)).unionByName(negatives.withColumn("label", F.lit(0)))
+    others = unlinked_pairs(nodes_of(past), [past, future], n - have, seed)
+    return positives.withColumn("label", F.lit(1)).unionByName(others.withColumn("label", F.lit(0)))
 
 
 def stratified_pairs(pairs: DataFrame, n: int, ratio: float, seed: int = 42) -> DataFrame:
@@ -109,6 +122,69 @@ def candidates_between(sources: DataFrame, targets: DataFrame, snap: DataFrame,
     return canonical(out).distinct().join(snap.select("u", "v"), ["u", "v"], "left_anti")
 
 
+def sampled_candidates(sources: DataFrame, targets: DataFrame, snap: DataFrame, n: int, *, per_source: int, most_degree: int | None = None, seed: int = 42, idle: int = 3) -> DataFrame:
+    """At most ``n`` distinct canonical pairs of a source and a target that are not linked, drawn in rounds.
+
+    A round gives each source the next ``per_source`` targets of its own order; rounds end when there
+    are ``n`` pairs, or when ``idle`` of them one after another bring none. The order of a source walks
+    the ranks of the targets from a hashed start with a hashed step that has no factor in common with
+    their number, so every target comes once and no product of sources and targets is built: a round
+    makes ``per_source`` rows a source. Of the last round the pairs with the smallest hash are kept.
+    """
+    from .graph import degrees
+    from .ordering import with_row_number
+
+    kept = targets.select("id").distinct()
+    if most_degree is not None:
+        kept = kept.join(degrees(snap).where(F.col("degree") <= most_degree).select("id"), "id", "left_semi")
+    ranked = cut(with_row_number(kept, F.col("id"), name="rank", start=0))
+    count = ranked.count()
+    asked = sources.select(F.col("id").alias("a")).distinct()
+    if not count:
+        return canonical(asked.select(F.col("a").alias("u"), F.col("a").alias("v"))).limit(0)
+    # of 128 numbers in a row one has no factor in common with any number below 2 ** 63
+    tried = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.pmod(F.xxhash64("a", F.lit(seed + 1)), F.lit(count)) + i + 1)
+    steps = [p for p in range(2, int(count**0.5) + 1) if count % p == 0]
+    primes = [p for p in steps if all(p % q for q in range(2, int(p**0.5) + 1))]
+    rest = count
+    for p in primes:
+        while rest % p == 0:
+            rest //= p
+    primes += [rest] if rest > 1 else []
+    free = F.filter(tried, lambda s: reduce(lambda x, y: x & y, (s % p != 0 for p in primes), F.lit(True)))
+    walkers = cut(asked.select("a", F.pmod(F.xxhash64("a", F.lit(seed)), F.lit(count)).alias("start"), F.get(free, 0).alias("step")))
+    linked, found, have, empty, done = cut(snap.select("u", "v")), None, 0, 0, 0
+    while have < n and empty < idle and done < count:
+        places = F.sequence(F.lit(done), F.lit(min(done + per_source, count) - 1))
+        drawn = walkers.select("a", F.explode(places).alias("k"), "start", "step").select("a", F.pmod((F.col("start").cast("decimal(38,0)") + F.col("k") * F.col("step").cast("decimal(20,0)")), F.lit(count).cast("decimal(20,0)")).cast("bigint").alias("rank"))
+        fresh = canonical(drawn.join(ranked, "rank").select(F.col("a").alias("u"), F.col("id").alias("v"))).distinct().join(linked, ["u", "v"], "left_anti")
+        if found is not None:
+            fresh = fresh.join(found.select("u", "v"), ["u", "v"], "left_anti")
+        fresh = cut(first_by_hash(fresh, n - have, seed))
+        new = fresh.count()
+        found, have, empty, done = fresh if found is None else found.unionByName(fresh), have + new, 0 if new else empty + 1, done + per_source
+    return found
+
+
+def balanced_batch(df: DataFrame, key: str, label: str, n: int, share: float, seed: int = 42) -> DataFrame:
+    """``n`` rows (draw, ``key``, ``label``) drawn with replacement, round(n * share) of them with label 1.
+
+    The k-th draw of a class hashes k into a rank of its rows by ``key``. Fails if a class that is
+    asked for has no rows; null labels are in neither.
+    """
+    from .ordering import with_row_number
+
+    positives, parts, spark = round(n * share), [], df.sparkSession
+    for value, wanted, first in ((1, positives, 0), (0, n - positives, positives)):
+        ranked = cut(with_row_number(df.where(F.col(label) == value).select(key, label), F.col(key), name="rank", start=0))
+        count = ranked.count()
+        if wanted and not count:
+            raise ValueError(f"no row with label {value}")
+        drawn = spark.range(first, first + wanted).select(F.col("id").alias("draw"), F.pmod(pair_hash(F.col("id"), F.lit(value), seed), F.lit(max(count, 1))).alias("rank"))
+        parts.append(drawn.join(ranked, "rank").select("draw", key, label))
+    return parts[0].unionByName(parts[1])
+
+
 def allowed_nodes(ids: DataFrame, snap: DataFrame, least_degree: int = 1) -> DataFrame:
     """The ids that are in the snapshot with at least ``least_degree`` neighbours."""
     from .graph import degrees

@@ -347,14 +347,13 @@ def _(t, s, d):
 
 @q("smp6_pair_set")
 def _(t, s, d):
-    every = cut(edges(t))
-    n = G.new_pairs(every, PAST_DAY, FUTURE_DAY).count()
-    return S.split_pairs(S.labelled_pairs(every, PAST_DAY, FUTURE_DAY, n=n + n // 2))
+    return S.split_pairs(S.labelled_pairs(cut(edges(t)), PAST_DAY, FUTURE_DAY, negatives=0.5))
 
 
-@q("smp7_balanced_batch")
+@q("smp7_balanced_batch", f"""WITH {SCORED}, r AS (SELECT idx, label, row_number() OVER (PARTITION BY label ORDER BY idx) - 1 AS rank, count(*) OVER (PARTITION BY label) AS c FROM scored),
+d AS (SELECT i AS draw, CASE WHEN i < 80 THEN 1 ELSE 0 END AS label FROM range(400) t(i)) SELECT draw, idx, r.label FROM d JOIN r ON r.label = d.label AND r.rank = (draw * 1000003 + d.label * 7919 + 42 * 104729) % 2147483647 % r.c""")
 def _(t, s, d):
-    return scored(t).sampleBy("label", {1: 0.6, 0: 0.2}, seed=7).select("idx", "label")
+    return S.balanced_batch(scored(t), "idx", "label", 400, 0.2)
 
 
 @q("smp8_random_candidates")
@@ -388,13 +387,11 @@ def _(t, s, d):
     return G.two_step_pairs(snap).select("u", "v").join(snap, ["u", "v"], "left_anti")
 
 
-@q("smp13_capped_candidates")
+@q("smp13_sampled_candidates")
 def _(t, s, d):
-    from corpusloom.operators.ordering import top_per_group
-
     snap = cut(G.snapshot(edges(t), PAST_DAY))
-    pairs = S.candidates_between(cut(S.allowed_nodes(_ids(t, "p_size = 3"), snap)), cut(S.allowed_nodes(_ids(t, "true"), snap)), snap, most_degree=60)
-    return top_per_group(pairs, ["u"], [S.pair_hash(F.col("u"), F.col("v")), F.col("v")], 100).select("u", "v")
+    sources, targets = S.allowed_nodes(_ids(t, "p_size = 3"), snap), S.allowed_nodes(_ids(t, "true"), snap)
+    return S.sampled_candidates(sources, targets, snap, 5000, per_source=40, most_degree=60).select("u", "v")
 
 
 @q("smp14_eligible_count", f"WITH {PAST_GRAPH}, {_DEGREES}, p AS (SELECT DISTINCT least(s.id, g.id) AS u, greatest(s.id, g.id) AS v FROM deg s, deg g WHERE s.id <> g.id AND s.id IN (SELECT p_partkey FROM part WHERE p_size = 3) AND g.degree <= 30) SELECT count(*) AS pairs FROM p WHERE (u, v) NOT IN (SELECT (u, v) FROM snap)")

@@ -12,7 +12,7 @@ from corpusloom.operators.embeddings import nearest, two_level_means, vector_mea
 from corpusloom.operators.extraction import batches_in_order, fill_blanks, pending, resumed
 from corpusloom.operators.graph import both_ways, cumulative_edges, degrees, emerging, event_years, new_pairs, nodes_of, snapshot, two_hop, two_step_pairs
 from corpusloom.operators.metrics import lorenz
-from corpusloom.operators.ordering import numbered_parts, top_per_group, with_row_number, with_running_sums
+from corpusloom.operators.ordering import exact_quantiles, numbered_parts, top_per_group, with_row_number, with_running_sums
 from corpusloom.session import broadcast_if_small, cut
 from corpusloom.sources.articles import modules_of_ids
 from corpusloom.sources.readers import require_unique
@@ -248,10 +248,11 @@ def _(t, s, d):
 @q("agg11_ratio_summary", f"WITH {_RATIO} SELECT count(*) AS n, round(avg(ratio), 6) AS mean, round(stddev_samp(ratio), 6) AS deviation, min(ratio) AS low, round(quantile_cont(ratio, 0.25), 6) AS q1, round(quantile_cont(ratio, 0.5), 6) AS median, round(quantile_cont(ratio, 0.75), 6) AS q3, max(ratio) AS high, round(avg(CAST(ratio = 0 AS INTEGER)), 6) AS none, round(avg(CAST(ratio < 0.5 AS INTEGER)), 6) AS under_half FROM r WHERE n >= 3")
 def _(t, s, d):
     share = lambda c: F.round(F.avg(c.cast("int")), 6)
-    quartile = lambda p: F.round(F.percentile("ratio", F.lit(p)), 6)
-    return _ratios(t).where("n >= 3").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("ratio"), 6).alias("mean"), F.round(F.stddev_samp("ratio"), 6).alias("deviation"), F.min("ratio").alias("low"), quartile(0.25).alias("q1"),
-        quartile(0.5).alias("median"), quartile(0.75).alias("q3"), F.max("ratio").alias("high"), share(F.col("ratio") == 0).alias("none"), share(F.col("ratio") < 0.5).alias("under_half"),
+    rows = cut(_ratios(t).where("n >= 3"))
+    quartile = {p: F.round(F.lit(v).cast("double"), 6) for p, v in exact_quantiles(rows, "ratio", [0.25, 0.5, 0.75]).items()}
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("ratio"), 6).alias("mean"), F.round(F.stddev_samp("ratio"), 6).alias("deviation"), F.min("ratio").alias("low"), quartile[0.25].alias("q1"),
+        quartile[0.5].alias("median"), quartile[0.75].alias("q3"), F.max("ratio").alias("high"), share(F.col("ratio") == 0).alias("none"), share(F.col("ratio") < 0.5).alias("under_half"),
     )
 
 
@@ -278,16 +279,24 @@ def _(t, s, d):
 
 @q("agg16_corpus_facts", f"SELECT count(*) AS works, count(DISTINCT pmid) AS pmids, count(DISTINCT doi) AS dois, min(publication_year) AS first_year, max(publication_year) AS last_year, count(*) FILTER (abstract <> '') AS abstracts, count(DISTINCT source_id) AS sources, count(*) FILTER (len({_PARTS}) > 1) AS several_modules, count(*) FILTER (is_retracted) AS retracted FROM surgery_pubmed_works")
 def _(t, s, d):
-    return t("surgery_pubmed_works").agg(
-        F.count(F.lit(1)).alias("works"), F.count_distinct("pmid").alias("pmids"), F.count_distinct("doi").alias("dois"), F.min("publication_year").alias("first_year"), F.max("publication_year").alias("last_year"),
-        F.count_if(F.col("abstract") != "").alias("abstracts"), F.count_distinct("source_id").alias("sources"), F.count_if(F.size(T.split_list(F.col("modules"))) > 1).alias("several_modules"), F.count_if("is_retracted").alias("retracted"),
+    works = t("surgery_pubmed_works")
+    kinds = {"pmids": F.col("pmid").cast("string"), "dois": F.col("doi"), "sources": F.col("source_id")}
+    named = works.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in kinds.items()))).alias("x")).select("x.*").where("value IS NOT NULL")
+    distinct = named.groupBy("kind", "value").agg(F.lit(1).alias("one")).agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds))  # equal values go together before the shuffle, all kinds in one
+    facts = works.agg(
+        F.count(F.lit(1)).alias("works"), F.min("publication_year").alias("first_year"), F.max("publication_year").alias("last_year"),
+        F.count_if(F.col("abstract") != "").alias("abstracts"), F.count_if(F.size(T.split_list(F.col("modules"))) > 1).alias("several_modules"), F.count_if("is_retracted").alias("retracted"),
     )
+    return facts.crossJoin(F.broadcast(distinct))  # one row each
 
 
 @q("agg17_list_lengths", f"WITH {LABELS} SELECT round(avg(len(labels)), 6) AS mean, CAST(median(len(labels)) AS DOUBLE) AS median, min(len(labels)) AS low, max(len(labels)) AS high FROM labels")
 def _(t, s, d):
     n = F.size("labels").cast("bigint")
-    return label_lists(t).select(n.alias("n")).agg(F.round(F.avg("n"), 6).alias("mean"), F.median("n").alias("median"), F.min("n").alias("low"), F.max("n").alias("high"))
+    lengths = label_lists(t).select(n.alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("works"))  # one row a length
+    held = cut(lengths)
+    median = exact_quantiles(label_lists(t).select(n.alias("n")), "n", [0.5])
+    return held.agg(F.round(F.sum(F.col("n") * F.col("works")) / F.sum("works"), 6).alias("mean"), F.lit(median[0.5]).cast("double").alias("median"), F.min("n").alias("low"), F.max("n").alias("high"))
 
 
 @q("agg18_reasons_with_zero", "WITH r(reason) AS (VALUES ('missing_title'), ('missing_abstract'), ('never')) SELECT r.reason, count(w.pmid) AS n FROM r LEFT JOIN (SELECT pmid, CASE WHEN display_name IS NULL THEN 'missing_title' WHEN abstract IS NULL THEN 'missing_abstract' END AS reason FROM surgery_pubmed_works) w ON r.reason = w.reason GROUP BY 1")
@@ -304,10 +313,12 @@ def _(t, s, d):
     return cumulative_edges(edges(t))
 
 
-@q("agg22_grouped_suggestions", f"WITH {SCORED} SELECT src, count(*) AS n, array_to_string(list(CAST(idx AS VARCHAR) ORDER BY score DESC, idx), ',') AS suggestions FROM scored WHERE score > 0.5 GROUP BY src")
+@q("agg22_grouped_suggestions", f"WITH {SCORED} SELECT src, idx, CAST(count(*) OVER (PARTITION BY src) AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY n, src, score DESC, idx) AS BIGINT) AS place FROM (SELECT *, count(*) OVER (PARTITION BY src) AS n FROM scored WHERE score > 0.5)")
 def _(t, s, d):
-    rows = scored(t).where("score > 0.5").groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "idx"))).alias("held"))
-    return rows.select("src", "n", F.array_join(F.transform("held", lambda x: x["idx"].cast("string")), ",").alias("suggestions"))
+    """Suggestions in groups of their source, small groups first, best first in a group; one row each, so that a group of any size is written in order."""
+    rows = scored(t).where("score > 0.5")
+    sizes = rows.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    return with_row_number(rows.join(small_side(sizes), "src"), F.col("n"), F.col("src"), F.col("score").desc(), F.col("idx"), name="place").select("src", "idx", "n", "place")
 
 
 @q("agg23_tile_landmarks", "WITH m AS (SELECT vec_id, CAST(floor(embedding[1] * 10 / 2) AS BIGINT) AS tile_x, CAST(floor(embedding[2] * 10 / 2) AS BIGINT) AS tile_y, (vec_id * 31) % 101 AS degree FROM embeddings) SELECT tile_x, tile_y, count(*) AS n, arg_min(vec_id, (-degree, vec_id)) AS landmark FROM m GROUP BY ALL")

@@ -25,7 +25,7 @@ def ship(spark: SparkSession) -> None:
     holds when executors are lost and replaced.
     """
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local" or context.applicationId in _SHIPPED:
+    if is_local(spark) or context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="corpusloom-")) / "corpusloom.zip"
@@ -36,17 +36,34 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
+
+    Only in local mode, where it may be unset as in tests, a temporary one is made; on a cluster a
+    folder of one machine would be lost with it, so that fails.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not is_local(spark):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
+    return named or tempfile.mkdtemp(prefix=f"corpusloom-{name}-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the reliable checkpoint folder.
+    """``df`` computed once and written to the reliable checkpoint folder, see :func:`shared_folder`.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset,
-    as in tests, a temporary one is made.
+    Its files go when the result is no longer used and ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set.
     """
     spark = df.sparkSession
     scala_context = spark.sparkContext._jsc.sc()
     if scala_context.getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoint"))
     return df.checkpoint(eager=True)
 
 

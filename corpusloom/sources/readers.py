@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.functions.text import split_list, strip
+from corpusloom.session import shared_folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate files: in the shared folder of ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder for intermediate files, in the session's shared folder."""
+    return f"{shared_folder(spark, 'scratch')}/{name}-{uuid.uuid4().hex}"
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -35,9 +33,12 @@ def require_unique(df: DataFrame, *keys: str) -> DataFrame:
     return df
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str, **options) -> DataFrame:
-    """CSV with a header, quotes doubled inside quotes, and line breaks in cells."""
-    return spark.read.schema(schema).options(header=True, multiLine=True, escape='"', enforceSchema=False, **options).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False, **options) -> DataFrame:
+    """CSV with a header and quotes doubled inside quotes.
+
+    With ``multi_line`` cells may hold line breaks; a file is then read by one task, as it cannot be split.
+    """
+    return spark.read.schema(schema).options(header=True, multiLine=multi_line, escape='"', enforceSchema=False, **options).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -94,18 +95,43 @@ def write_split(df: DataFrame, kept: str, left_out: str, reason: str = "reason")
     return df.groupBy(reason).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def write_state(state: dict, path: str) -> None:
-    """A JSON document, replaced as a whole."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    beside = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
-    beside.write_text(json.dumps(state, indent=2, sort_keys=True, ensure_ascii=False), encoding="utf-8")
-    beside.replace(target)
-
-
-def append_failure(path: str, entry: dict) -> None:
-    with Path(path).open("a", encoding="utf-8") as log:
-        log.write(json.dumps(entry, ensure_ascii=False, sort_keys=True) + "\n")
+def _file(spark: SparkSession, path: str):
+    """(file system, path) of any file system that Spark knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def write_state(spark: SparkSession, state: dict, path: str) -> None:
+    """A JSON document at a path of any file system, written beside its place and put there when it is whole."""
+    files, target = _file(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    stream = files.create(beside, True)
+    try:
+        stream.write(bytearray(json.dumps(state, indent=2, sort_keys=True, ensure_ascii=False).encode()))
+    finally:
+        stream.close()
+    if files.exists(target):
+        files.delete(target, False)
+    if not files.rename(beside, target):
+        raise OSError(f"{path} could not be replaced")
+
+
+def read_state(spark: SparkSession, path: str) -> dict | None:
+    """The document of :func:`write_state`, or None where there is none."""
+    files, target = _file(spark, path)
+    if not files.exists(target):
+        return None
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def append_failure(spark: SparkSession, path: str, entry: dict) -> None:
+    """One more line of JSON in a folder; each entry is a file of its own, as not every file system can append."""
+    files, target = _file(spark, f"{path}/{uuid.uuid4().hex}.jsonl")
+    stream = files.create(target, False)
+    try:
+        stream.write(bytearray((json.dumps(entry, ensure_ascii=False, sort_keys=True) + "\n").encode()))
+    finally:
+        stream.close()
 
 
 def packed_requests(df: DataFrame, key: str, body: str, *, most_rows: int = 50_000, most_bytes: int = 190 << 20, most_tokens: int = 1_500_000, group: str | None = None) -> DataFrame:

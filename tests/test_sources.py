@@ -102,7 +102,7 @@ def test_cursor_client_limit():
 def test_csv_round_trip_and_checks(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "quoted", text'), (2, "two\nlines"), (3, None)], "id int, t string")
     R.write_csv(df, str(tmp_path / "c"))
-    assert sorted(map(tuple, R.read_csv(spark, str(tmp_path / "c"), "id int, t string").collect())) == sorted(map(tuple, df.collect()))
+    assert sorted(map(tuple, R.read_csv(spark, str(tmp_path / "c"), "id int, t string", multi_line=True).collect())) == sorted(map(tuple, df.collect()))
     with pytest.raises(ValueError):
         R.require_columns(df, "x")
     with pytest.raises(ValueError):
@@ -125,9 +125,13 @@ def test_json_lines_with_errors(spark, tmp_path):
 def test_listed_labels_and_state(spark, tmp_path):
     (tmp_path / "l.csv").write_text("abc,1\n\nd e,2\n")
     assert sorted(r[0] for r in R.listed_labels(spark, path=str(tmp_path / "l.csv")).collect()) == ["abc", "d e"]
-    R.write_state({"b": 1}, str(tmp_path / "s" / "state.json"))
-    R.append_failure(str(tmp_path / "f.jsonl"), {"id": 1})
-    assert (tmp_path / "s" / "state.json").read_text().startswith("{") and (tmp_path / "f.jsonl").read_text() == '{"id": 1}\n'
+    path = str(tmp_path / "s" / "state.json")
+    assert R.read_state(spark, path) is None
+    for n in (1, 2):
+        R.write_state(spark, {"b": n}, path)
+        R.append_failure(spark, str(tmp_path / "failures"), {"id": n})
+    assert R.read_state(spark, path) == {"b": 2}
+    assert sorted(r["id"] for r in R.read_json_lines(spark, str(tmp_path / "failures"), "id int").collect()) == [1, 2]
 
 
 def test_packed_requests(spark):
