@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.blocks import block_meetings, block_of
 from corpusloom.operators.skewed import hot_keys, join_hot_by_salts
 from corpusloom.session import cut, small
 
-from .blocks import block_meetings, block_of
 from .labels import bound, decode_labels, letters_digits
 
 #: Records of a block of a large class; two blocks meet in a task when pairs are made.

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.blocks import block_meetings, block_of
 from corpusloom.operators.skewed import skew_join
 from corpusloom.session import cut, small
 
-from .blocks import block_meetings, block_of
 
 #: Items of a basket that are held as one list; a basket of more is dealt to several.
 LIST_ITEMS = 1024
