@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,3 +104,32 @@ LABEL_FILTERS = {
 def label_filter(text: Column, column: str, words: tuple[int, int], letters: tuple[int, int] = (2, 100)) -> Column:
     """The stack of filters for labels of ``column``; unknown columns have that of ``llama_concepts``."""
     return LABEL_FILTERS.get(column, LABEL_FILTERS["llama_concepts"])(text, words, letters)
+
+
+def mostly_frequent_words(words: frozenset[str], code: str = "en") -> Callable[[str], str]:
+    """A detector that answers ``code`` where one word of five, or more, is among ``words``; it fails on a text without words."""
+
+    def detect(text: str) -> str:
+        found = re.findall("[a-z]+", text.lower())
+        if not found:
+            raise ValueError("no words")
+        return code if 5 * sum(w in words for w in found) >= len(found) else "unknown"
+
+    return detect
+
+
+def detected_language(text: Column, detect: Callable[[str], str]) -> Column:
+    """The language that an injected detector finds in whole texts; ``unknown`` where it fails, null for null."""
+
+    @F.pandas_udf("string")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for one in batch:
+                try:
+                    out.append(None if one is None else detect(one))
+                except Exception:  # noqa: BLE001 - whatever it is, the text has no language then
+                    out.append("unknown")
+            yield pd.Series(out, dtype="object")
+
+    return found(text)

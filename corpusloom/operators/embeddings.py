@@ -85,39 +85,6 @@ def to_matrix_rows(vectors: DataFrame, size: int) -> DataFrame:
     return ids.join(vectors, "id", "left").select("id", F.coalesce("vec", F.array_repeat(F.lit(0.0), size)).alias("vec"))
 
 
-class PairNetwork:
-    """A feed-forward network for pair inputs in evaluation mode: linear, batch norm and ReLU blocks, a batch norm and a sigmoid at the end."""
-
-    def __init__(self, layers: list[dict[str, np.ndarray]], epsilon: float = 1e-5):
-        self.layers, self.epsilon = layers, epsilon
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        for i, w in enumerate(self.layers):
-            x = x @ w["weight"].T + w["bias"]
-            x = (x - w["mean"]) / np.sqrt(w["var"] + self.epsilon) * w["scale"] + w["shift"]
-            if i + 1 < len(self.layers):
-                x = np.maximum(x, 0)
-        return 1 / (1 + np.exp(-x))
-
-    @classmethod
-    def of_sizes(cls, sizes: list[int], seed: int = 0) -> PairNetwork:
-        """A network with reproducible weights, for tests and as a starting point."""
-        rng = np.random.default_rng(seed)
-        return cls([{"weight": rng.standard_normal((b, a)) / np.sqrt(a), "bias": np.zeros(b), "mean": np.zeros(b), "var": np.ones(b), "scale": np.ones(b), "shift": np.zeros(b)} for a, b in zip(sizes, sizes[1:])])
-
-
-def score_pairs(pairs: DataFrame, network: PairNetwork, inputs: str = "inputs", out: str = "score") -> DataFrame:
-    """``pairs`` with the network's output for ``inputs``; the weights are sent to the tasks, they do not grow with the data."""
-    shared = pairs.sparkSession.sparkContext.broadcast(network)
-
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in batches:
-            yield pd.Series(shared.value(np.array(x.tolist(), np.float64))[:, 0] if len(x) else [], dtype="float64")
-
-    return pairs.withColumn(out, scored(F.col(inputs)))
-
-
 def fit_pair_classifier(pairs: DataFrame, inputs: str = "inputs", label: str = "label", iterations: int = 50):
     """A logistic model over pair inputs, trained on the cluster."""
     from pyspark.ml.classification import LogisticRegression

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -94,6 +94,34 @@ def fill_blanks(works: DataFrame, fresh: DataFrame, key: str, column: str) -> Da
     return works.join(new, key, "left").withColumn("outcome", outcome).withColumn(column, F.when(F.col("outcome") == "filled", F.col("__new")).otherwise(F.col(column))).drop("__new")
 
 
+def watch(works: DataFrame, key: str, column: str, client: Any, *, size: int, path: str, wait: Callable[[], None] = lambda: None, most_rounds: int = 20) -> tuple[DataFrame, int]:
+    """(``works`` with blanks of ``column`` filled, rounds): batches of pending rows go to the client again and again until none is blank.
+
+    ``column`` holds lists as JSON text. Each round's result is written below ``path``, so that a run
+    that is broken off goes on from the last whole round. A round that fills nothing halves the size of
+    the batches, as one bad record fails its whole batch; with single records and nothing filled, the
+    rest stays blank.
+    """
+    spark, rounds, now = works.sparkSession, 0, works.select(key, column)
+    left = now.where(blank(F.col(column))).count()
+    while left and rounds < most_rounds:
+        batches = batches_in_order(now.where(blank(F.col(column))).withColumn("pmid", F.col(key).cast("string")), [F.col(key)], size, key, "pmid")
+        replies = run_extraction(batches, client, attempts=1).join(batches, "batch")
+        usable = replies.where(reply_reason(F.col("reply"), F.transform("items", lambda i: i["pmid"])).isNull())
+        fresh = reply_items(usable, "reply").select(F.col("pmid").cast(now.schema[key].dataType).alias(key), F.to_json("concepts").alias(column))
+        target = f"{path}/round={rounds}"
+        fill_blanks(now, fresh, key, column).drop("outcome").write.mode("overwrite").parquet(target)
+        now, rounds = spark.read.schema(now.schema).parquet(target), rounds + 1
+        after = now.where(blank(F.col(column))).count()
+        if after == left:
+            if size == 1:
+                break
+            size = max(1, size // 2)
+        left = after
+        wait()
+    return works.drop(column).join(now, key, "left"), rounds
+
+
 def settings_hash(settings: dict) -> str:
     """The same for equal settings in any order."""
     return hashlib.sha256(json.dumps(settings, sort_keys=True, ensure_ascii=False).encode()).hexdigest()

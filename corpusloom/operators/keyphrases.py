@@ -13,9 +13,14 @@ from corpusloom.session import spread
 
 #: Words between which phrases are cut.
 STOP_WORDS = frozenset(
-    "a about above after again against all also an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have "
-    "having he her here hers him his how i if in into is it its just may me might more most must my no nor not now of off on once only or other our out over own same she should so some such than that the "
-    "their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your".split()
+    [
+        "a", "about", "above", "after", "again", "against", "all", "also", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "below",
+        "between", "both", "but", "by", "can", "could", "did", "do", "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had", "has", "have",
+        "having", "he", "her", "here", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "just", "may", "me", "might", "more",
+        "most", "must", "my", "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other", "our", "out", "over", "own", "same", "she",
+        "should", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until",
+        "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "would", "you", "your",
+    ]
 )
 
 

@@ -166,8 +166,8 @@ def sampled_candidates(sources: DataFrame, targets: DataFrame, snap: DataFrame,
     return found
 
 
-def balanced_batch(df: DataFrame, key: str, label: str, n: int, share: float, seed: int = 42) -> DataFrame:
-    """``n`` rows (draw, ``key``, ``label``) drawn with replacement, round(n * share) of them with label 1.
+def balanced_batch(df: DataFrame, key: str, label: str, n: int, share: float, seed: int = 42, keep: list[str] = ()) -> DataFrame:
+    """``n`` rows (draw, ``key``, ``label``, ``keep``...) drawn with replacement, round(n * share) of them with label 1.
 
     The k-th draw of a class hashes k into a rank of its rows by ``key``. Fails if a class that is
     asked for has no rows; null labels are in neither.
@@ -176,12 +176,12 @@ def balanced_batch(df: DataFrame, key: str, label: str, n: int, share: float, se
 
     positives, parts, spark = round(n * share), [], df.sparkSession
     for value, wanted, first in ((1, positives, 0), (0, n - positives, positives)):
-        ranked = cut(with_row_number(df.where(F.col(label) == value).select(key, label), F.col(key), name="rank", start=0))
+        ranked = cut(with_row_number(df.where(F.col(label) == value).select(key, label, *keep), F.col(key), name="rank", start=0))
         count = ranked.count()
         if wanted and not count:
             raise ValueError(f"no row with label {value}")
         drawn = spark.range(first, first + wanted).select(F.col("id").alias("draw"), F.pmod(pair_hash(F.col("id"), F.lit(value), seed), F.lit(max(count, 1))).alias("rank"))
-        parts.append(drawn.join(ranked, "rank").select("draw", key, label))
+        parts.append(drawn.join(ranked, "rank").select("draw", key, label, *keep))
     return parts[0].unionByName(parts[1])
 
 

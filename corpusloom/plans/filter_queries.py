@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import predicates as P
 from corpusloom.functions import text as T
 from corpusloom.operators.graph import degrees, distances_from, snapshot
+from corpusloom.operators.keyphrases import STOP_WORDS
 from corpusloom.operators.ordering import numbered_parts, with_row_number
 from corpusloom.operators.sampling import allowed_nodes
 from corpusloom.sources import articles as A
@@ -158,9 +159,12 @@ def _(t, s, d):
     return R.read_json_lines(s, path, "event_id bigint, user_id bigint, k bigint")
 
 
-@q("src17_rows_by_file")
+@q("src17_rows_by_file", "SELECT 'part-' || CAST(r AS VARCHAR) AS file, count(*) AS rows FROM (SELECT id % 5 AS r FROM lookup_m) GROUP BY r")
 def _(t, s, d):
-    return R.rows_by_file(t("lookup_m"))
+    """Rows of each file of a table that is written in five of them first; files are named by their folder, as Spark chooses the names."""
+    path = R.scratch(s, "files")
+    R.write_parts(t("lookup_m").select("concept", (F.col("id") % 5).alias("part")), path, "part")
+    return R.rows_by_file(s.read.schema("concept string").parquet(path), r"part=(\d+)/[^/]*$").withColumn("file", F.concat(F.lit("part-"), "file"))
 
 
 @q("src18_missing_ids", "SELECT i AS pmid FROM range((SELECT min(pmid) FROM surgery_pubmed_works WHERE source_id IS NOT NULL), (SELECT max(pmid) + 1 FROM surgery_pubmed_works WHERE source_id IS NOT NULL)) g(i) WHERE i NOT IN (SELECT pmid FROM surgery_pubmed_works WHERE source_id IS NOT NULL)")
@@ -244,6 +248,15 @@ _kept("flt19_label_length", "lookup_m", "id", "length(concept) BETWEEN 5 AND 25"
 _kept("hlp2_abstract_eligible", "surgery_pubmed_works", "pmid", r"length(trim(regexp_replace(abstract, '\s+', ' ', 'g'))) > 300 AND length(trim(regexp_replace(abstract, '\s+', ' ', 'g'))) < 4000", lambda: P.length_inside(T.normalized_space(F.col("abstract")), 300, 4000))
 
 
+_FREQUENT = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
+
+
+@q("flt7_detected_language", f"WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents) SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN len(w) = 0 THEN 'unknown' WHEN 5 * len(list_filter(w, lambda x: x IN ({_FREQUENT}))) >= len(w) THEN 'en' ELSE 'unknown' END AS found FROM w")
+def _(t, s, d):
+    """Languages by an injected detector; here one that knows English by its frequent words and fails without any word."""
+    return t("documents").select("doc_id", P.detected_language(F.col("text"), P.mostly_frequent_words(STOP_WORDS)).alias("found"))
+
+
 @q("flt1_reason_counts", "SELECT CASE WHEN abstract IS NULL THEN 'no_abstract' WHEN length(abstract) < 250 THEN 'short' END AS reason, count(*) AS rows FROM materials_science_works GROUP BY ALL")
 def _(t, s, d):
     rows = P.without_reason(t(_WORKS), {"no_abstract": F.col("abstract").isNull(), "short": F.length("abstract") < 250})

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.operators import embeddings as E
+from corpusloom.operators import extraction as X
 from corpusloom.operators import graph as G
 from corpusloom.operators import metrics as M
+from corpusloom.operators import models as N
 from corpusloom.operators import sampling as S
 from corpusloom.operators.extraction import reply_items, reply_reason, request_body
 from corpusloom.session import cut
@@ -304,12 +309,14 @@ def _(t, s, d):
     return G.both_ways(G.until(edges(t), PAST_DAY).select("u", "v", "day"))
 
 
-@q("agg20_distance_histogram", f"WITH {PAST_GRAPH}, p AS (SELECT DISTINCT u, v, least(max(y) OVER (PARTITION BY u, v), 1999) AS y FROM edges WHERE day >= {PAST_DAY}) SELECT y, count(*) FILTER (snap.u IS NOT NULL) AS near, count(*) FILTER (snap.u IS NULL) AS far FROM p LEFT JOIN snap USING (u, v) GROUP BY y")
+@q("agg20_distance_histogram", f"WITH {PAST_GRAPH}, p AS (SELECT u, v, CAST(count(*) > 1 AS INTEGER) AS label FROM edges WHERE day >= {PAST_DAY} GROUP BY u, v), two AS (SELECT DISTINCT p.u, p.v FROM p JOIN ways a ON a.id = p.u JOIN ways b ON b.id = p.v AND b.other = a.other), k AS (SELECT label, CASE WHEN snap.u IS NOT NULL THEN 1 WHEN two.u IS NOT NULL THEN 2 ELSE 3 END AS d FROM p LEFT JOIN snap USING (u, v) LEFT JOIN two ON two.u = p.u AND two.v = p.v) SELECT label, count(*) FILTER (d = 1) AS d1, count(*) FILTER (d = 2) AS d2, count(*) FILTER (d = 3) AS further, count(*) AS pairs FROM k GROUP BY label")
 def _(t, s, d):
-    every = edges(t)
-    later = every.where(F.col("day") >= PAST_DAY).groupBy("u", "v").agg(F.least(F.max("y"), F.lit(1999)).alias("y"))
-    marked = later.join(G.snapshot(every, PAST_DAY).select("u", "v", F.lit("near").alias("kind")), ["u", "v"], "left").withColumn("kind", F.coalesce("kind", F.lit("far")))
-    return marked.groupBy("y").pivot("kind", ["near", "far"]).count().na.fill(0).select("y", "near", "far")
+    """Later pairs, of one work or of several, by their distance in the graph before; all distances are walked, those beyond two stand in one column."""
+    every = cut(edges(t))
+    later = cut(every.where(F.col("day") >= PAST_DAY).groupBy("u", "v").agg((F.count(F.lit(1)) > 1).cast("int").alias("label")))
+    walked = G.all_pair_distances(cut(G.snapshot(every, PAST_DAY)), later)
+    rows = later.join(walked, ["u", "v"])
+    return rows.groupBy("label").agg(F.count_if(F.col("distance") == 1).alias("d1"), F.count_if(F.col("distance") == 2).alias("d2"), F.count_if(~F.col("distance").isin(1, 2)).alias("further"), F.count(F.lit(1)).alias("pairs"))
 
 
 # --- pair sets and candidates
@@ -423,6 +430,30 @@ def _(t, s, d):
 # --- vectors of concepts, models
 
 
+class _Places:
+    """An encoder to show windows: the letters of a token, and its place in its window."""
+
+    window = 50
+
+    def tokens(self, text: str) -> list[str]:
+        return [w for w in text.split(" ") if w]
+
+    def encode_window(self, tokens: list[str]) -> np.ndarray:
+        return np.array([[len(w), i] for i, w in enumerate(tokens)], np.float64)
+
+
+@q("emb1_token_vectors", "WITH w AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS i FROM w) SELECT doc_id, CAST(i // 50 AS INTEGER) AS part, count(*) AS tokens, CAST(sum(length(token)) AS DOUBLE) AS letters, CAST(sum(i % 50) AS DOUBLE) AS places FROM p GROUP BY ALL")
+def _(t, s, d):
+    rows = N.token_vectors(t("documents"), "doc_id", "text", _Places())
+    return rows.groupBy("doc_id", F.col("window").alias("part")).agg(F.count(F.lit(1)).alias("tokens"), F.sum(F.get("vec", 0)).alias("letters"), F.sum(F.get("vec", 1)).alias("places"))
+
+
+@q("txt25_close_phrases")
+def _(t, s, d):
+    """The ten words of a text whose vectors are closest to it, by hashed trigrams where no trained encoder is at hand."""
+    return N.close_phrases(t("documents"), "doc_id", "text", N.TrigramEncoder())
+
+
 @q("emb2_pending_embeddings", f"WITH {MENTIONS} SELECT DISTINCT work_id FROM mentions WHERE work_id NOT IN (SELECT vec_id FROM embeddings)")
 def _(t, s, d):
     return mentions(t).select("work_id").distinct().join(t("embeddings").select(F.col("vec_id").alias("work_id")), "work_id", "left_anti")
@@ -447,12 +478,66 @@ def _inputs(t):
     return E.pair_inputs(snap.select("u", "v", (F.col("links") > 1).cast("int").alias("label")), nodes, ["degree", "weighted"])
 
 
-@q("mod1_network_scores")
+_SETTINGS = N.Settings(batches=120, batch_rows=256, rate_step=60, check_every=20)
+
+
+def _features(t, past: int, future: int):
+    """(u, v, label, inputs): topological features, at ``past``, of the pairs that are first linked before ``future`` and of twice as many others."""
+    every = cut(edges(t))
+    days = {1: past - 366, 2: past}
+    pairs = cut(S.labelled_pairs(every, past, future, negatives=2.0))
+    properties = G.pair_properties(every, pairs, days)
+    names = [c for c in properties.columns if c not in ("u", "v")]
+    return cut(pairs.join(properties, ["u", "v"]).select("u", "v", "label", F.array(*names).alias("inputs")))
+
+
+def _fitted(t):
+    """(network, history of its fit, rows with their split)."""
+    rows = S.split_pairs(_features(t, PAST_DAY, FUTURE_DAY))
+    train, check = rows.where("split = 'train'"), rows.where("split = 'val'")
+    network, history = N.fit_pair_network(train, check, _SETTINGS)
+    return network, history, rows
+
+
+_SMALL_NETWORK = [
+    {"weight": np.array([[0.5, -0.25, 0.125, 1.0], [-1.0, 0.75, 0.5, -0.5]]), "bias": np.array([0.1, -0.2]), "mean": np.array([0.3, 0.1]), "var": np.array([0.9, 1.2]), "scale": np.array([1.5, 0.8]), "shift": np.array([0.05, 0.4])},
+    {"weight": np.array([[0.7, -1.3]]), "bias": np.array([0.25]), "mean": np.array([0.2]), "var": np.array([1.1]), "scale": np.array([0.9]), "shift": np.array([-0.1])},
+]
+
+
+def _network_sql() -> str:
+    """The small network written out: linear, batch norm and ReLU, twice, and a sigmoid."""
+    names = ["a.degree", "a.weighted", "b.degree", "b.weighted"]
+    for i, w in enumerate(_SMALL_NETWORK):
+        fresh = []
+        for k in range(len(w["bias"])):
+            linear = " + ".join(f"{x} * {n}" for x, n in zip(w["weight"][k], names)) + f" + {w['bias'][k]}"
+            unit = f"(({linear} - {w['mean'][k]}) / sqrt({w['var'][k]} + 1e-5) * {w['scale'][k]} + {w['shift'][k]})"
+            fresh.append(unit if i else f"greatest({unit}, 0)")
+        names = fresh
+    return f"1 / (1 + exp(-{names[0]}))"
+
+
+@q("mod1_network_scores", f"WITH {PAST_GRAPH}, n AS (SELECT id, count(*) / 100.0 AS degree, sum(links) / 100.0 AS weighted FROM ways GROUP BY id), t AS (SELECT id, CAST(degree AS DOUBLE) AS degree, CAST(weighted AS DOUBLE) AS weighted FROM n) SELECT u, v, round({_network_sql()}, 6) AS score FROM snap JOIN t a ON a.id = u JOIN t b ON b.id = v")
+def _(t, s, d):
+    """A network with fixed weights over the degrees of both ends."""
+    return N.score_pairs(_inputs(t), N.PairNetwork(_SMALL_NETWORK)).select("u", "v", F.round("score", 6).alias("score"))
+
+
+@q("mod2_trained_network")
 def _(t, s, d):
-    return E.score_pairs(_inputs(t), E.PairNetwork.of_sizes([4, 16, 1])).select("u", "v", F.round("score", 6).alias("score"))
+    """Scores of the held-out pairs by the network that is fitted on the others."""
+    network, _, rows = _fitted(t)
+    return N.score_pairs(rows.where("split = 'val'"), network).select("u", "v", "label", F.round("score", 4).alias("score"))
 
 
-@q("mod2_trained_classifier")
+@q("mod2_training_history")
+def _(t, s, d):
+    _, history, _ = _fitted(t)
+    return s.createDataFrame([(h["step"], round(h["loss"], 6), round(h["auc"], 6)) for h in history], "step int, loss double, auc double")
+
+
+@q("mod2_logistic_classifier")
 def _(t, s, d):
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -461,6 +546,79 @@ def _(t, s, d):
     return model.transform(pairs.withColumn("features", array_to_vector("inputs"))).select("u", "v", "label", F.round(F.get(vector_to_array("probability"), 1), 4).alias("score"))
 
 
+_SAGE = [
+    {"own": np.array([[0.5, -0.5], [0.25, 1.0], [-0.75, 0.5]]), "around": np.array([[1.0, 0.25], [-0.5, 0.75], [0.5, 0.5]]), "bias": np.array([0.1, -0.2, 0.05])},
+    {"own": np.array([[0.75, -0.25, 0.5], [0.5, 0.5, -1.0]]), "around": np.array([[-0.5, 0.25, 0.75], [1.0, -0.75, 0.25]]), "bias": np.array([0.0, 0.15])},
+]
+
+
+def _sage_sql() -> str:
+    parts, size, before = [], 2, "x0"
+    for i, w in enumerate(_SAGE):
+        mean = ", ".join(f"avg(x.v{k}) AS m{k}" for k in range(size))
+        out = []
+        for k in range(len(w["bias"])):
+            total = " + ".join([f"{w['own'][k][j]} * x.v{j}" for j in range(size)] + [f"{w['around'][k][j]} * coalesce(n.m{j}, 0)" for j in range(size)]) + f" + {w['bias'][k]}"
+            out.append(f"{'greatest(' + total + ', 0)' if i + 1 < len(_SAGE) else total} AS v{k}")
+        parts += [f"n{i} AS (SELECT w.id, {mean} FROM ways w JOIN {before} x ON x.id = w.other GROUP BY w.id)", f"x{i + 1} AS (SELECT x.id, {', '.join(out)} FROM {before} x LEFT JOIN n{i} n ON n.id = x.id)"]
+        before, size = f"x{i + 1}", len(w["bias"])
+    return ", ".join(parts)
+
+
+def _encoded(t):
+    """(pairs of the past graph, vectors of its nodes)."""
+    snap = cut(G.snapshot(edges(t), PAST_DAY))
+    nodes = G.degrees(snap).select("id", F.array(F.col("degree") / 100, F.col("weighted") / 100).alias("vec"))
+    return snap.select("u", "v"), N.sage_encode(nodes, snap, _SAGE)
+
+
+@q("mod3_encoded_pairs", f"WITH {PAST_GRAPH}, x0 AS (SELECT id, count(*)::DOUBLE / 100 AS v0, sum(links)::DOUBLE / 100 AS v1 FROM ways GROUP BY id), {_sage_sql()} SELECT u, v, round(1 / (1 + exp(-(a.v0 * b.v0 + a.v1 * b.v1))), 6) AS score FROM snap JOIN x2 a ON a.id = u JOIN x2 b ON b.id = v")
+def _(t, s, d):
+    """Two graph layers with fixed weights over the whole neighbourhood, and the dot product of both ends."""
+    pairs, encoded = _encoded(t)
+    return N.decode_pairs(pairs, encoded).withColumn("score", F.round("score", 6))
+
+
+@q("mod3_sampled_neighbours", f"WITH {PAST_GRAPH}, r AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY (id * 1000003 + other * 7919 + 42 * 104729) % 2147483647, other) AS r FROM ways) SELECT id, other FROM r WHERE r <= 10")
+def _(t, s, d):
+    return N.sampled_neighbours(G.snapshot(edges(t), PAST_DAY), 10)
+
+
+@q("mod4_encoder_evaluation", f"WITH {PAST_GRAPH}, x0 AS (SELECT id, count(*)::DOUBLE / 100 AS v0, sum(links)::DOUBLE / 100 AS v1 FROM ways GROUP BY id), {_sage_sql()}, p AS (SELECT CAST(links > 1 AS INTEGER) AS label, round(1 / (1 + exp(-(a.v0 * b.v0 + a.v1 * b.v1))), 9) AS score FROM snap JOIN x2 a ON a.id = u JOIN x2 b ON b.id = v), g AS (SELECT score, CAST(sum(label) AS BIGINT) AS pos, CAST(sum(1 - label) AS BIGINT) AS neg FROM p GROUP BY score), o AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT round(sum(pos * (below + neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg)), 4) AS auc FROM o")
+def _(t, s, d):
+    """AUC of the encoder's saved weights, read back from their state."""
+    snap = cut(G.snapshot(edges(t), PAST_DAY))
+    state = json.loads(json.dumps([{k: v.tolist() for k, v in w.items()} for w in _SAGE]))
+    nodes = G.degrees(snap).select("id", F.array(F.col("degree") / 100, F.col("weighted") / 100).alias("vec"))
+    encoded = N.sage_encode(nodes, snap, [{k: np.array(v) for k, v in w.items()} for w in state])
+    scored_pairs = N.decode_pairs(snap.select("u", "v", (F.col("links") > 1).cast("int").alias("label")), encoded)
+    return M.roc_auc(scored_pairs.select("label", F.round("score", 9).alias("score"))).select(F.round("auc", 4).alias("auc"))
+
+
+@q("mod5_text_classifier")
+def _(t, s, d):
+    """Pairs of the past graph told apart by the words of their labels: held-out ones and their scores."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = S.split_pairs(S.labelled_pairs(cut(edges(t)), PAST_DAY, FUTURE_DAY, negatives=1.0))
+    texts = cut(N.label_texts(rows, lookup(t)))
+    model = N.fit_text_classifier(texts.where("split = 'train'"))
+    return model.transform(texts.where("split = 'val'")).select("u", "v", "label", F.round(F.get(vector_to_array("probability"), 1), 4).alias("score"))
+
+
+@q("hlp12_modes", "SELECT mode, CAST(n AS INTEGER) AS inputs FROM (VALUES ('baseline', 4), ('pure_vectors', 8), ('combined', 12)) v(mode, n)")
+def _(t, s, d):
+    """How many inputs a pair has in each mode: node features, vectors, or both."""
+    snap = cut(G.snapshot(edges(t), PAST_DAY))
+    nodes = G.degrees(snap).select("id", "degree", "weighted", F.array_repeat(F.lit(0.5), 4).alias("vec"))
+    out = None
+    for mode in N.MODES:
+        features, vectors = N.mode_inputs(mode, ["degree", "weighted"], ["vec"])
+        one = E.pair_inputs(snap.select("u", "v"), nodes, features, vectors).select(F.lit(mode).alias("mode"), F.size("inputs").alias("inputs")).distinct()
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @q("mod3_message_means", f"WITH {PAST_GRAPH}, e2 AS (SELECT u AS id, v AS other FROM edges WHERE day < {PAST_DAY} UNION ALL SELECT v, u FROM edges WHERE day < {PAST_DAY}), f AS (SELECT id, CAST(count(*) AS DOUBLE) AS degree FROM ways GROUP BY id) SELECT e2.id, round(avg(f.degree), 6) AS degree FROM e2 JOIN f ON f.id = e2.other GROUP BY e2.id")
 def _(t, s, d):
     every = cut(edges(t))
@@ -473,23 +631,30 @@ def _(t, s, d):
     return s.createDataFrame([(g["layers"], g["rate"]) for g in E.grid({"layers": [1, 2, 3], "rate": [0.1, 0.01]})], "layers int, rate double")
 
 
-_TOP = f"""WITH {PAST_GRAPH}, {_DEGREES}, {LOOKUP}, src AS (SELECT min(id) AS id FROM ways), c AS (SELECT b.other AS v, count(*) AS common FROM ways a, src, ways b WHERE a.id = src.id AND b.id = a.other AND b.other <> src.id AND b.other NOT IN (SELECT other FROM ways, src WHERE ways.id = src.id) GROUP BY 1)
-SELECT lookup.concept, c.common, deg.degree, row_number() OVER (ORDER BY common DESC, v) AS rank FROM c JOIN deg ON deg.id = v JOIN lookup ON lookup.id = v ORDER BY rank LIMIT 15"""
+_TOP = f"""WITH {PAST_GRAPH}, {_DEGREES}, {LOOKUP}, src AS (SELECT min(id) AS id FROM ways), own AS (SELECT degree AS d FROM deg, src WHERE deg.id = src.id), most AS (SELECT max(degree)::DOUBLE AS m FROM deg),
+c AS (SELECT b.other AS v, count(*) AS common FROM ways a, src, ways b WHERE a.id = src.id AND b.id = a.other GROUP BY 1),
+f AS (SELECT deg.id AS v, deg.degree, coalesce(c.common, 0) AS common FROM deg LEFT JOIN c ON c.v = deg.id WHERE deg.id NOT IN (SELECT other FROM ways, src WHERE ways.id = src.id) AND deg.id NOT IN (SELECT id FROM src)),
+p AS (SELECT v, degree, common, round(0.6 * (common::DOUBLE / (own.d + degree - common)) + 0.4 * (degree / most.m), 9) AS score FROM f, own, most)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, v) AS BIGINT) AS rank, lookup.concept, common, degree, round(score, 6) AS score FROM p JOIN lookup ON lookup.id = v ORDER BY rank LIMIT 15"""
 
 
 @q("mod7_predictor", _TOP)
 def _(t, s, d):
+    """One concept with all that it is not linked to: the mixture 0.6 / 0.4 of Jaccard and scaled degree, the 15 best."""
     from pyspark.sql import Window
 
     snap = cut(G.snapshot(edges(t), PAST_DAY))
-    ways = cut(G.both_ways(snap).select("id", "other"))
-    source = cut(ways.agg(F.min("id").alias("id")))
-    linked = cut(ways.join(F.broadcast(source), "id", "left_semi").select("other"))
-    reached = linked.withColumnRenamed("other", "id").join(ways, "id").groupBy(F.col("other").alias("v")).agg(F.count(F.lit(1)).alias("common"))
-    free = reached.join(linked.withColumnRenamed("other", "v"), "v", "left_anti").join(F.broadcast(source.withColumnRenamed("id", "v")), "v", "left_anti")
-    top = free.orderBy(F.desc("common"), "v").limit(15)
-    named = top.join(G.degrees(snap).select(F.col("id").alias("v"), "degree"), "v").join(lookup(t).withColumnRenamed("id", "v"), "v")
-    return named.select("concept", "common", "degree", F.row_number().over(Window.orderBy(F.desc("common"), "v")).cast("bigint").alias("rank"))  # 15 rows
+    ways, degree = cut(G.both_ways(snap).select("id", "other")), cut(G.degrees(snap).select("id", "degree"))
+    source, most = degree.orderBy("id").first(), degree.agg(F.max("degree")).first()[0]
+    if source is None:
+        return degree.select(F.lit(0).cast("bigint").alias("rank"), F.lit("").alias("concept"), F.lit(0).cast("bigint").alias("common"), "degree", F.lit(0.0).alias("score")).limit(0)
+    linked = cut(ways.where(F.col("id") == source["id"]).select(F.col("other").alias("id")))
+    common = linked.join(ways, "id").groupBy(F.col("other").alias("id")).agg(F.count(F.lit(1)).alias("common"))
+    free = degree.where(F.col("id") != source["id"]).join(linked, "id", "left_anti").join(common, "id", "left").withColumn("common", F.coalesce("common", F.lit(0)))
+    jaccard = F.col("common") / (F.lit(source["degree"]) + F.col("degree") - F.col("common"))
+    top = free.withColumn("score", F.round(0.6 * jaccard + 0.4 * (F.col("degree") / F.lit(float(most))), 9)).orderBy(F.desc("score"), "id").limit(15)
+    named = top.join(lookup(t), "id")
+    return named.select(F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("bigint").alias("rank"), "concept", "common", "degree", F.round("score", 6).alias("score"))  # 15 rows
 
 
 def top_unlinked_pairs(t, day: int, k: int):
@@ -514,6 +679,39 @@ def _(t, s, d):
     return top_unlinked_pairs(t, PAST_DAY, 50)
 
 
+_MODES = {
+    "random": lambda t, snap: S.unlinked_pairs(G.nodes_of(snap), [snap], 4000),
+    "anchor": lambda t, snap: S.candidates_between(cut(S.allowed_nodes(_ids(t, "p_size = 7"), snap)), cut(G.nodes_of(snap)), snap),
+    "module_cross": lambda t, snap: S.candidates_between(cut(S.allowed_nodes(_ids(t, "p_size = 3"), snap)), cut(S.allowed_nodes(_ids(t, "p_size = 4"), snap)), snap),
+    "emerging": lambda t, snap: S.sampled_candidates(S.allowed_nodes(G.emerging(mentions(t), 1996, 1996, 3).select(F.col("cid").alias("id")), snap), G.nodes_of(snap), snap, 4000, per_source=40),
+    "distance": lambda t, snap: G.two_step_pairs(snap).select("u", "v").join(snap, ["u", "v"], "left_anti"),
+}
+
+
+def _prospective(mode: str) -> None:
+    @q(f"mod8_scored_{mode}")
+    def _(t, s, d):
+        """Candidates of one mode with the fitted network's score, blended with the graph layers' score, the 50 best with labels and distance."""
+        from pyspark.sql import Window
+
+        network, _, _ = _fitted(t)
+        every = cut(edges(t))
+        snap = cut(G.snapshot(every, FUTURE_DAY))
+        candidates = cut(_MODES[mode](t, snap))
+        properties = G.pair_properties(every, candidates, {1: FUTURE_DAY - 366, 2: FUTURE_DAY})
+        names = [c for c in properties.columns if c not in ("u", "v")]
+        nodes = G.degrees(snap).select("id", F.array(F.col("degree") / 100, F.col("weighted") / 100).alias("vec"))
+        first = N.score_pairs(properties.select("u", "v", F.array(*names).alias("inputs")), network, out="first").drop("inputs")
+        both = N.decode_pairs(first, N.sage_encode(nodes, snap, _SAGE))
+        top = cut(both.withColumn("score", F.round(0.8 * F.col("first") + 0.2 * F.col("score"), 6)).orderBy(F.desc("score"), "u", "v").limit(50))
+        named = N.label_texts(G.pair_distances(snap, top, most=4), lookup(t))
+        return named.select(F.row_number().over(Window.orderBy(F.desc("score"), "u", "v")).alias("rank"), "u", "v", "text", F.col("distance").alias("graph_distance"), "score")  # 50 rows
+
+
+for _mode in _MODES:
+    _prospective(_mode)
+
+
 # --- metrics
 
 _S = f"WITH {SCORED}"
@@ -684,6 +882,21 @@ def _(t, s, d):
     return s.read.parquet(target).agg(F.count(F.lit(1)).alias("events"))
 
 
+class _Touchy:
+    """A client that fails for a batch with a record of its kind in it, unless that is alone."""
+
+    def complete(self, records: list[dict]) -> str:
+        if len(records) > 1 and any(int(r["pmid"]) % 97 == 0 for r in records):
+            raise TimeoutError("slow")
+        return json.dumps({"items": [{"pmid": r["pmid"], "concepts": [f"text of {r['pmid']}"]} for r in records]})
+
+
+@q("str3_watched_until_filled", "SELECT doc_id, '[\"text of ' || doc_id || '\"]' AS concepts FROM documents")
+def _(t, s, d):
+    works = t("documents").select("doc_id", F.lit(None).cast("string").alias("concepts"))
+    return X.watch(works, "doc_id", "concepts", _Touchy(), size=64, path=scratch(s, "watched"))[0]
+
+
 @q("str5_growing_snapshots", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t, s, d):
     target = scratch(s, "windows")

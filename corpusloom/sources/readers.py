@@ -65,9 +65,9 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return found.select("source", "line_no", *(F.get("lines", F.col("line_no") + i).alias(c) for i, c in enumerate(("link", "title", "author", "abstract"), 1)))
 
 
-def rows_by_file(df: DataFrame) -> DataFrame:
-    """(file, rows) of a table read from files."""
-    return df.select(F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1).alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+def rows_by_file(df: DataFrame, name: str = r"([^/]*)$") -> DataFrame:
+    """(file, rows) of a table read from files; ``name`` is the pattern whose first group names a file by its path."""
+    return df.select(F.regexp_extract(F.input_file_name(), name, 1).alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def missing_ids(expected: DataFrame, present: DataFrame, key: str) -> DataFrame:

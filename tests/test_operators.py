@@ -10,6 +10,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import embeddings as E
 from corpusloom.operators import graph as G
 from corpusloom.operators import metrics as M
+from corpusloom.operators import models as N
 from corpusloom.operators import sampling as S
 from corpusloom.operators.formulas import ELEMENT_NAMES, extract_formulas, formulas_in, name_elements
 from corpusloom.operators.keyphrases import ranked_phrases
@@ -125,9 +126,9 @@ def test_vectors(spark):
     points = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(10)], "id long, v array<double>")
     near = E.nearest(points.where("id IN (0, 5)"), points, "id", "v", 2, block=1)
     assert sorted((r["query"], r["rank"], r["neighbour"]) for r in near.collect()) == [(0, 1, 1), (0, 2, 2), (5, 1, 4), (5, 2, 6)]
-    network = E.PairNetwork.of_sizes([2, 4, 1])
+    network = N.PairNetwork.of_sizes([2, 4, 1])
     x = np.array([[1.0, 2.0]])
-    scored = E.score_pairs(spark.createDataFrame([([1.0, 2.0],)], "inputs array<double>"), network).first()["score"]
+    scored = N.score_pairs(spark.createDataFrame([([1.0, 2.0],)], "inputs array<double>"), network).first()["score"]
     assert scored == pytest.approx(float(network(x)[0, 0]))
     assert E.geometric_sizes(20, 0.5, 2) == [20, 10, 5, 1]
 
