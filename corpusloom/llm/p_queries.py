@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.plans.views import LABELS
 from corpusloom.session import broadcast_if_small, cut, ship, table
 
 from .bpe import encode_texts
@@ -173,14 +174,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _shipped(query) for name, query in _QUERIES.items()}
 
 
-_SPACE = r"[\s\x{A0}\x{2000}-\x{200A}\x{3000}]"
-_STRIP = rf"^{_SPACE}+|{_SPACE}+$"
-_QUOTED = r"''(?:[^''\\]|\\.)*''|\"(?:[^\"\\]|\\.)*\""
-#: Decoded labels of each work, in SQL.
-_LABELS = rf"""raw AS (SELECT pmid, regexp_replace(coalesce(llm_concepts, ''), '{_STRIP}', '', 'g') AS v FROM surgery_pubmed_works WHERE pmid IS NOT NULL),
-listed AS (SELECT pmid, CASE WHEN v[1] = '[' AND json_valid(v) THEN from_json(v, '["VARCHAR"]') WHEN v[1] = '{{' AND json_valid(v) THEN from_json(v->'$.concepts', '["VARCHAR"]')
-  WHEN v[1] = '[' THEN list_transform(regexp_extract_all(v, '{_QUOTED}'), lambda x: x[2:-2]) WHEN contains(v, ';') THEN string_split(v, ';') WHEN contains(v, '|') THEN string_split(v, '|') ELSE string_split(v, ',') END AS items FROM raw),
-works AS (SELECT pmid, list_filter(list_transform(items, lambda x: regexp_replace(x, '{_STRIP}', '', 'g')), lambda x: x <> '') AS labels FROM listed)"""
+#: Decoded labels of each work with an identifier, in SQL.
+_LABELS = f"{LABELS}, works AS (SELECT pmid, labels FROM labels WHERE pmid IS NOT NULL)"
 _KEY = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _KEYED = rf"keyed AS (SELECT DISTINCT pmid, list_sort(list_filter(list_transform(labels, lambda x: {_KEY.format('x')}), lambda k: k <> '')) AS k FROM works), held AS (SELECT * FROM keyed WHERE len(k) > 0)"
 _BASKETS = rf"named AS (SELECT pmid, unnest(labels) AS label FROM works), ids AS (SELECT DISTINCT pmid, id FROM named JOIN lookup_m ON {_KEY.format('label')} = {_KEY.format('concept')}), n AS (SELECT count(DISTINCT pmid) AS n_total FROM named), s AS (SELECT id, count(*) AS c FROM ids GROUP BY id), ab AS (SELECT a.id AS a, b.id AS b, count(*) AS n_ab FROM ids a JOIN ids b ON a.pmid = b.pmid AND a.id < b.id GROUP BY 1, 2), cases AS (SELECT a, b, n_ab, x.c AS n_a, y.c AS n_b, n_total FROM ab JOIN s x ON x.id = a JOIN s y ON y.id = b, n WHERE n_ab >= 8 AND 5000 * n_ab >= n_total AND n_total * n_ab >= 8 * x.c * y.c)"
