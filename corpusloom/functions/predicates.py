@@ -58,6 +58,22 @@ def keyword_phrase(text: Column) -> Column:
     return ~F.arrays_overlap(words, stop) & (F.size(words) <= 2)
 
 
+#: Tags of adverbs, prepositions, conjunctions, determiners and adjectives, which keep short phrases out.
+TAGS_LEFT_OUT = ["RB", "IN", "CC", "DT", "JJ", "JJR"]
+
+
+def tagged_phrase(text: Column, tag: Callable[[list[str]], list[str]], most_words: int = 2) -> Column:
+    """Whether a phrase of at most ``most_words`` words has none whose part of speech, by an injected tagger, is left out; longer ones are kept. Null for null."""
+
+    @F.pandas_udf("boolean")
+    def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            words = [None if x is None else x.split(" ") for x in batch]
+            yield pd.Series([None if w is None else len(w) > most_words or not any(t in TAGS_LEFT_OUT for t in tag(w)) for w in words], dtype="object")
+
+    return kept(text)
+
+
 def no_lone_number(text: Column) -> Column:
     return ~text.rlike(r"\b\d+\b")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import predicates as P
@@ -137,6 +139,53 @@ def _(t, s, d):
     return A.parse_articles(_article_documents(t), "xml").groupBy("reason").agg(F.count(F.lit(1)).alias("articles"))
 
 
+@q("txt19_labelled_abstract", f"WITH {_ARTICLES} SELECT coalesce(pmid, '') AS pmid, body AS abstract FROM r")
+def _(t, s, d):
+    return A.parse_articles(_article_documents(t), "xml").select("pmid", "abstract")
+
+
+@q("src12_paged_ids", "SELECT pmid FROM (SELECT DISTINCT pmid FROM surgery_pubmed_works WHERE pmid IS NOT NULL ORDER BY pmid LIMIT 10000)")
+def _(t, s, d):
+    """Distinct ids in pages from a service, here a stand-in that gives 500 a page and ten thousand in all, as the service does."""
+    held = [r["pmid"] for r in t("surgery_pubmed_works").where("pmid IS NOT NULL").select("pmid").distinct().orderBy("pmid").limit(10_000).collect()]
+    found = A.paged_ids(lambda start, n: [str(x) for x in held[start : start + n]], len(held))
+    return s.createDataFrame([(int(x),) for x in found], "pmid bigint")
+
+
+@q("src13_sliced_ids", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1990-01-01' AND DATE '2005-12-31'")
+def _(t, s, d):
+    """All ids of a range of days from a search that returns a bounded number, by halving the range."""
+    rows = t("orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+
+    def search(first, last):
+        found = rows.where(F.col("day").between(F.lit(first), F.lit(last)))
+        count = found.count()
+        return count, lambda n: [r["o_orderkey"] for r in found.select("o_orderkey").orderBy("o_orderkey").limit(n).collect()]
+
+    daily = rows.groupBy("day").count().agg(F.max("count")).first()[0] or 1
+    found = A.sliced_ids(search, date(1990, 1, 1), date(2005, 12, 31), most=max(10_000, daily))
+    return s.createDataFrame([(x,) for x in found["ids"]], "o_orderkey bigint")
+
+
+@q("snk7_saved_state", "SELECT coalesce(lang, '') AS lang, count(*) AS docs FROM documents GROUP BY 1")
+def _(t, s, d):
+    """Counts that are written as a state, replaced once, and read back."""
+    path = f"{R.scratch(s, 'state')}/state.json"
+    counts = {r["lang"]: r["docs"] for r in t("documents").groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count(F.lit(1)).alias("docs")).collect()}  # one row a language
+    R.write_state(s, {}, path)
+    R.write_state(s, {"langs": counts}, path)
+    return s.createDataFrame(sorted(R.read_state(s, path)["langs"].items()), "lang string, docs bigint")
+
+
+@q("snk8_failure_log", "SELECT id, 'unknown place' AS reason FROM lookup_m WHERE in_graph IS NULL")
+def _(t, s, d):
+    """Entries of which it is not known whether they are in the graph, one line of the log each."""
+    path = R.scratch(s, "failures")
+    for row in t("lookup_m").where("in_graph IS NULL").select("id").toLocalIterator():  # the failures of one run
+        R.append_failure(s, path, {"id": row["id"], "reason": "unknown place"})
+    return R.read_json_lines(s, path, "id bigint, reason string")
+
+
 @q("src10_search_strings", """SELECT r_regionkey, '(' || r_name || ') ' || 'AND hasabstract[text] AND english[lang] AND humans[Mesh] NOT (review[Publication Type] OR systematic review[Publication Type] OR meta-analysis[Publication Type] OR editorial[Publication Type] OR letter[Publication Type] OR comment[Publication Type] OR case reports[Publication Type]) AND ("2000"[Date - Publication] : "2025"[Date - Publication])' AS query FROM region""")
 def _(t, s, d):
     name = "@@"
@@ -313,6 +362,23 @@ def _(t, s, d):
 _STOP = ", ".join(repr(w) for w in [*P.WEAK_WORDS, *P.EMPTY_WORDS])
 
 
+_TAGS = {"IN": ["after", "in", "of", "on", "with"], "DT": ["a", "the"], "CC": ["and", "or"]}
+
+
+def _tag(words: list[str]) -> list[str]:
+    """A tagger by endings and a few words, where no trained one is at hand."""
+    return [next((t for t, held in _TAGS.items() if w in held), "RB" if w.endswith("ly") else "JJ" if w.endswith("al") else "NN") for w in words]
+
+
+_TAGGED = ", ".join(f"'{w}'" for held in _TAGS.values() for w in held)
+
+
+@q("flt13_keyword_phrase", f"WITH w AS (SELECT id, string_split(concept, ' ') AS w FROM lookup_m) SELECT id FROM w WHERE len(w) > 2 OR len(list_filter(w, lambda x: x IN ({_TAGGED}) OR x LIKE '%ly' OR x LIKE '%al')) = 0")
+def _(t, s, d):
+    """Phrases that the part-of-speech test keeps, with an injected tagger."""
+    return t("lookup_m").where(P.tagged_phrase(F.col("concept"), _tag)).select("id")
+
+
 @q("flt13_keyword_phrase_without_pos", f"WITH p AS (SELECT doc_id, unnest(string_split(text, '. ')) AS phrase FROM documents) SELECT doc_id, phrase FROM p WHERE NOT list_has_any(string_split(phrase, ' '), [{_STOP}]) AND len(string_split(phrase, ' ')) <= 2")
 def _(t, s, d):
     return t("documents").select("doc_id", F.explode(F.split("text", r"\. ", -1)).alias("phrase")).where(P.keyword_phrase(F.col("phrase")))

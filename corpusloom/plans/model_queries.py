@@ -294,7 +294,17 @@ def _(t, s, d):
     return G.components(cut(edges(t).select("u", "v").distinct())).groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
 
 
-@q("grf10_component_years")
+def _component_years_sql() -> str:
+    years = range(1990, 2006)
+    tables = [
+        f"e{y} AS (SELECT DISTINCT u, v FROM edges WHERE y <= {y} UNION SELECT DISTINCT v, u FROM edges WHERE y <= {y}), r{y}(id, c) USING KEY (id) AS (SELECT DISTINCT u, u FROM e{y} UNION SELECT e{y}.v, min(r{y}.c) FROM r{y} JOIN e{y} ON e{y}.u = r{y}.id JOIN recurring.r{y} AS k ON k.id = e{y}.v WHERE r{y}.c < k.c GROUP BY e{y}.v)"
+        for y in years
+    ]
+    rows = [f"SELECT CAST({y} AS INTEGER) AS y, count(*) AS components, max(n) AS largest, CAST(sum(n) AS BIGINT) AS nodes FROM (SELECT c, count(*) AS n FROM r{y} GROUP BY c) HAVING {y} IN (SELECT y FROM edges)" for y in years]
+    return f"WITH RECURSIVE {EDGES}, {', '.join(tables)} {' UNION ALL '.join(rows)}"
+
+
+@q("grf10_component_years", _component_years_sql())
 def _(t, s, d):
     return G.component_years(cut(edges(t)))
 
@@ -897,6 +907,25 @@ def _(t, s, d):
     return X.watch(works, "doc_id", "concepts", _Touchy(), size=64, path=scratch(s, "watched"))[0]
 
 
+@q("mod9_extracted_labels", "SELECT CAST(doc_id AS VARCHAR) AS pmid, 'text of ' || doc_id AS labels FROM documents WHERE doc_id % 97 <> 0 AND doc_id // 8 NOT IN (SELECT doc_id // 8 FROM documents WHERE doc_id % 97 = 0)")
+def _(t, s, d):
+    """Labels from an outside model in batches by id, with the check of its replies; batches that fail are left out here."""
+    batches = t("documents").select(F.floor(F.col("doc_id") / 8).alias("batch"), F.col("doc_id").cast("string").alias("pmid")).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("pmid"))).alias("items"))  # eight at most
+    replies = X.run_extraction(batches, _Touchy()).join(batches, "batch")
+    usable = replies.where(reply_reason(F.col("reply"), F.transform("items", lambda i: i["pmid"])).isNull())
+    return reply_items(usable, "reply").select("pmid", F.array_join("concepts", "/").alias("labels"))
+
+
+@q("str4_new_token_vectors", "SELECT doc_id, sum(length(w)) AS letters FROM (SELECT doc_id, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS w FROM documents) GROUP BY doc_id")
+def _(t, s, d):
+    """Vectors of the tokens of new texts only: the second run finds none."""
+    target, progress = scratch(s, "vectors"), scratch(s, "progress")
+    for _ in range(2):
+        stream = stream_table(s, d, "documents", t("documents").schema).select("doc_id", "text")
+        append_new(stream, "doc_id", target, progress, lambda df: N.token_vectors(df, "doc_id", "text", _Places()))
+    return s.read.parquet(target).groupBy("doc_id").agg(F.sum(F.get("vec", 0)).cast("bigint").alias("letters"))
+
+
 @q("str5_growing_snapshots", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t, s, d):
     target = scratch(s, "windows")

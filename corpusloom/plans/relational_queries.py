@@ -540,9 +540,11 @@ def _(t, s, d):
     return in_table.join(in_graph, "id", "full").agg(F.count_if(F.col("b").isNull()).alias("table_only"), F.count_if(F.col("a").isNull()).alias("graph_only"))
 
 
-@q("set8_ordered_distinct", "SELECT l_suppkey, min(l_orderkey * 10 + l_linenumber) AS first_place FROM lineitem GROUP BY 1")
+@q("set8_ordered_distinct", "WITH f AS (SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, min(doc_id) AS place FROM documents GROUP BY 1, 2) SELECT source, array_to_string(list(lang ORDER BY place), ',') AS langs FROM f GROUP BY source")
 def _(t, s, d):
-    return t("lineitem").groupBy("l_suppkey").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first_place"))
+    """The languages of each feed in the order in which they come first."""
+    first = t("documents").groupBy(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang")).agg(F.min("doc_id").alias("place"))
+    return first.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "lang"))), lambda x: x["lang"]), ",").alias("langs"))  # one a language
 
 
 @q("set9_symmetric_closure", f"WITH {PAST_GRAPH} SELECT id, other, links FROM ways")

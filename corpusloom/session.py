@@ -73,16 +73,30 @@ def plan_bytes(df: DataFrame) -> int | None:
     return estimate if estimate < 1 << 55 else None
 
 
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is no more than columns and conditions over files."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter") and plan.children().size() == 1:
+        plan = plan.children().head()
+    return plan.nodeName().startswith("Relation") or plan.nodeName() == "LogicalRelation"
+
+
 def spread(df: DataFrame, *keys: str | Column, task_mb: int = 24, size: int | None = None) -> DataFrame:
     """``df`` in as many partitions as work that is heavy on CPU needs.
 
     At least three tasks a core, and one for every ``task_mb`` of estimated input, so that the number
     follows the data without an upper bound; given explicitly, as adaptive coalescing looks at bytes
     and not at CPU time. ``size`` is the estimate where that of ``df`` itself says nothing. Without an
-    estimate it is the session's number of shuffle partitions.
+    estimate it is the session's number of shuffle partitions. A scan of so many files' splits that
+    these are three tasks a core already is left as it is, without a shuffle, unless ``keys`` ask for one.
     """
-    cores, size = df.sparkSession.sparkContext.defaultParallelism, size or plan_bytes(df)
-    wanted = -(-size // (task_mb << 20)) if size is not None else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    cores, size = spark.sparkContext.defaultParallelism, size or plan_bytes(df)
+    if size is not None and not keys:
+        split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+        if size >= 3 * cores * split and _plain_scan(df):
+            return df
+    wanted = -(-size // (task_mb << 20)) if size is not None else int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(min(max(3 * cores, wanted), 2**31 - 1), *keys)
 
 

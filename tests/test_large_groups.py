@@ -13,6 +13,7 @@ from corpusloom.operators import metrics as M
 from corpusloom.operators import sampling as S
 from corpusloom.operators.ordering import exact_quantiles
 from corpusloom.operators.skewed import skew_join
+from corpusloom.session import spread
 
 
 @pytest.mark.parametrize("part", [2, 3, 100])
@@ -116,3 +117,17 @@ def test_features_of_years_against_brute_force(spark):
             hops[u] += n * degree[v]
             hops[v] += n * degree[u]
         assert {i: (r[f"degree_{year}"], r[f"two_hop_{year}"]) for i, r in found.items()} == {i: (degree[i], hops[i]) for i in found}
+
+
+def test_a_scan_of_many_splits_is_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(50_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("t")).repartition(6).write.parquet(path)
+    plain = spark.read.parquet(path).where("id > 3").select("t")
+    assert spread(plain).rdd.getNumPartitions() == 12  # three a core
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        fresh = spark.read.parquet(path).where("id > 3").select("t")
+        assert "Exchange" not in spread(fresh)._jdf.queryExecution().executedPlan().toString() and spread(fresh).count() == 49_996
+        assert "Exchange" in spread(fresh, "t")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
