@@ -240,6 +240,95 @@ def decode_pairs(pairs: DataFrame, encoded: DataFrame, decoder: PairNetwork | No
     return score_pairs(out.select(*pairs.columns, inputs.alias("__inputs")), decoder, "__inputs").drop("__inputs")
 
 
+def graph_samples(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """(label, u, v) with each end as (vec, ring): its vector and, of at most ``most`` neighbours, vector and mean of their own neighbours' vectors."""
+    size = len((nodes.select("vec").first() or [[]])[0])
+    ways = sampled_neighbours(edges, most, seed)
+    mean = ways.join(nodes.select(F.col("id").alias("other"), F.col("vec").alias("__v")), "other").groupBy("id").agg(F.array(*(F.avg(F.get("__v", i)) for i in range(size))).alias("__mean"))
+    whole = nodes.join(mean, "id", "left").select("id", "vec", F.coalesce("__mean", F.array_repeat(F.lit(0.0), size)).alias("mean"))
+    rings = ways.join(whole.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.collect_list(F.struct("vec", "mean")).alias("ring"))  # ``most`` at most
+    sides = whole.join(rings, "id", "left").select("id", F.struct("vec", F.coalesce("ring", F.array().cast("array<struct<vec:array<double>,mean:array<double>>>")).alias("ring")).alias("side"))
+    out = pairs.select("label", "u", "v")
+    for end in ("u", "v"):
+        out = out.join(sides.select(F.col("id").alias(end), F.col("side").alias(f"{end}_side")), end)
+    return out.select("label", F.col("u_side").alias("u"), F.col("v_side").alias("v"))
+
+
+class _Ends:
+    """Arrays of one end of sampled pairs: vectors (n, d), those of neighbours (n, k, d), the means around these (n, k, d), and how many there are."""
+
+    def __init__(self, sides: list[dict], most: int):
+        d = len(sides[0]["vec"]) if sides else 0
+        self.own, self.near, self.around = np.array([s["vec"] for s in sides]).reshape(len(sides), d), np.zeros((len(sides), most, d)), np.zeros((len(sides), most, d))
+        self.held = np.zeros((len(sides), most, 1))
+        for i, s in enumerate(sides):
+            for j, r in enumerate(s["ring"][:most]):
+                self.near[i, j], self.around[i, j], self.held[i, j] = r["vec"], r["mean"], 1
+        self.share = self.held / np.maximum(self.held.sum(1, keepdims=True), 1)
+
+    def part(self, at: np.ndarray) -> _Ends:
+        out = object.__new__(_Ends)
+        for name, value in self.__dict__.items():
+            setattr(out, name, value[at])
+        return out
+
+
+def _encode_ends(ends: _Ends, layers: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, tuple]:
+    first, second = layers
+    mean = (ends.near * ends.share).sum(1)
+    a0 = ends.own @ first["own"].T + mean @ first["around"].T + first["bias"]
+    a1 = ends.near @ first["own"].T + ends.around @ first["around"].T + first["bias"]
+    h0, h1 = np.maximum(a0, 0), np.maximum(a1, 0)
+    ring = (h1 * ends.share).sum(1)
+    return h0 @ second["own"].T + ring @ second["around"].T + second["bias"], (mean, a0, a1, h0, ring)
+
+
+def _end_gradients(ends: _Ends, layers: list[dict[str, np.ndarray]], kept: tuple, d: np.ndarray) -> list[dict[str, np.ndarray]]:
+    (mean, a0, a1, h0, ring), second = kept, layers[1]
+    d0 = d @ second["own"] * (a0 > 0)
+    d1 = (d @ second["around"])[:, None] * ends.share * (a1 > 0)
+    return [
+        {"own": d0.T @ ends.own + np.einsum("nkh,nkd->hd", d1, ends.near), "around": d0.T @ mean + np.einsum("nkh,nkd->hd", d1, ends.around), "bias": d0.sum(0) + d1.sum((0, 1))},
+        {"own": d.T @ h0, "around": d.T @ ring, "bias": d.sum(0)},
+    ]
+
+
+def graph_step(u: _Ends, v: _Ends, labels: np.ndarray, layers: list[dict[str, np.ndarray]]) -> tuple[float, list[dict[str, np.ndarray]]]:
+    """Mean cross-entropy of pairs scored by the dot product of both ends, and the gradients of both layers."""
+    (zu, ku), (zv, kv) = _encode_ends(u, layers), _encode_ends(v, layers)
+    p = 1 / (1 + np.exp(-(zu * zv).sum(1)))
+    loss = float(-np.mean(labels * np.log(np.maximum(p, 1e-12)) + (1 - labels) * np.log(np.maximum(1 - p, 1e-12))))
+    d = ((p - labels) / len(labels))[:, None]
+    both = zip(_end_gradients(u, layers, ku, d * zv), _end_gradients(v, layers, kv, d * zu))
+    return loss, [{k: a[k] + b[k] for k in a} for a, b in both]
+
+
+def fit_graph_layers(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, *, sizes: tuple[int, int] = (16, 8), most: int = 10, sample: int = 4096, steps: int = 300, rows: int = 256, rate: float = 0.01, positive_share: float = 0.5, seed: int = 7) -> list[dict[str, np.ndarray]]:
+    """Two graph layers for :func:`sage_encode`, fitted to tell the labelled ``pairs`` apart by the dot product of their ends.
+
+    ``sample`` pairs are drawn with replacement, ``positive_share`` of them linked ones, with at most
+    ``most`` neighbours of each end; these bound what is gathered. Adam over batches of ``rows``.
+    """
+    keyed = pairs.select(F.struct("u", "v").alias("pair"), "label")
+    drawn = balanced_batch(keyed, "pair", "label", sample, positive_share, seed).select("label", "pair.u", "pair.v")
+    held = graph_samples(drawn, nodes, edges, most).toArrow().to_pylist()  # ``sample`` rows
+    held.sort(key=lambda r: json.dumps(r))
+    rng = np.random.default_rng(seed)
+    u, v, labels = _Ends([r["u"] for r in held], most), _Ends([r["v"] for r in held], most), np.array([r["label"] for r in held], np.float64)
+    widths = [u.own.shape[1], *sizes]
+    layers = [{"own": rng.standard_normal((b, a)) / np.sqrt(a), "around": rng.standard_normal((b, a)) / np.sqrt(a), "bias": np.zeros(b)} for a, b in zip(widths, widths[1:])]
+    first, second = ([{k: np.zeros_like(x) for k, x in w.items()} for w in layers] for _ in range(2))
+    for k in range(1, steps + 1):
+        at = rng.integers(0, len(labels), rows)
+        _, gradients = graph_step(u.part(at), v.part(at), labels[at], layers)
+        for w, g, m, s in zip(layers, gradients, first, second):
+            for name in w:
+                m[name] += 0.1 * (g[name] - m[name])
+                s[name] += 0.001 * (g[name] ** 2 - s[name])
+                w[name] -= rate * (m[name] / (1 - 0.9**k)) / (np.sqrt(s[name] / (1 - 0.999**k)) + 1e-8)
+    return layers
+
+
 # --- text classifiers
 
 

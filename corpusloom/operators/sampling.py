@@ -100,10 +100,12 @@ def candidates_between(sources: DataFrame, targets: DataFrame, snap: DataFrame,
     """Distinct canonical pairs of a source and a target that are not linked.
 
     Sources are a stated set; they go to the tasks that hold the targets in blocks of at most ``block``
-    ids, so what is sent does not grow with them. A target in more pairs than ``most_degree`` is left
-    out. The result has as many rows as there are such pairs.
+    ids, so what is sent does not grow with them. A target with more neighbours than ``most_degree`` is
+    left out. The result has as many rows as there are such pairs, and is not shuffled: a target knows
+    which sources of a block it is linked to, and a pair that both ends could give comes from the
+    smaller one as source only.
     """
-    from .graph import degrees
+    from .graph import both_ways, degrees
     from .ordering import numbered_parts
 
     kept = targets.select(F.col("id").alias("v")).distinct()
@@ -111,15 +113,19 @@ def candidates_between(sources: DataFrame, targets: DataFrame, snap: DataFrame,
         low = degrees(snap).where(F.col("degree") <= most_degree).select(F.col("id").alias("v"))
         kept = kept.join(low, "v", "left_semi")
     asked = cut(sources.select(F.col("id").alias("u")).distinct())
-    blocks = max(1, -(-asked.count() // block))
-    if blocks > 1:
-        asked, kept = cut(numbered_parts(asked, F.col("u"), rows=block, name="part")), cut(kept)
+    kept = cut(kept.join(asked.select(F.col("u").alias("v"), F.lit(True).alias("v_asks")), "v", "left").withColumn("v_asks", F.coalesce("v_asks", F.lit(False))))
+    asked = asked.join(kept.select(F.col("v").alias("u"), F.lit(True).alias("u_kept")), "u", "left").withColumn("u_kept", F.coalesce("u_kept", F.lit(False)))
+    asked = cut(numbered_parts(asked, F.col("u"), rows=block, name="part"))
+    near = cut(both_ways(snap.select("u", "v")).select(F.col("id").alias("v"), F.col("other").alias("u")).join(asked.select("u", "part"), "u"))
     out = None
-    for part in range(blocks):
-        some = asked if blocks == 1 else asked.where(F.col("part") == part)
-        one = kept.crossJoin(F.broadcast(some.select("u")))  # a block of stated sources
-        out = one if out is None else out.unionByName(one)
-    return canonical(out).distinct().join(snap.select("u", "v"), ["u", "v"], "left_anti")
+    for part in range(max(1, -(-asked.count() // block))):
+        linked = near.where(F.col("part") == part).groupBy("v").agg(F.collect_set("u").alias("linked"))  # a block at most
+        some = asked.where(F.col("part") == part).select("u", "u_kept")
+        one = kept.join(linked, "v", "left").crossJoin(F.broadcast(some))  # a block of stated sources
+        one = one.where("u != v AND NOT (u > v AND v_asks AND u_kept)").where(~F.coalesce(F.array_contains("linked", F.col("u")), F.lit(False)))
+        pairs = one.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def sampled_candidates(sources: DataFrame, targets: DataFrame, snap: DataFrame, n: int, *, per_source: int, most_degree: int | None = None, seed: int = 42, idle: int = 3) -> DataFrame:

@@ -605,6 +605,17 @@ def _(t, s, d):
     return M.roc_auc(scored_pairs.select("label", F.round("score", 9).alias("score"))).select(F.round("auc", 4).alias("auc"))
 
 
+@q("mod3_fitted_layers")
+def _(t, s, d):
+    """Graph layers fitted on pairs that are linked later, and the scores they give to the held-out ones over the whole graph."""
+    every = cut(edges(t))
+    rows = cut(S.split_pairs(S.labelled_pairs(every, PAST_DAY, FUTURE_DAY, negatives=1.0)))
+    snap = cut(G.snapshot(every, PAST_DAY))
+    nodes = cut(G.degrees(snap).select("id", F.array(F.col("degree") / 100, F.col("weighted") / 100).alias("vec")))
+    layers = N.fit_graph_layers(rows.where("split = 'train'"), nodes, snap, steps=150)
+    return N.decode_pairs(rows.where("split = 'val'").select("u", "v", "label"), N.sage_encode(nodes, snap, layers)).withColumn("score", F.round("score", 4))
+
+
 @q("mod5_text_classifier")
 def _(t, s, d):
     """Pairs of the past graph told apart by the words of their labels: held-out ones and their scores."""
@@ -636,9 +647,13 @@ def _(t, s, d):
     return G.message_mean(G.until(every, PAST_DAY), features, ["degree"]).select("id", F.round("degree", 6).alias("degree"))
 
 
-@q("mod6_grid", "SELECT l AS layers, r::DOUBLE AS rate FROM (VALUES (1), (2), (3)) a(l), (VALUES (0.1), (0.01)) b(r)")
+@q("mod6_grid", """WITH g AS (SELECT l AS layers, r AS rate, sha256('{"layers": ' || l || ', "rate": ' || r || '}') AS mark FROM (VALUES (1), (2), (3)) a(l), (VALUES (0.1::DOUBLE), (0.01::DOUBLE)) b(r)) SELECT * FROM g WHERE layers <> 2""")
 def _(t, s, d):
-    return s.createDataFrame([(g["layers"], g["rate"]) for g in E.grid({"layers": [1, 2, 3], "rate": [0.1, 0.01]})], "layers int, rate double")
+    """All combinations of settings with their marks, without those whose mark is among the finished runs."""
+    schema = "layers int, rate double, mark string"
+    every = [(g["layers"], g["rate"], X.settings_hash(g)) for g in E.grid({"layers": [1, 2, 3], "rate": [0.1, 0.01]})]
+    finished = s.createDataFrame([g for g in every if g[0] == 2], schema)
+    return X.pending(s.createDataFrame(every, schema), finished, "mark").select("layers", "rate", "mark")
 
 
 _TOP = f"""WITH {PAST_GRAPH}, {_DEGREES}, {LOOKUP}, src AS (SELECT min(id) AS id FROM ways), own AS (SELECT degree AS d FROM deg, src WHERE deg.id = src.id), most AS (SELECT max(degree)::DOUBLE AS m FROM deg),

@@ -82,6 +82,16 @@ def test_all_unlinked_pairs_of_a_dense_graph_are_found(spark):
         S.unlinked_pairs(nodes, [dense(spark, 12)], 13)
 
 
+@pytest.mark.parametrize("block", [2, 5000])
+def test_candidates_come_once(spark, block):
+    links = [(1, 2), (2, 3), (4, 9), (5, 6)]
+    snap = spark.createDataFrame(links, "u long, v long")
+    for sources, targets in (([1, 2, 5, 5], [2, 3, 5, 6, 7]), ([3, 4, 9], [3, 4, 9]), ([], [1]), ([1], [])):
+        s, t = (spark.createDataFrame([(i,) for i in ids], "id long") for ids in (sources, targets))
+        expected = {(min(a, b), max(a, b)) for a in sources for b in targets if a != b} - set(links)
+        assert sorted(tuple(r) for r in S.candidates_between(s, t, snap, block=block).select("u", "v").collect()) == sorted(expected)
+
+
 @pytest.mark.parametrize("per_source", [1, 3, 50])
 def test_rounds_reach_every_candidate(spark, per_source):
     snap = dense(spark, 12)

@@ -111,6 +111,44 @@ def test_graph_layers_against_brute_force(spark):
     assert N.sampled_neighbours(edges, 1).count() == 4 and N.sampled_neighbours(edges, 9).count() == 8
 
 
+def communities(spark, n=240, groups=4):
+    """Nodes whose own vectors hardly tell their group, linked within it; pairs within a group are positives."""
+    rng = np.random.default_rng(8)
+    group = rng.integers(0, groups, n)
+    centres = rng.standard_normal((groups, 6)) * 0.6
+    nodes = spark.createDataFrame([(i, [float(x) for x in centres[g] + rng.standard_normal(6)]) for i, g in enumerate(group)], "id long, vec array<double>")
+    links = sorted({(int(min(a, b)), int(max(a, b))) for a in range(n) for b in rng.choice(np.flatnonzero(group == group[a]), 8) if a != b})
+    asked = rng.integers(0, n, (1500, 2))
+    pairs = [(int(a), int(b), int(group[a] == group[b])) for a, b in asked if a != b]
+    return nodes, spark.createDataFrame(links, "u long, v long"), spark.createDataFrame(pairs[:900], "u long, v long, label int"), spark.createDataFrame(pairs[900:], "u long, v long, label int")
+
+
+def test_graph_layers_learn_communities(spark):
+    nodes, edges, train, check = communities(spark)
+    layers = N.fit_graph_layers(train, nodes, edges, sample=1024, steps=250)
+    found = N.decode_pairs(check, N.sage_encode(nodes, edges, layers)).toPandas()
+    alone = N.decode_pairs(check, nodes).toPandas()
+    auc, before = (N.area_under_curve(x["label"].to_numpy(), x["score"].to_numpy()) for x in (found, alone))
+    assert auc > 0.9 > before
+
+
+def test_gradients_of_graph_layers():
+    rng = np.random.default_rng(3)
+    sides = [{"vec": rng.standard_normal(3).tolist(), "ring": [{"vec": rng.standard_normal(3).tolist(), "mean": rng.standard_normal(3).tolist()} for _ in range(k)]} for k in (0, 1, 2, 4, 3, 2)]
+    u, v, y = N._Ends(sides[:3], 4), N._Ends(sides[3:], 4), np.array([1.0, 0.0, 1.0])
+    layers = [{"own": rng.standard_normal((b, a)) / 3, "around": rng.standard_normal((b, a)) / 3, "bias": rng.standard_normal(b) / 3} for a, b in ((3, 4), (4, 2))]
+    _, gradients = N.graph_step(u, v, y, layers)
+    for w, g in zip(layers, gradients):
+        for name in w:
+            at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+            kept, moved = w[name][at], []
+            for move in (1e-6, -1e-6):
+                w[name][at] = kept + move
+                moved.append(N.graph_step(u, v, y, layers)[0])
+            w[name][at] = kept
+            assert g[name][at] == pytest.approx((moved[0] - moved[1]) / 2e-6, rel=1e-3)
+
+
 def test_text_classifiers(spark):
     labels = spark.createDataFrame([(i, f"{'bone' if i % 2 else 'skin'} graft {i}") for i in range(60)], "id long, concept string")
     pairs = spark.createDataFrame([(i, i + 2, i % 2) for i in range(58)], "u long, v long, label int")
