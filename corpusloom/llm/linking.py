@@ -232,7 +232,7 @@ class ReferenceIndex:
     whole list, of which this may be a part; so weights and cosines do not depend on the part.
     """
 
-    def __init__(self, entries: list[tuple[int, tuple[str, ...]]], counts: np.ndarray, total: int, numbers: set[str], *, threshold: float, most_errors: int):
+    def __init__(self, entries: list[tuple[int, tuple[str, ...]]], counts: np.ndarray, total: int, numbers: set[str] | None, *, threshold: float, most_errors: int):
         self.ids = [i for i, _ in entries]
         self.words = [w for _, w in entries]
         self.joined = ["".join(w) for w in self.words]
@@ -311,7 +311,7 @@ class ReferenceIndex:
         every = ["".join(w) for w in words]
         out: list[list[Candidate]] = [[] for _ in every]
         # a value with a number that no entry has means none of them
-        kept = [i for i, t in enumerate(every) if ("".join(c for c in t if c.isdigit()) if not t.isalpha() else "") in self.numbers]
+        kept = [i for i, t in enumerate(every) if self.numbers is None or ("".join(c for c in t if c.isdigit()) if not t.isalpha() else "") in self.numbers]
         step = max(1, CELLS // max(len(self.joined), 1))
         for start in range(0, len(kept) if self.joined else 0, step):
             part = kept[start : start + step]
@@ -352,8 +352,12 @@ def normal_entries(reference: DataFrame, entry: str, entry_id: str) -> DataFrame
     return rows.mapInArrow(run, "id bigint, form string").where("form != ''").groupBy("form").agg(F.min("id").alias("id"))
 
 
-def _counted(forms: DataFrame) -> tuple[np.ndarray, set[str]]:
-    """Trigram counts over all forms, and the digit strings in them; the counts have one number a trigram, whatever the list."""
+def _counted(forms: DataFrame) -> tuple[np.ndarray, set[str] | None]:
+    """Trigram counts over all forms, and the digit strings in them; the counts have one number a trigram, whatever the list.
+
+    The digit strings only spare work, as digits are compared for each candidate too; more of them than
+    ``WORDS_BROADCAST`` are not sent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_CLASSES**3, np.int64)
@@ -366,9 +370,7 @@ def _counted(forms: DataFrame) -> tuple[np.ndarray, set[str]]:
     for row in forms.select("form").mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most one row a possible trigram
         counts[row["gram"]] = row["n"]
     digits = forms.select(F.regexp_replace("form", r"[^0-9]", "").alias("d")).distinct()
-    if not small(digits, WORDS_BROADCAST):
-        raise ValueError("more different numbers in the reference than are sent to the tasks")
-    return counts, {r["d"] for r in digits.collect()}
+    return counts, {r["d"] for r in digits.collect()} if small(digits, WORDS_BROADCAST) else None
 
 
 def _word_facts(values: DataFrame, words: DataFrame, blocks: int) -> DataFrame:

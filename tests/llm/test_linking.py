@@ -15,6 +15,13 @@ def index_of(entries, threshold=0.6):
     return L.ReferenceIndex(list(enumerate(forms)), L.gram_counts(map("".join, forms)), len(forms), numbers, threshold=threshold, most_errors=3)
 
 
+def test_known_numbers_only_spare_work(vocabulary):
+    with_numbers, without = index_of(ENTRIES), index_of(ENTRIES)
+    without.numbers = None
+    forms = [L.normal_form(v) for v in ("grade 2 splenic injury", "grade 4 splenic injury", "grade 23 splenic injury", "fistula formation 2", "hyperkalemia aftr transfusion")]
+    assert with_numbers.found(forms, vocabulary.facts) == without.found(forms, vocabulary.facts)
+
+
 def resolve(index, value, vocabulary):
     return L.decide(index.found([L.normal_form(value)], vocabulary.facts)[0], 0.02)
 
