@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom.session import cut
 
 from .blocks import block_meetings, block_of, unfold_pairs
+from .ordering import with_row_number
 
 
 def edges_of_mentions(mentions: DataFrame) -> DataFrame:
@@ -43,6 +44,11 @@ def nodes_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
 
 
+def compacted(snap: DataFrame) -> DataFrame:
+    """(id, place): the nodes of a snapshot by ascending id, numbered from 0 without gaps. Tables by id and by place differ where ids are missing."""
+    return with_row_number(nodes_of(snap), F.col("id"), name="place", start=0)
+
+
 def degrees(snap: DataFrame) -> DataFrame:
     """(id, degree, weighted): distinct neighbours, and works with them."""
     return both_ways(snap).groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.sum("links").alias("weighted"))

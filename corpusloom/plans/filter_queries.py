@@ -167,6 +167,21 @@ def _(t, s, d):
     return s.createDataFrame([(x,) for x in found["ids"]], "o_orderkey bigint")
 
 
+@q("snk5_flushed_rows", "SELECT count(*) AS rows, true AS bounded FROM surgery_pubmed_works")
+def _(t, s, d):
+    """Rows written in files of a thousand at most, counted by file."""
+    path = R.scratch(s, "flushed")
+    R.write_flushed(t("surgery_pubmed_works").select("pmid", "doi"), path)
+    files = R.rows_by_file(s.read.schema("pmid bigint, doi string").parquet(path))
+    return files.agg(F.sum("rows").alias("rows"), (F.max("rows") <= 1000).alias("bounded"))
+
+
+@q("hlp1_unlisted_topics", "SELECT DISTINCT source FROM mix_targets WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM documents WHERE source IS NOT NULL)")
+def _(t, s, d):
+    """Asked names that the list of known ones does not have."""
+    return R.unlisted(t("mix_targets"), t("documents").where("source IS NOT NULL"), "source")
+
+
 @q("snk7_saved_state", "SELECT coalesce(lang, '') AS lang, count(*) AS docs FROM documents GROUP BY 1")
 def _(t, s, d):
     """Counts that are written as a state, replaced once, and read back."""

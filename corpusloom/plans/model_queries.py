@@ -22,7 +22,7 @@ from corpusloom.streaming.incremental import append_new, run_once, running_count
 
 from .registry import Registry
 from .relational_queries import _DEGREES, _VECTORS, _work_vectors, small_side
-from .views import EDGES, FEATURE_DAYS, FUTURE_DAY, LOOKUP, MENTIONS, PAST_DAY, PAST_GRAPH, SCORED, edges, lookup, mentions, scored, snapshot_sql, ways_sql
+from .views import EDGES, FEATURE_DAYS, FUTURE_DAY, LABELS, LOOKUP, MENTIONS, PAST_DAY, PAST_GRAPH, SCORED, edges, label_lists, lookup, mentions, scored, snapshot_sql, ways_sql
 
 q = Registry()
 
@@ -627,6 +627,21 @@ def _(t, s, d):
     return model.transform(texts.where("split = 'val'")).select("u", "v", "label", F.round(F.get(vector_to_array("probability"), 1), 4).alias("score"))
 
 
+@q("hlp11_compacted_degrees", f"WITH {PAST_GRAPH}, d AS (SELECT id, count(*) AS degree FROM ways GROUP BY id) SELECT id, degree, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS place FROM d")
+def _(t, s, d):
+    """Degrees by id and by the place that a node has among those present."""
+    snap = cut(G.snapshot(edges(t), PAST_DAY))
+    return G.degrees(snap).select("id", "degree").join(G.compacted(snap), "id")
+
+
+@q("hlp4_ready_lists", f"WITH {LABELS} SELECT l.pmid, lower(w.abstract) AS abstract, array_to_string(list_sort(list_distinct(list_transform(l.labels, lambda x: lower(x)))), '|') AS labels FROM labels l JOIN (SELECT pmid, min(abstract) AS abstract FROM surgery_pubmed_works GROUP BY pmid) w ON w.pmid = l.pmid")
+def _(t, s, d):
+    """Abstracts in lower case beside the set of their labels, as containment needs them."""
+    abstracts = t("surgery_pubmed_works").groupBy("pmid").agg(F.lower(F.min("abstract")).alias("abstract"))
+    lists = label_lists(t).select("pmid", F.array_join(F.array_sort(F.array_distinct(F.transform("labels", F.lower))), "|").alias("labels"))
+    return lists.join(abstracts, "pmid").select("pmid", "abstract", "labels")
+
+
 @q("hlp12_modes", "SELECT mode, CAST(n AS INTEGER) AS inputs FROM (VALUES ('baseline', 4), ('pure_vectors', 8), ('combined', 12)) v(mode, n)")
 def _(t, s, d):
     """How many inputs a pair has in each mode: node features, vectors, or both."""

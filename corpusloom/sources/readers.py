@@ -88,6 +88,24 @@ def write_parts(df: DataFrame, path: str, part: str) -> None:
     df.repartition(part).write.mode("overwrite").partitionBy(part).parquet(path)
 
 
+def write_flushed(df: DataFrame, path: str, rows: int = 1000, mode: str = "append") -> None:
+    """Parquet files of at most ``rows`` rows each, so that a writer never holds more of them."""
+    df.write.mode(mode).option("maxRecordsPerFile", rows).parquet(path)
+
+
+def unlisted(asked: DataFrame, listed: DataFrame, column: str) -> DataFrame:
+    """The distinct non-null values of ``asked`` that ``listed`` does not have."""
+    return asked.where(F.col(column).isNotNull()).select(column).distinct().join(listed.select(column).distinct(), column, "left_anti")
+
+
+def require_listed(asked: DataFrame, listed: DataFrame, column: str) -> DataFrame:
+    """``asked``, if all its values are listed; the message names ten of those that are not."""
+    missing = [r[column] for r in unlisted(asked, listed, column).orderBy(column).limit(10).collect()]
+    if missing:
+        raise ValueError(f"not listed: {', '.join(map(str, missing))}")
+    return asked
+
+
 def write_split(df: DataFrame, kept: str, left_out: str, reason: str = "reason") -> DataFrame:
     """Rows without a reason to ``kept``, the others with it to ``left_out``; returns the counts by reason."""
     df.where(F.col(reason).isNull()).drop(reason).write.mode("overwrite").parquet(kept)

@@ -110,6 +110,27 @@ def test_csv_round_trip_and_checks(spark, tmp_path):
     assert R.require_unique(df, "id") is df
 
 
+def test_listed_values(spark):
+    listed = spark.createDataFrame([("a",), ("b",), (None,)], "name string")
+    asked = spark.createDataFrame([("a",), ("a",), (None,)], "name string")
+    assert R.require_listed(asked, listed, "name") is asked
+    with pytest.raises(ValueError, match="not listed: c, d"):
+        R.require_listed(asked.union(spark.createDataFrame([("d",), ("c",)], "name string")), listed, "name")
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    from corpusloom.__main__ import main
+
+    assert main(["list"]) == 0 and "grf1_graph_build" in capsys.readouterr().out.split()
+    assert main(["run", "no_such_query", data, str(tmp_path / "x")]) == 2
+    for kind, rows in (("parquet", lambda p: spark.read.parquet(p)), ("csv", lambda p: R.read_csv(spark, p, "l_suppkey bigint, n bigint"))):
+        out = str(tmp_path / kind)
+        assert main(["run", "dat3_cutoffs", data, out, "--format", kind], spark) == 0 and rows(out).count() > 0
+    with pytest.raises(Exception, match="already exists"):
+        main(["run", "dat3_cutoffs", data, str(tmp_path / "parquet")], spark)
+    assert main(["run", "dat3_cutoffs", data, str(tmp_path / "parquet"), "--overwrite"], spark) == 0
+
+
 def test_text_blocks(spark, tmp_path):
     (tmp_path / "ada_l.txt").write_text("\nlink1\ntitle1\nauthor1\nabstract1\n\nlink2\ntitle2\nauthor2\nabstract2\n \n")
     rows = R.read_blocks(spark, str(tmp_path)).orderBy("line_no").collect()
