@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.skewed import skew_join
-from corpusloom.session import broadcast_if_small, cut, small, spread
+from corpusloom.session import cut, small, spread
 
 from .batches import parts
 
@@ -484,9 +484,14 @@ def link_mentions(mentions: DataFrame, reference: DataFrame, *, record: str, val
     joined back by broadcast, or dealt to parts where there are more of them than ``broadcast_rows``, so
     that none of them fills a task.
     """
-    exact = broadcast_if_small(reference.select(reference[entry].alias(value)).where(F.col(value).isNotNull()).distinct(), broadcast_rows)
-    named = cut(mentions.select(record, value).join(exact, value, "left_anti").distinct())
-    linked = link_values(named, reference, value=value, entry=entry, entry_id=entry_id, **options)
+    exact = reference.select(reference[entry].alias(value)).where(F.col(value).isNotNull()).distinct()
+    if small(exact, broadcast_rows):
+        named = cut(mentions.select(record, value).join(F.broadcast(exact), value, "left_anti").distinct())
+        values = named
+    else:  # entries are told apart among the distinct values, of which none is hot; their mentions find no link below
+        named = cut(mentions.select(record, value).distinct())
+        values = named.select(value).distinct().join(exact, value, "left_anti")
+    linked = link_values(values, reference, value=value, entry=entry, entry_id=entry_id, **options)
     known = named.where(F.col(value).isNotNull())
     found = skew_join(known, cut(linked.withColumn("ref_id", F.coalesce("ref_id", F.lit(-1).cast("bigint")))), value, hot_rows=hot_rows, broadcast_rows=0)
     return found.select(record, value, "ref_id")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.skewed import skew_join
 from corpusloom.plans.views import LABELS
-from corpusloom.session import broadcast_if_small, cut, ship, table
+from corpusloom.session import cut, ship, small, table
 
 from .bpe import encode_texts
 from .consensus import Consensus, annotator_consensus
@@ -81,7 +82,16 @@ def _concept_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lookup entries that each work names, spelling apart from letters and digits disregarded."""
     named = _works(spark, sf_dir).select("pmid", F.explode(decode_labels(F.col("llm_concepts"))).alias("label")).select("pmid", letters_digits(F.col("label")).alias("key"))
     lookup = table(spark, sf_dir, "lookup_m").where("concept IS NOT NULL AND id IS NOT NULL").select(letters_digits(F.col("concept")).alias("key"), F.col("id").alias("lookup_id")).where("key != ''")
-    return baskets_of(named.join(broadcast_if_small(lookup, LOOKUP_BROADCAST), "key", "left"), "pmid", "lookup_id")
+    return baskets_of(_entries_of(named, lookup, LOOKUP_BROADCAST), "pmid", "lookup_id")
+
+
+def _entries_of(named: DataFrame, lookup: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(pmid, lookup_id) of the named keys; each pmid has a row, without an entry too. A large lookup is joined by shuffle, keys that are named very often by salts."""
+    if small(lookup, broadcast_rows):
+        return named.join(F.broadcast(lookup), "key", "left").select("pmid", "lookup_id")
+    held, side = cut(named), cut(lookup)
+    found = skew_join(held, side, "key", broadcast_rows=broadcast_rows).select("pmid", "lookup_id")
+    return found.unionByName(held.select("pmid", F.lit(None).cast(side.schema["lookup_id"].dataType).alias("lookup_id")))
 
 
 def _concept_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

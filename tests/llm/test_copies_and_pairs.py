@@ -86,6 +86,15 @@ def test_a_basket_of_fifty_thousand_items(spark):
     assert found == {p: 2 for h in held for p in itertools.combinations(sorted(h), 2)}
 
 
+def test_entries_of_a_large_lookup(spark):
+    from corpusloom.llm.p_queries import _entries_of
+
+    named = spark.createDataFrame([(i, f"k{i % 4}") for i in range(40)] + [(99, "none"), (None, "k1")], "pmid long, key string")
+    lookup = spark.createDataFrame([("k1", 1), ("k1", 11), ("k3", 3)], "key string, lookup_id long")
+    sets = [{(r["basket"], tuple(r["items"])) for r in baskets_of(_entries_of(named, lookup, n), "pmid", "lookup_id").collect()} for n in (1, 100)]
+    assert sets[0] == sets[1] and len(sets[0]) == 41
+
+
 @pytest.mark.parametrize("list_items", [2, 3, 1000])
 def test_large_baskets_against_brute_force(spark, list_items):
     rows = [(b, (b * k * k) % 23) for b in range(12) for k in range(1, 12)] + [(b, None) for b in range(20)]

@@ -146,8 +146,8 @@ def test_mentions(spark, options):
     reference = spark.createDataFrame([(i, e, "x") for i, e in enumerate(ENTRIES)] + [(None, "no id", "x"), (99, None, "x"), (50, "Fistula Formation", "x")], "id long, concept string, ref_id string")
     rows = [(1, "fistula formation"), (1, "Fistula formations"), (1, "Fistula formations"), (2, "nothing known"), (3, None), (4, "x" * 100_000), (5, "hyperkalaemia after transfusion"), (6, "-")]
     mentions = spark.createDataFrame([(*r, "clash") for r in rows], "pmid long, label string, value string")
-    for hot_rows in (1, 1000):
-        out = L.link_mentions(mentions, reference, record="pmid", value="label", entry="concept", entry_id="id", hot_rows=hot_rows, **options)
+    for hot_rows, broadcast_rows in ((1, 200_000), (1000, 200_000), (1, 2), (1000, 2)):
+        out = L.link_mentions(mentions, reference, record="pmid", value="label", entry="concept", entry_id="id", hot_rows=hot_rows, broadcast_rows=broadcast_rows, **options)
         assert sorted((r["pmid"], r["label"][:40], r["ref_id"]) for r in out.collect()) == [(1, "Fistula formations", 0), (2, "nothing known", -1), (4, "x" * 40, -1), (5, "hyperkalaemia after transfusion", 2), (6, "-", -1)]
     assert L.link_mentions(mentions.limit(0), reference, record="pmid", value="label", entry="concept", entry_id="id").count() == 0
     empty = L.link_mentions(mentions, reference.limit(0), record="pmid", value="label", entry="concept", entry_id="id")
