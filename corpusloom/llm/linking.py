@@ -2,9 +2,9 @@
 
 Distinct values are normalised. Candidates come from an inverted index of character trigrams over the
 reference and are scored by the cosine of inverse-frequency weights, which are counted over the whole
-list. The best candidate is accepted when its cosine reaches the threshold and lies a margin before the
-next; of candidates within the margin the one with fewest typing errors holds. An exact check follows:
-letters may differ by a few typing errors, numbers and known words may not.
+list. Those that reach the threshold are checked exactly: letters may differ by a few typing errors, numbers
+and known words may not. Of what is left the best is accepted when its cosine lies a margin before the
+next; of candidates within the margin the one with fewest typing errors holds.
 """
 
 from __future__ import annotations
@@ -205,14 +205,13 @@ class Candidate(NamedTuple):
     cosine: float
     errors: int
     ref_id: int
-    other: bool  # a word of the value is, or misspells, a known word that the entry does not have
 
 
 def decide(found: Iterable[Candidate], margin: float) -> int | None:
-    """The id of the accepted one of the candidates of a value.
+    """The id of the accepted one of the candidates of a value, all of which have passed the exact checks.
 
     That is the one with the highest cosine; of those within ``margin`` of it, the one with fewest
-    typing errors. None if two of these have as few, or if the check of known words speaks against it.
+    typing errors. None if two of these have as few.
     """
     found = list(found)
     if not found:
@@ -221,8 +220,7 @@ def decide(found: Iterable[Candidate], margin: float) -> int | None:
     tied = sorted(c.errors for c in found if c.cosine >= top)
     if len(tied) > 1 and tied[0] == tied[1]:
         return None
-    best = next(c for c in found if c.cosine >= top and c.errors == tied[0])
-    return None if best.other else best.ref_id
+    return next(c.ref_id for c in found if c.cosine >= top and c.errors == tied[0])
 
 
 class ReferenceIndex:
@@ -307,7 +305,7 @@ class ReferenceIndex:
         return False
 
     def found(self, words: list[tuple[str, ...]], facts: Callable[[str], Facts]) -> list[list[Candidate]]:
-        """The candidates of each value that the exact bounds leave; for each number of typing errors the two with the highest cosines, which is all that :func:`decide` can need."""
+        """The candidates of each value that pass the exact checks of letters, digits and known words; for each number of typing errors the two with the highest cosines, which is all that :func:`decide` can need."""
         every = ["".join(w) for w in words]
         out: list[list[Candidate]] = [[] for _ in every]
         # a value with a number that no entry has means none of them
@@ -329,15 +327,15 @@ class ReferenceIndex:
             for q, held in ranked.items():
                 i, taken = part[q], Counter()
                 for d, c, e in sorted(held):
-                    taken[d] += 1
-                    if taken[d] <= 2:
-                        out[i].append(Candidate(-c, d, self.ids[e], d > 0 and self._other_word(words[i], e, facts)))
+                    if taken[d] < 2 and not (d and self._other_word(words[i], e, facts)):
+                        taken[d] += 1
+                        out[i].append(Candidate(-c, d, self.ids[e]))
         return out
 
 
 _BUILT: dict = {}
-_FOUND = pa.list_(pa.struct([("cosine", pa.float64()), ("errors", pa.int32()), ("ref_id", pa.int64()), ("other", pa.bool_())]))
-_FOUND_SQL = "array<struct<cosine:double,errors:int,ref_id:bigint,other:boolean>>"
+_FOUND = pa.list_(pa.struct([("cosine", pa.float64()), ("errors", pa.int32()), ("ref_id", pa.int64())]))
+_FOUND_SQL = "array<struct<cosine:double,errors:int,ref_id:bigint>>"
 _FACTS_SQL = "array<struct<word:string,known:boolean,distance:int,near:array<string>,affixes:array<string>>>"
 
 
@@ -412,7 +410,7 @@ def _word_facts(values: DataFrame, words: DataFrame, blocks: int) -> DataFrame:
     return skew_join(named, cut(facts), "word", broadcast_rows=0).groupBy("value").agg(F.collect_list("fact").alias("facts"))  # one a word of the value
 
 
-def link_values(values: DataFrame, reference: DataFrame, *, value: str, entry: str, entry_id: str, threshold: float = 0.6, margin: float = 0.02, most_errors: int = 3, block_entries: int = 50_000, words_broadcast: int = WORDS_BROADCAST) -> DataFrame:
+def link_values(values: DataFrame, reference: DataFrame, *, value: str, entry: str, entry_id: str, threshold: float = 0.55, margin: float = 0.02, most_errors: int = 3, block_entries: int = 50_000, words_broadcast: int = WORDS_BROADCAST) -> DataFrame:
     """(``value``, ref_id) for each distinct non-null value; ref_id is null where no entry is accepted.
 
     ``reference`` has (entry_id, entry); null ids and entries are left out, and of entries that are
@@ -471,10 +469,10 @@ def link_values(values: DataFrame, reference: DataFrame, *, value: str, entry: s
     if blocks > 1:
         merged = reduce(DataFrame.unionByName, answers).groupBy("value").agg(F.flatten(F.collect_list("found")).alias("found"))  # at most eight candidates a block
     top = F.array_max(F.transform("found", lambda c: c["cosine"])) - F.lit(margin)
-    tied = F.array_sort(F.transform(F.filter("found", lambda c: c["cosine"] >= top), lambda c: F.struct(c["errors"].alias("errors"), c["ref_id"].alias("ref_id"), c["other"].alias("other"))))
+    tied = F.array_sort(F.transform(F.filter("found", lambda c: c["cosine"] >= top), lambda c: F.struct(c["errors"].alias("errors"), c["ref_id"].alias("ref_id"))))
     first, second = F.get("tied", 0), F.get("tied", 1)
     sure = second.isNull() | (first["errors"] < second["errors"])
-    return merged.select("value", tied.alias("tied")).select(F.col("value").alias(value), F.when(sure & ~first["other"], first["ref_id"]).alias("ref_id"))
+    return merged.select("value", tied.alias("tied")).select(F.col("value").alias(value), F.when(sure, first["ref_id"]).alias("ref_id"))
 
 
 def link_mentions(mentions: DataFrame, reference: DataFrame, *, record: str, value: str, entry: str, entry_id: str, hot_rows: int = 1_000_000, broadcast_rows: int = 200_000, **options) -> DataFrame:

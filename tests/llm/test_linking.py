@@ -9,7 +9,7 @@ from corpusloom.llm import linking as L
 ENTRIES = ["fistula formation", "bronchial fistula formation", "hyperkalemia after transfusion", "hypokalemia after transfusion", "pediatric tumor resection", "grade 2 splenic injury", "grade 3 splenic injury", "serum α-fetoprotein level", "abduction splint", "adduction splint", "gastric nerve monitoring", "stainless steel coating"]
 
 
-def index_of(entries, threshold=0.6):
+def index_of(entries, threshold=0.55):
     forms = [L.normal_form(e) for e in entries]
     numbers = {"".join(c for c in "".join(w) if c.isdigit()) for w in forms}
     return L.ReferenceIndex(list(enumerate(forms)), L.gram_counts(map("".join, forms)), len(forms), numbers, threshold=threshold, most_errors=3)
@@ -101,14 +101,18 @@ def test_candidates_against_brute_force(threshold):
 
 
 def test_decision():
-    def c(cosine, errors, ref_id, other=False):
-        return L.Candidate(cosine, errors, ref_id, other)
-
+    c = L.Candidate
     assert L.decide([], 0.02) is None
     assert L.decide([c(0.9, 2, 1), c(0.8, 1, 2)], 0.02) == 1  # the cosine decides beyond the margin
     assert L.decide([c(0.9, 2, 1), c(0.89, 1, 2)], 0.02) == 2  # the errors decide within it
     assert L.decide([c(0.9, 1, 1), c(0.89, 1, 2)], 0.02) is None
-    assert L.decide([c(0.9, 1, 1, True), c(0.5, 1, 2)], 0.02) is None
+
+
+def test_an_entry_with_other_words_does_not_stand_before_the_right_one():
+    entries = ["renal wound dehiscence", "duodenal wound dehiscence", "renal ischemia", "wound dehiscence grade"]
+    index = index_of(entries)
+    words = L.Vocabulary(w for ws in index.words for w in ws)
+    assert resolve(index, "dudenal wound dehiscence", words) == 1 and resolve(index, "renl wound dehiscence", words) == 0
 
 
 def test_facts_of_parts_of_a_vocabulary(vocabulary):
