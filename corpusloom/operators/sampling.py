@@ -20,6 +20,12 @@ def pair_hash(u: Column, v: Column, seed: int = 42) -> Column:
     return F.pmod(u * 1000003 + v * 7919 + F.lit(seed * 104729), F.lit(2147483647))
 
 
+def drawn_place(k: Column, count: int | Column, seed: int) -> Column:
+    """The k-th draw among ``count`` places: x * x + x of a linear hash x of k, modulo a prime; plain integer arithmetic, the same in any engine."""
+    x = F.pmod(k * 1000003 + F.lit(seed * 104729), F.lit(2147483647))
+    return F.pmod(F.pmod(x * x + x, F.lit(2147483647)), F.lit(count) if isinstance(count, int) else count)
+
+
 def canonical(pairs: DataFrame) -> DataFrame:
     return pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
@@ -52,7 +58,7 @@ def unlinked_pairs(nodes: DataFrame, snaps: list[DataFrame], n: int, seed: int =
     for _ in range(rounds):
         if draws >= count * count:
             break
-        drawn = spark.range(draws).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).alias("a"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(count)).alias("b"))
+        drawn = spark.range(draws).select(drawn_place(F.col("id"), count, seed).alias("a"), drawn_place(F.col("id"), count, seed + 1).alias("b"))
         ids = drawn.where("a != b").join(ranked.select(F.col("rank").alias("a"), F.col("id").alias("u")), "a").join(ranked.select(F.col("rank").alias("b"), F.col("id").alias("v")), "b")
         found = cut(canonical(ids.select("u", "v")).distinct().join(linked, ["u", "v"], "left_anti"))
         if found.count() >= n:

@@ -335,7 +335,18 @@ _POSITIVE = f"{EDGES}, {snapshot_sql('a', PAST_DAY)}, {snapshot_sql('b', FUTURE_
 _HASH = "(u * 1000003 + v * 7919 + 42 * 104729) % 2147483647"
 
 
-@q("smp2_negative_pairs")
+def _unlinked_sql(snaps: list[tuple[str, int]], n: int) -> str:
+    """Pairs drawn from the nodes of the first snapshot that no snapshot links, by the draws of the first round."""
+    place = lambda s: f"(((k * 1000003 + {s * 104729}) % 2147483647) * ((k * 1000003 + {s * 104729}) % 2147483647) + (k * 1000003 + {s * 104729}) % 2147483647) % 2147483647 % n"
+    parts = ", ".join(snapshot_sql(name, day) for name, day in snaps)
+    linked = " UNION ".join(f"SELECT u, v FROM {name}" for name, _ in snaps)
+    first = snaps[0][0]
+    return f"""WITH {EDGES}, {parts}, nodes AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rank FROM (SELECT u AS id FROM {first} UNION SELECT v FROM {first})), c AS (SELECT count(*) AS n FROM nodes),
+d AS (SELECT {place(42)} AS a, {place(43)} AS b FROM range({max(64, 3 * n)}) t(k), c), p AS (SELECT DISTINCT least(x.id, y.id) AS u, greatest(x.id, y.id) AS v FROM d JOIN nodes x ON x.rank = a JOIN nodes y ON y.rank = b WHERE a <> b)
+SELECT u, v FROM p WHERE (u, v) NOT IN ({linked}) ORDER BY {_HASH}, u, v LIMIT {n}"""
+
+
+@q("smp2_negative_pairs", _unlinked_sql([("a", PAST_DAY), ("b", FUTURE_DAY)], 2000))
 def _(t, s, d):
     every = cut(edges(t))
     past, future = cut(G.snapshot(every, PAST_DAY)), cut(G.snapshot(every, FUTURE_DAY))
@@ -362,7 +373,15 @@ def _(t, s, d):
     return S.split_pairs(G.new_pairs(edges(t), PAST_DAY, FUTURE_DAY).select("u", "v"))
 
 
-@q("smp6_pair_set")
+def _pair_set_sql() -> str:
+    place = lambda s: f"(((k * 1000003 + {s * 104729}) % 2147483647) * ((k * 1000003 + {s * 104729}) % 2147483647) + (k * 1000003 + {s * 104729}) % 2147483647) % 2147483647 % c.n"
+    return f"""WITH {_POSITIVE}, w AS (SELECT count(*) // 2 AS n FROM pos), nodes AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rank FROM known), c AS (SELECT count(*) AS n FROM nodes),
+d AS (SELECT {place(42)} AS a, {place(43)} AS b FROM (SELECT unnest(range(greatest(64, 3 * n))) AS k FROM w), c), p AS (SELECT DISTINCT least(x.id, y.id) AS u, greatest(x.id, y.id) AS v FROM d JOIN nodes x ON x.rank = a JOIN nodes y ON y.rank = b WHERE a <> b),
+free AS (SELECT u, v, row_number() OVER (ORDER BY {_HASH}, u, v) AS r FROM p WHERE (u, v) NOT IN (SELECT u, v FROM a UNION SELECT u, v FROM b)),
+rows AS (SELECT u, v, 1 AS label FROM pos UNION ALL SELECT u, v, 0 FROM free, w WHERE r <= w.n) SELECT u, v, label, CASE WHEN (u * 1000003 + v * 7919 + 43 * 104729) % 2147483647 % 100 < 80 THEN 'train' ELSE 'val' END AS split FROM rows"""
+
+
+@q("smp6_pair_set", _pair_set_sql())
 def _(t, s, d):
     return S.split_pairs(S.labelled_pairs(cut(edges(t)), PAST_DAY, FUTURE_DAY, negatives=0.5))
 
@@ -373,7 +392,7 @@ def _(t, s, d):
     return S.balanced_batch(scored(t), "idx", "label", 400, 0.2)
 
 
-@q("smp8_random_candidates")
+@q("smp8_random_candidates", _unlinked_sql([("a", PAST_DAY)], 3000))
 def _(t, s, d):
     past = cut(G.snapshot(edges(t), PAST_DAY))
     return S.unlinked_pairs(G.nodes_of(past), [past], 3000)
