@@ -168,6 +168,27 @@ def sliced_ids(search: Callable[[date, date], tuple[int, Callable[[int], list[st
     return out
 
 
+def sliced_rows(rows: DataFrame, start: date, end: date, *, day: str = "day", most: int = 10_000) -> DataFrame:
+    """``rows`` of a range of days with their slice, (first, last) of :func:`sliced_ids`, for a table that stands in for the service.
+
+    Rows are counted by day once, which answers all searches; one pass then gives the rows of all slices,
+    none of which comes to the driver.
+    """
+    found = rows.where(F.col(day).between(F.lit(start), F.lit(end))).groupBy(day).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a day of the range
+    by_day = {r[day]: r["n"] for r in found}
+    until, sums = 0, [0]
+    for i in range((end - start).days + 1):
+        until += by_day.get(start + timedelta(days=i), 0)
+        sums.append(until)
+
+    def search(first: date, last: date) -> tuple[int, Callable[[int], list]]:
+        return sums[(last - start).days + 1] - sums[(first - start).days], lambda n: [(first, last)]
+
+    slices = sliced_ids(search, start, end, most=most)["ids"]
+    days = [(first + timedelta(days=i), first, last) for first, last in slices for i in range((last - first).days + 1)]
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(days, f"{day} date, first date, last date")), day)
+
+
 def modules_of_ids(found: DataFrame) -> DataFrame:
     """(pmid, modules) from (module, seq, pmid): the modules that found an id, in the order in which they come, each once."""
     first = found.groupBy("pmid", "module").agg(F.min("seq").alias("seq"))

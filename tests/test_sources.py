@@ -1,5 +1,6 @@
 """Sources, sinks, states and clients, with stand-ins for services."""
 
+from collections import Counter
 from datetime import date, timedelta
 from xml.etree import ElementTree
 
@@ -194,3 +195,18 @@ def test_batch_jobs():
     assert jobs.submit(["a", "b"], most_open=2) == ["a", "b"] and jobs.submit(["a"]) == []
     assert jobs.refresh() == {"completed": 1, "not_found": 1}
     assert jobs.collect() == ["job-a"] and jobs.collect() == []
+
+
+def test_slices_of_a_table_in_one_pass(spark):
+    """However many slices there are, the table is counted once and read once more, and no id comes to the driver."""
+    rows = spark.range(3000).select("id", F.date_add(F.lit(date(2014, 5, 30)), (F.col("id") % 40).cast("int") - 1).alias("day"))
+    group = "slices of a table"
+    spark.sparkContext.setJobGroup(group, group)
+    found = A.sliced_rows(rows, date(2014, 5, 30), date(2014, 6, 30), most=160).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r["id"] for r in found) == [i for i in range(3000) if 1 <= i % 40 <= 32] and jobs <= 8
+    sizes = Counter((r["first"], r["last"]) for r in found)
+    assert len(sizes) == 16 and max(sizes.values()) <= 160 and all(r["first"] <= r["day"] <= r["last"] for r in found)
+    with pytest.raises(RuntimeError, match="more than 74 records"):
+        A.sliced_rows(rows, date(2014, 5, 30), date(2014, 6, 30), most=74)
